@@ -85,11 +85,13 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, most: int = 0) -> np.ndarray:
+        """Of each word, or of its first `most` bytes."""
+        end = np.minimum(self.end, self.begin + most) if most else self.end
         r, inverse = powers(len(self.bytes) + 1)
         total = np.zeros(len(self.bytes) + 1, np.uint64)
         np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * r[: len(self.bytes)], out=total[1:])
-        return mix((total[self.end] - total[self.begin]) * inverse[self.begin])
+        return mix((total[end] - total[self.begin]) * inverse[self.begin])
 
     def grams(self, h: np.ndarray, gaps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of word tuples at the given distances from their first word, and which firsts have all of them."""

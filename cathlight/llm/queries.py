@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .near_dedup import op2_minhash_near_dedup
 from .suffix_dedup import op9_suffix_dedup
+from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 SQL: dict[str, str] = {}
