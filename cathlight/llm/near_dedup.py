@@ -48,10 +48,10 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             if n >= k:
                 yield np.unique(grams[cut[d] : cut[d + 1]])
             elif n:
-                own = np.uint64(n)
+                own = np.array([n], np.uint64)
                 for x in h[words.first[d] : words.first[d + 1]]:
-                    own = K.mix(np.array([own + x]))[0]
-                yield np.array([own])
+                    own = K.mix(own + x)
+                yield own
             else:
                 yield np.zeros(0, np.uint64)
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .near_dedup import op2_minhash_near_dedup
+from .packing import op6_retrieval_packing
 from .suffix_dedup import op9_suffix_dedup
+from .suffix_tree_lm import op8_suffix_tree_lm
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op6_retrieval_packing": op6_retrieval_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 SQL: dict[str, str] = {}

@@ -35,7 +35,7 @@ from . import kernels as K
 from .common import Scratch
 
 BITS = 1 << 27  # of the filter that is broadcast, 16 MB whatever the input
-HOT = 20_000  # anchors of one rank beyond which windows are counted instead of gathered
+HOT = 100_000  # anchors of one rank beyond which windows are counted instead of gathered
 GRAM = 32
 
 
@@ -91,7 +91,14 @@ def repeats(order: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts: list[by
     raw = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
     names = window_names(raw, length)
-    count = hi - lo + 1
+    # an entry whose whole context came earlier repeats in all its windows: the two ends name a context
+    ends = K.mix(names[begin] + K.mix(names[begin + hi - lo] + (hi - lo).astype(np.uint64)))
+    by = np.lexsort((lo, order, ends))
+    same = np.append(False, ends[by][1:] == ends[by][:-1])
+    whole, own = by[same], np.sort(by[~same])
+    copies = order[whole], lo[whole], hi[whole]
+    order, lo, hi, begin = order[own], lo[own], hi[own], begin[own]
+    n, count = len(own), hi - lo + 1
     row = np.repeat(np.arange(n), count)
     step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     name, text, p = names[begin[row] + step], order[row], lo[row] + step
@@ -100,7 +107,7 @@ def repeats(order: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts: list[by
     head = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
     head = np.repeat(head, np.diff(np.append(head, len(name))))
     late = (text != text[head]) | (p != p[head])
-    return runs(text[late], p[late])
+    return tuple(np.concatenate(x) for x in zip(copies, runs(text[late], p[late])))
 
 
 def runs(text: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
