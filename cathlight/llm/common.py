@@ -85,13 +85,13 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         return out.where("a <> b").distinct()
 
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges, seen = scratch.write(down), None
-    while True:
+    sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    edges = scratch.write(down)
+    seen = sign(edges)
+    while seen[0]:
         after = scratch.write(star(star(edges, True), False))
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(edges)
-        edges = after
-        if tuple(now) == seen:
+        edges, before, seen = after, seen, sign(after)
+        if seen == before:
             break
-        seen = tuple(now)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

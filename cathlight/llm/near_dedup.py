@@ -11,9 +11,9 @@ threshold (by five standard deviations) is passed over, any other pair is confir
 the full sets.
 
 Groups of near copies are not expanded into all pairs: first each leaf's classes are held against
-one of them, and then only pairs that are in different components so far. What is still in a large
-node at the last common level goes on branching, one coordinate at a time, until each node is small
-or lies in one component, so no node is capped or dropped.
+one of them, and then only pairs that are in different components so far. A node whose components
+still form too many pairs goes on branching, one coordinate at a time, until it has few or lies in
+one component, so no node is capped or dropped.
 
 Null and empty texts, and texts without a word, have an empty set and are linked with nothing. Texts
 with fewer words than a shingle are one shingle. Rows with a null id take no part and come back with
@@ -185,32 +185,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return nodes.join(pivot.select("node", "p.p"), "node").where("_id <> p").select(F.least("_id", "p").alias("a"), F.greatest("_id", "p").alias("b"))
 
     def mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """(node, _id, component) of the nodes that hold more than one component."""
+        """(node, _id, component, major, few) of the nodes that hold more than one component.
+
+        major is the node's largest component; few says that pairs across its components are no more than its rows times LEAF.
+        """
         told = nodes.join(labels, nodes["_id"] == labels["id"], "left").select("node", "_id", F.coalesce("component", "_id").alias("component"))
-        several = told.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-        return scratch.write(told.join(several, "node", "left_semi"))
+        parts = told.groupBy("node", "component").agg(F.count("*").alias("c"))
+        sizes = parts.groupBy("node").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "component"))["component"].alias("major"))
+        several = sizes.where("parts > 1").select("node", "major", (F.col("n") * F.col("n") - F.col("sq") <= 2 * LEAF * F.col("n")).alias("few"))
+        return scratch.write(told.join(several, "node"))
 
     def across(nodes: DataFrame) -> DataFrame:
-        """All pairs of different components in small nodes: at most LEAF for each row."""
-        x = nodes.select("node", F.col("_id").alias("a"), F.col("component").alias("x"))
+        """All pairs of different components: every class outside a node's largest component against the others."""
+        x = nodes.where("component <> major").select("node", F.col("_id").alias("a"), F.col("component").alias("x"))
         y = nodes.select("node", F.col("_id").alias("b"), F.col("component").alias("y"))
-        return x.join(y, "node").where("a < b and x <> y").select("a", "b")
+        return x.join(y, "node").where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     small, large = grow(None, 2)
     leaves = small
     for _ in range(DEPTH - 1):
         small, large = grow(large, 2)
         leaves = leaves.unionByName(small)
-    links = confirm(stars(leaves.unionByName(large)))
-    labels = components(scratch, links)
-    links = links.unionByName(confirm(across(mixed(leaves, labels))))
-    labels = components(scratch, links)
-    rest = mixed(large, labels)
-    while not rest.isEmpty():
+    nodes = leaves.unionByName(large)
+    links = confirm(stars(nodes))
+    while True:
+        split = mixed(nodes, components(scratch, links))
+        found = confirm(across(split.where("few")))
+        links = links.unionByName(found)
+        rest = split.where("not few").select("node", "_id")
+        if rest.isEmpty():
+            break
+        # too many pairs across: another class of each node against all, and the next coordinate
         small, large = grow(rest, 1)
-        links = links.unionByName(confirm(stars(large).unionByName(across(mixed(small, labels)))))
-        labels = components(scratch, links)
-        rest = mixed(large, labels)
+        nodes = small.unionByName(large)
+        links = links.unionByName(confirm(stars(nodes)))
     final = components(scratch, links.unionByName(copies))
     n = signed.groupBy("_id").agg(F.max("n_shingles").alias("n_shingles"))
     told = n.join(final, n["_id"] == final["id"], "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component_id"))

@@ -8,12 +8,14 @@ from .packing import op6_retrieval_packing
 from .quality_rules import op5_quality_rules
 from .suffix_dedup import op9_suffix_dedup
 from .suffix_tree_lm import op8_suffix_tree_lm
+from .topk_search import OP4_SQL, op4_exact_topk
 from .toxicity import op7_toxicity
 from .url_filter import OP10_SQL, op10_url_reputation
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_exact_topk": op4_exact_topk,
     "op5_quality_rules": op5_quality_rules,
     "op6_retrieval_packing": op6_retrieval_packing,
     "op7_toxicity": op7_toxicity,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_reputation": op10_url_reputation,
 }
-SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op10_url_reputation": OP10_SQL}
+SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_exact_topk": OP4_SQL, "op10_url_reputation": OP10_SQL}
