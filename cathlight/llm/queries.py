@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP3_SQL, op3_chat_format
 from .near_dedup import op2_minhash_near_dedup
 from .packing import op6_retrieval_packing
+from .pieces import op1_sentencepiece
 from .quality_rules import op5_quality_rules
 from .suffix_dedup import op9_suffix_dedup
 from .suffix_tree_lm import op8_suffix_tree_lm
@@ -13,6 +14,7 @@ from .toxicity import op7_toxicity
 from .url_filter import OP10_SQL, op10_url_reputation
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_exact_topk": op4_exact_topk,
