@@ -2,7 +2,7 @@
 
 Every text is a set of distinct word shingles. Texts with equal sets are one class from the start.
 A class carries COORDS minwise tokens. In each of TREES independent trees, a node picks two of the
-coordinates by its own name, and a class goes on to the child named by the node, the coordinate
+coordinates (one, below DEPTH levels) by its own name, and a class goes on to the child named by the node, the coordinate
 and the class's token there: two classes of similarity s share a child with probability s, so at
 0.8 a pair stays together in some branch of a tree with probability above 0.93, and in one of four
 trees with probability above 0.9999. Nodes with one class end; nodes with at most LEAF classes are
@@ -10,10 +10,10 @@ compared exhaustively; larger ones branch. A pair whose minwise tokens agree too
 threshold (by five standard deviations) is passed over, any other pair is confirmed or refused on
 the full sets.
 
-Groups of near copies are not expanded into all pairs: first each leaf's classes are held against
-one of them, and then only pairs that are in different components so far. A node whose components
-still form too many pairs goes on branching, one coordinate at a time, until it has few or lies in
-one component, so no node is capped or dropped.
+Groups of near copies are not expanded into all pairs: a large node's classes are held against one
+of them first, and a node that lies in one component by then is closed. Of the others, those with at
+most MIDDLE classes, or whose components form few pairs, are compared exhaustively across components,
+and the rest branch on, so no node is capped or dropped.
 
 Null and empty texts, and texts without a word, have an empty set and are linked with nothing. Texts
 with fewer words than a shingle are one shingle. Rows with a null id take no part and come back with
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Scratch, components
 
-TREES, COORDS, DEPTH, LEAF = 4, 64, 4, 24
+TREES, COORDS, DEPTH, LEAF, MIDDLE = 4, 64, 4, 24, 512
+BITS = 1 << 27  # of the filter that is broadcast, 16 MB whatever the input
 SEEDS = K.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 SIGN = "_id long, n_shingles long, _set long, _set2 long, _coords binary"
 
@@ -110,9 +111,14 @@ def branch(width: int, seeded: bool):
     return run
 
 
-def likely(threshold: float):
-    """Pairs whose minwise tokens agree often enough for the threshold."""
-    least = COORDS * threshold - 5 * (COORDS * threshold * (1 - threshold)) ** 0.5
+def least_agreement(threshold: float) -> float:
+    """Coordinates that a pair of at least this similarity has in common, five standard deviations down."""
+    return COORDS * threshold - 5 * (COORDS * threshold * (1 - threshold)) ** 0.5
+
+
+def likely(percent: int):
+    """Pairs whose sizes and minwise tokens allow the threshold."""
+    least = least_agreement(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,6 +129,42 @@ def likely(threshold: float):
     return run
 
 
+def within(percent: int):
+    """Likely pairs of different components in (node, _id, component, n_shingles, _coords), whose nodes are small, sorted by node."""
+    least = least_agreement(percent / 100)
+
+    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(rows)
+        node, ids, n, own = (whole.column(c).to_numpy() for c in ("node", "_id", "n_shingles", "component"))
+        coords, out = matrix(whole.column("_coords")), []
+        for d in range(1, len(node)):
+            x = np.flatnonzero(node[:-d] == node[d:])
+            if not len(x):
+                break
+            x = x[own[x] != own[x + d]]
+            x = x[100 * np.minimum(n[x], n[x + d]) >= percent * np.maximum(n[x], n[x + d])]
+            x = x[(coords[x] == coords[x + d]).sum(axis=1) >= least]
+            out.append(np.stack([np.minimum(ids[x], ids[x + d]), np.maximum(ids[x], ids[x + d])]))
+        got = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = np.asarray(batch.column("node"))
+            cut = int(np.flatnonzero(node == node[-1])[0])
+            if cut or (held and held[-1].column("node")[-1].as_py() != node[0]):
+                yield pairs([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield pairs(held)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with n_shingles, component_id and kept; links have 100 * intersection >= percent * union.
 
@@ -139,86 +181,99 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coords = reps.select("_id", "_coords", "n_shingles")
     copies = signed.join(reps.select(F.col("_id").alias("b"), "_set", "_set2", "n_shingles"), ["_set", "_set2", "n_shingles"]).select(F.col("_id").alias("a"), "b").where("a <> b")
 
-    def grow(frontier: DataFrame | None, width: int) -> tuple[DataFrame, DataFrame]:
-        """The next level as (leaves, larger nodes); nodes with one class are gone."""
+    def grow(frontier: DataFrame | None, width: int) -> DataFrame:
+        """The next level as (node, _id, size); nodes with one class are gone."""
         rows = coords.select("_id", "_coords") if frontier is None else frontier.select("node", "_id").join(coords.select("_id", "_coords"), "_id")
         below = rows.mapInArrow(branch(width, frontier is None), "node long, _id long").distinct()
         size = below.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        level = scratch.write(below.join(size, "node"))
-        return level.where(F.col("size") <= LEAF).select("node", "_id"), level.where(F.col("size") > LEAF).select("node", "_id")
+        return scratch.write(below.join(size, "node"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """The pairs (a < b) that are links, on full sets."""
+    def hopeful(pairs: DataFrame) -> DataFrame:
         ca = coords.select(F.col("_id").alias("a"), F.col("_coords").alias("ca"), F.col("n_shingles").alias("na"))
         cb = coords.select(F.col("_id").alias("b"), F.col("_coords").alias("cb"), F.col("n_shingles").alias("nb"))
         sized = pairs.distinct().join(ca, "a").join(cb, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        hopeful = scratch.write(sized.select("a", "b", "ca", "cb").mapInArrow(likely(percent / 100), "a long, b long"))
-        ids = hopeful.select(F.col("a").alias("_id")).union(hopeful.select(F.col("b").alias("_id"))).distinct()
-
-        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [s.tobytes() for s in shingle_sets(K.plain(batch, "_text"), shingle)]
-                sums = [int(K.mix(np.frombuffer(s, np.uint64)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sums, pa.int64()), pa.array(sets, pa.binary())], names=["_id", "_set", "s"])
-
-        # of rows with one id, the row that stands for the class
-        full = scratch.write(base.join(ids, "_id", "left_semi").mapInArrow(members, "_id long, _set long, s binary").join(reps.select("_id", "_set"), ["_id", "_set"], "left_semi").dropDuplicates(["_id", "_set"]))
-        one = full.select(F.col("_id").alias("a"), F.col("s").alias("sa"))
-        two = full.select(F.col("_id").alias("b"), F.col("s").alias("sb"))
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        links = scratch.write(hopeful.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long"))
-        scratch.drop(full, hopeful)
-        return links
+        return sized.select("a", "b", "ca", "cb").mapInArrow(likely(percent), "a long, b long")
 
     def stars(nodes: DataFrame) -> DataFrame:
-        """Each node's classes against one of them, another one in each node."""
-        pivot = nodes.groupBy("node").agg(F.min(F.struct(F.xxhash64("_id", "node").alias("h"), F.col("_id").alias("p"))).alias("p"))
-        return nodes.join(pivot.select("node", "p.p"), "node").where("_id <> p").select(F.least("_id", "p").alias("a"), F.greatest("_id", "p").alias("b"))
+        """Each large node's classes against the first of them."""
+        pivot = nodes.groupBy("node").agg(F.min("_id").alias("p"))
+        return hopeful(nodes.join(pivot, "node").where("_id <> p").select(F.col("p").alias("a"), F.col("_id").alias("b")))
+
+    def small(nodes: DataFrame) -> DataFrame:
+        """Likely pairs of different components in (node, _id, component), at most MIDDLE rows a node."""
+        rows = nodes.join(coords, "_id").select("node", "_id", "component", "n_shingles", "_coords")
+        return rows.repartition("node").sortWithinPartitions("node", "_id").mapInArrow(within(percent), "a long, b long")
 
     def mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """(node, _id, component, major, few) of the nodes that hold more than one component.
+        """(node, _id, component, n, major, few) of the nodes that hold more than one component.
 
         major is the node's largest component; few says that pairs across its components are no more than its rows times LEAF.
         """
         told = nodes.join(labels, nodes["_id"] == labels["id"], "left").select("node", "_id", F.coalesce("component", "_id").alias("component"))
         parts = told.groupBy("node", "component").agg(F.count("*").alias("c"))
         sizes = parts.groupBy("node").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "component"))["component"].alias("major"))
-        several = sizes.where("parts > 1").select("node", "major", (F.col("n") * F.col("n") - F.col("sq") <= 2 * LEAF * F.col("n")).alias("few"))
+        several = sizes.where("parts > 1").select("node", "n", "major", (F.col("n") * F.col("n") - F.col("sq") <= 2 * LEAF * F.col("n")).alias("few"))
         return scratch.write(told.join(several, "node"))
 
     def across(nodes: DataFrame) -> DataFrame:
         """All pairs of different components: every class outside a node's largest component against the others."""
         x = nodes.where("component <> major").select("node", F.col("_id").alias("a"), F.col("component").alias("x"))
         y = nodes.select("node", F.col("_id").alias("b"), F.col("component").alias("y"))
-        return x.join(y, "node").where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    small, large = grow(None, 2)
-    leaves = small
-    for _ in range(DEPTH - 1):
-        small, large = grow(large, 2)
-        leaves = leaves.unionByName(small)
-    nodes = leaves.unionByName(large)
-    links = confirm(stars(nodes))
+        return hopeful(x.join(y, "node").where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+    # the first level says which classes may have a partner; their full sets are kept from here on
+    level = grow(None, 2)
+    large = level.where(F.col("size") > LEAF)
+    pairs = scratch.write(small(level.where(F.col("size") <= LEAF).withColumn("component", F.col("_id"))).unionByName(stars(large)).distinct())
+    spot = F.pmod(F.xxhash64("_id"), F.lit(BITS)) + 1
+    active = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).union(large.select("_id"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for bucket, part in active.groupBy(F.bitmap_bucket_number(spot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).toLocalIterator():
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("_spot"))
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            sets = list(shingle_sets(K.plain(batch, "_text"), shingle))
+            sums = [int(K.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sums, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_id", "_set", "s"])
+
+    found = base.withColumn("_spot", spot - 1).mapInArrow(members, "_id long, _set long, s binary")
+    full = scratch.write(found.join(reps.select("_id", "_set"), ["_id", "_set"], "left_semi").dropDuplicates(["_id", "_set"]))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links, on full sets."""
+        one = full.select(F.col("_id").alias("a"), F.col("s").alias("sa"))
+        two = full.select(F.col("_id").alias("b"), F.col("s").alias("sb"))
+        return scratch.write(pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long"))
+
+    links, depth = confirm(pairs), 1
+    labels = components(scratch, links)
     while True:
-        split = mixed(nodes, components(scratch, links))
-        found = confirm(across(split.where("few")))
-        links = links.unionByName(found)
-        rest = split.where("not few").select("node", "_id")
+        split = mixed(large.select("node", "_id"), labels)
+        if split.isEmpty():
+            break
+        near = confirm(small(split.where(F.col("n") <= MIDDLE)).unionByName(across(split.where((F.col("n") > MIDDLE) & F.col("few")))).distinct())
+        rest = split.where((F.col("n") > MIDDLE) & ~F.col("few")).select("node", "_id")
         if rest.isEmpty():
+            links = links.unionByName(near)
             break
-        # too many pairs across: another class of each node against all, and the next coordinate
-        small, large = grow(rest, 1)
-        nodes = small.unionByName(large)
-        links = links.unionByName(confirm(stars(nodes)))
+        depth += 1
+        level = grow(rest, 2 if depth <= DEPTH else 1)
+        large = level.where(F.col("size") > LEAF)
+        links = links.unionByName(near).unionByName(confirm(small(level.where(F.col("size") <= LEAF).withColumn("component", F.col("_id"))).unionByName(stars(large)).distinct()))
+        labels = components(scratch, links)
     final = components(scratch, links.unionByName(copies))
     n = signed.groupBy("_id").agg(F.max("n_shingles").alias("n_shingles"))
     told = n.join(final, n["_id"] == final["id"], "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component_id"))

@@ -222,12 +222,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return scratch, first, scratch.write(spans)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """docs with kept_text (invalid UTF-8 at cuts is left as bytes in kept_bytes), n_bytes, n_removed, n_spans.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, as_text: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept_bytes or, as_text, kept_text (without characters that a cut has split).
 
     Columns of docs that clash with these names are replaced.
     """
-    added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
+    added = ["n_bytes", "n_removed", "n_spans", "kept_text" if as_text else "kept_bytes"]
     _, first, spans = repeated_spans(docs, id_col, text_col, length)
     docs = docs.drop(*added)
     per = spans.groupBy("_id", "_h").agg(F.collect_list("_lo").alias("_lo"), F.collect_list("_hi").alias("_hi"))
@@ -259,11 +259,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         gone = np.cumsum(mark)[:n] > 0
                         starts = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                         out.append((n, int(gone.sum()), starts, np.frombuffer(t, np.uint8)[~gone].tobytes()))
-                cols = list(zip(*out)) if out else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names + added)
+                *numbers, kept = list(zip(*out)) if out else [[], [], [], []]
+                kept = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(c, pa.int64()) for c in numbers] + [kept], names=names + added)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(cut, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
+    return joined.mapInArrow(cut, f"{schema}, n_bytes long, n_removed long, n_spans long, {added[-1]} {'string' if as_text else 'binary'}")
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
