@@ -53,16 +53,24 @@ def stream(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys(raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each predicted byte with the DEPTH bytes before it, as one number, and where texts begin in them."""
-    out = np.zeros(max(len(raw) - DEPTH, 0), np.int64)
-    for k in range(DEPTH + 1):
-        out = out << 8 | raw[k : len(raw) - DEPTH + k]
+    """Each predicted byte with the DEPTH bytes before it, and where texts begin in them.
+
+    A key is the history, its last byte first, then the predicted byte: suffixes of a history are
+    prefixes of its key, so sorted keys meet the states of every depth in order.
+    """
+    v = K.loads(np.concatenate([raw, np.zeros(8, np.uint8)]))[: max(len(raw) - DEPTH, 0)]
+    out = ((v & np.uint64((1 << 8 * DEPTH) - 1)) << np.uint64(8) | (v >> np.uint64(8 * DEPTH)) & np.uint64(255)).view(np.int64)
     inner = np.ones(len(out), bool)
     for s in range(DEPTH):  # the ends before a text aren't predicted
         inner[start[1:-1] - DEPTH + s] = False
     return out[inner], start - np.arange(len(start)) * DEPTH
 
 
+def at_depth(key, depth: int):
+    """The key of a shorter history."""
+    return key >> 8 * (1 + DEPTH - depth) << 8 | key & 255
+
+
 class Tree:
     """States and distributions of each depth as sorted arrays."""
 
@@ -80,19 +88,20 @@ class Tree:
             if depth == 0:
                 below = uniform[key & 255]
             else:
-                low = (1 << 8 * depth) - 1
-                below = probability[-1][np.searchsorted(tables[depth - 1][0], key & low)]
+                below = probability[-1][np.searchsorted(tables[depth - 1][0], key >> 16 << 8 | key & 255)]
             p = (n + PRIOR * below) / (size[group] + PRIOR)
             gain = np.bincount(group, n * np.log(p / below), len(context)) if len(key) else np.zeros(0)
             probability.append(p)
             keep.append((size >= P_MIN * total / 2) & (gain >= GAIN) if depth else np.ones(len(context), bool))
         for depth in range(DEPTH, 1, -1):  # a state's suffixes are states
-            need = np.unique(tables[depth][2][keep[depth]] & ((1 << 8 * (depth - 1)) - 1))
+            need = np.unique(tables[depth][2][keep[depth]] >> 8)
             keep[depth - 1][np.searchsorted(tables[depth - 1][2], need)] = True
         for depth, (key, n, context, group, size) in enumerate(tables):
             own = keep[depth]
             some = own[group] if len(key) else np.zeros(0, bool)
             self.levels.append((context[own], np.log10(PRIOR / (size[own] + PRIOR)), key[some], np.log10(probability[depth][some])))
+        full = np.argsort(tables[-1][1], kind="stable")[-SLOT // 4 :]
+        self.frequent = tables[-1][0][full]  # by rising count
         self.slot_key = self.slot_value = None
 
     def slow(self, key: np.ndarray) -> np.ndarray:
@@ -100,7 +109,7 @@ class Tree:
         out, open_ = np.zeros(len(key)), np.ones(len(key), bool)
         for depth in range(DEPTH, -1, -1):
             context, weight, entry, value = self.levels[depth]
-            own = key & ((1 << 8 * (depth + 1)) - 1)
+            own = at_depth(key, depth)
             if not len(context):
                 continue
             at = np.minimum(np.searchsorted(context, own >> 8), len(context) - 1)
@@ -115,22 +124,26 @@ class Tree:
         return out
 
     def score(self, key: np.ndarray) -> np.ndarray:
-        """slow(), through a table of the keys met lately."""
+        """slow(), through a table of the most frequent keys and of others that found a free slot."""
+        place = lambda k: (k.view(np.uint64) * K.MULT[0] >> np.uint64(64 - SLOT.bit_length() + 1)).astype(np.int64)
         if self.slot_key is None:
             self.slot_key, self.slot_value = np.full(SLOT, -1, np.int64), np.zeros(SLOT)
-        slot = (key.view(np.uint64) * K.MULT[0] >> np.uint64(43)).astype(np.int64)
-        miss = self.slot_key[slot] != key
-        if miss.any():
-            new = np.unique(key[miss])
+            self.slot_key[place(self.frequent)] = self.frequent
+            some = np.flatnonzero(self.slot_key >= 0)
+            self.slot_value[some] = self.slow(self.slot_key[some])
+        slot = place(key)
+        out = self.slot_value[slot]
+        miss = np.flatnonzero(self.slot_key[slot] != key)
+        if len(miss):
+            new, inverse = np.unique(key[miss], return_inverse=True)
             value = self.slow(new)
-            at = (new.view(np.uint64) * K.MULT[0] >> np.uint64(43)).astype(np.int64)
-            self.slot_key[at], self.slot_value[at] = new, value
-            out = self.slot_value[slot]
-            wrong = self.slot_key[slot] != key  # two new keys of one slot
-            if wrong.any():
-                out[wrong] = value[np.searchsorted(new, key[wrong])] if miss[wrong].all() else self.slow(key[wrong])
-            return out
-        return self.slot_value[slot]
+            out[miss] = value[inverse]
+            at = place(new)
+            free = self.slot_key[at] < 0
+            self.slot_key[at[free]] = new[free]
+            own = self.slot_key[at] == new
+            self.slot_value[at[own]] = value[own]
+        return out
 
 
 def fold(id_col: str = "doc_id"):
@@ -189,7 +202,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     weight = P_MIN * totals.get(1, (0, 0))[0]
     k, n = [], []
     for depth in range(DEPTH + 1):
-        own = F.col("k").bitwiseAND((1 << 8 * (depth + 1)) - 1)
+        own = F.shiftleft(F.shiftright("k", 8 * (1 + DEPTH - depth)), 8).bitwiseOR(F.col("k").bitwiseAND(255))
         by = grams.groupBy(own.alias("k")).agg(F.sum("n").alias("n"))
         whole = by.groupBy(F.shiftright("k", 8).alias("c")).agg(F.sum("n").alias("w")).where(F.col("w") >= weight)
         # at most 10 / P_MIN entries
@@ -208,7 +221,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         logs = np.log10(times + 1.0)
         for batch in batches:
             column = K.plain(batch, "_text")
-            for i, j in K.slices(column, 1 << 20):
+            for i, j in K.slices(column):
                 words = K.Words(K.Texts(column[i:j]))
                 raw, start = stream(words)
                 key, begin = keys(raw, start)
