@@ -12,6 +12,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+SPACE_ALONE = np.arange(256) == 32
+SLOTS = 22
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -66,9 +68,9 @@ class Texts:
 class Words:
     """Words of Texts: begin and end (bytes), doc (index of the text), first (index of each text's first word)."""
 
-    def __init__(self, texts: Texts, lower: bool = True):
+    def __init__(self, texts: Texts, lower: bool = True, blank: np.ndarray = BLANK):
         raw = LOWER[texts.bytes] if lower else texts.bytes
-        n, blank = len(raw), BLANK[raw]
+        n, blank = len(raw), blank[raw]
         at = np.zeros(n + 1, bool)
         at[texts.start] = True
         gap = np.empty(n + 1, bool)
@@ -106,7 +108,7 @@ class Words:
         return mix(out[whole]), whole
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes; a longer text stands alone."""
     size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)) if len(column) else np.zeros(0)
     begin, total = 0, 0
@@ -139,3 +141,48 @@ def name32(raw: np.ndarray) -> np.ndarray:
         out += v[8 * k : n + 8 * k]
         out *= MULT[k]
     return mix(out)
+
+
+class Memo:
+    """Ids of words met lately, by the words' 64-bit hashes: a table of two places a word, and a pool of ids."""
+
+    def __init__(self):
+        self.key, self.word = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.key[:] = 0
+        self.n, self.used = 0, 0
+        self.start, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = np.uint64((1 << SLOTS) - 1)
+        return (h & low).astype(np.int64), (h >> np.uint64(SLOTS) & low).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Word numbers, -1 where unknown."""
+        a, b = self.places(h)
+        return np.where(self.key[a] == h, self.word[a], np.where(self.key[b] == h, self.word[b], -1))
+
+    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of new words, whose ids lie end to end."""
+        while self.n + len(h) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        while self.used + int(size.sum()) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + int(size.sum())] = ids
+        self.start[self.n + 1 : self.n + len(h) + 1] = self.used + np.cumsum(size)
+        number = np.arange(self.n, self.n + len(h))
+        self.n, self.used = self.n + len(h), self.used + int(size.sum())
+        a, b = self.places(h)
+        at = np.where((self.key[a] == 0) | (self.key[b] != 0), a, b)
+        self.key[at], self.word[at] = h, number
+        return number
+
+    def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words end to end, and where each word begins (one more than words)."""
+        size = self.start[number + 1] - self.start[number]
+        end = np.cumsum(size)
+        first = np.concatenate([[0], end])
+        at = np.repeat(self.start[number] - first[:-1], size) + np.arange(int(first[-1]))
+        return self.pool[at], first

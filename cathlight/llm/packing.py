@@ -13,7 +13,7 @@ each by themselves. Other columns are not part of the result.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,43 +29,101 @@ from .common import table
 
 WINDOW, END_ID, SHARD, TERMS = 1024, 0, 2048, 32
 K1, B = 1.2, 0.75
-ODD = re.compile(r"\s\s|\A\s|\s\Z")
-MEMO = 600_000
-_memo: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+MEMO = 1_500_000
+_memos: dict[str, K.Memo] = {}
+_tokenizers: dict[str, tuple] = {}
 
 
 def tokenizer(path: str):
+    """The tokenizer, and which ids begin with a space."""
     if path not in _tokenizers:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
+        coder = Tokenizer.from_file(path)
+        spaced = np.zeros(coder.get_vocab_size(), bool)
+        spaced[[i for t, i in coder.get_vocab().items() if t.startswith("\u0120")]] = True
+        _tokenizers[path] = coder, spaced
     return _tokenizers[path]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def odd_spacing(texts: K.Texts) -> np.ndarray:
+    """Texts with white space side by side or at an end, or with any beyond ASCII."""
+    raw, start = texts.bytes, texts.start
+    blank = K.BLANK[raw]
+    bad = np.zeros(len(raw) + 1, bool)
+    bad[1:-1] = blank[1:] & blank[:-1]
+    lead = np.flatnonzero((raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))
+    if len(lead):
+        padded = np.concatenate([raw, np.zeros(2, np.uint8)])
+        a, b, c = raw[lead], padded[lead + 1], padded[lead + 2]
+        # White space of Unicode beyond ASCII
+        wide = ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+        wide |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+        bad[lead[wide]] = True
+    size = np.diff(start)
+    some = np.flatnonzero(size)
+    bad[start[:-1][some]] |= blank[start[:-1][some]]
+    bad[start[1:][some] - 1] |= blank[start[1:][some] - 1]
+    out = np.zeros(len(size), bool)
+    if len(some):
+        out[some] = np.logical_or.reduceat(bad[:-1], start[:-1][some])
+    return out
+
+
+def encode_words(words: list[str], path: str) -> list[bytes]:
+    """The ids of each word after a space; many at a time, parted where a token begins with a space."""
+    coder, spaced = tokenizer(path)
+    groups = [words[a : a + 256] for a in range(0, len(words), 256)]
+    out: list[bytes] = []
+    for own, found in zip(groups, coder.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(found.ids, "<u4")
+        first = np.flatnonzero(spaced[ids])
+        if len(first) != len(own):
+            out += [np.array(x.ids, "<u4").tobytes() for x in coder.encode_batch_fast([" " + w for w in own], add_special_tokens=False)]
+            continue
+        raw = ids.tobytes()
+        cut = [*(4 * first).tolist(), len(raw)]
+        out += [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    return out
+
+
+def encode(column: pa.Array, path: str) -> list[bytes]:
     """The ids (32-bit, little-endian) of each text.
 
     The tokenizer splits at a single space between two other characters whatever surrounds them, so
     words are encoded once and remembered; a text with any other run of white space is encoded whole.
     """
-    coder, memo = tokenizer(path), _memo.setdefault(path, {})
-    if len(memo) > MEMO:
+    coder = tokenizer(path)[0]
+    if path not in _memos:
+        _memos[path] = K.Memo()
+    memo = _memos[path]
+    if memo.n > MEMO:
         memo.clear()
-    raw = lambda found: np.array(found.ids, "<u4").tobytes()
-    split = [None if ODD.search(t) else t.split(" ") for t in texts]
-    new: set[str] = set()
-    for parts in split:
-        if parts:
-            new.update(parts[1:])
-    fresh = [w for w in new if w not in memo]
-    for w, found in zip(fresh, coder.encode_batch_fast([" " + w for w in fresh], add_special_tokens=False)):
-        memo[w] = raw(found)
-    heads = coder.encode_batch_fast([t if parts is None else parts[0] for t, parts in zip(texts, split)], add_special_tokens=False)
-    return [raw(head) + (b"".join([memo[w] for w in parts[1:]]) if parts else b"") for head, parts in zip(heads, split)]
+    texts = K.Texts(column)
+    whole = odd_spacing(texts) | (np.diff(texts.start) == 0)
+    words = K.Words(texts, lower=False, blank=K.SPACE_ALONE)
+    after = np.ones(len(words.begin), bool)  # words after a text's first
+    after[words.first[:-1][words.count > 0]] = False
+    after &= ~whole[words.doc]
+    own = np.flatnonzero(after)
+    h = words.hashes()[own] | np.uint64(1)
+    number = memo.find(h).astype(np.int64)
+    miss = np.flatnonzero(number < 0)
+    if len(miss):
+        new, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
+        raw = texts.bytes.tobytes()
+        at = own[miss[first]]
+        fresh = [raw[a:b].decode() for a, b in zip(words.begin[at].tolist(), words.end[at].tolist())]
+        coded = encode_words(fresh, path)
+        number[miss] = memo.add(new, np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4)[inverse]
+    ids, begin = memo.ids(number)
+    cut = 4 * begin[np.searchsorted(own, words.first)]
+    raw_ids = ids.tobytes()
+    strings = column.to_pylist()
+    heads = [t if w else t.split(" ", 1)[0] for t, w in zip(strings, whole.tolist())]
+    coded = coder.encode_batch_fast(heads, add_special_tokens=False)
+    return [np.array(head.ids, "<u4").tobytes() + raw_ids[a:b] for head, a, b in zip(coded, cut[:-1].tolist(), cut[1:].tolist())]
 
 
 class Shard:
@@ -166,7 +224,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             column, ids = K.plain(batch, "_text"), batch.column("_id").to_pylist()
             for i, j in K.slices(column):
                 rows = []
-                for d, raw in zip(ids[i:j], encode(column[i:j].to_pylist(), path)):
+                for d, raw in zip(ids[i:j], encode(column[i:j], path)):
                     raw += end
                     n = len(raw) // 4
                     whole = n - n % window
