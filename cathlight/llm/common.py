@@ -82,7 +82,8 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
             out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        out = out.where("a <> b")
+        return out if large else out.distinct()
 
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

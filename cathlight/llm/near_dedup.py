@@ -17,7 +17,8 @@ and the rest branch on, so no node is capped or dropped.
 
 Null and empty texts, and texts without a word, have an empty set and are linked with nothing. Texts
 with fewer words than a shingle are one shingle. Rows with a null id take no part and come back with
-a null component. Equal ids are one vertex. Other columns are kept.
+a null component. Different texts of one id are classes of their own, and the id takes the larger
+set size and the smaller component. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Scratch, components
 
-TREES, COORDS, DEPTH, LEAF, MIDDLE = 4, 64, 4, 24, 512
+TREES, COORDS, DEPTH, LEAF, MIDDLE = 4, 64, 4, 6, 1024
 BITS = 1 << 27  # of the filter that is broadcast, 16 MB whatever the input
 SEEDS = K.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 SIGN = "_id long, n_shingles long, _set long, _set2 long, _coords binary"
@@ -129,42 +130,95 @@ def likely(percent: int):
     return run
 
 
-def within(percent: int):
-    """Likely pairs of different components in (node, _id, component, n_shingles, _coords), whose nodes are small, sorted by node."""
-    least = least_agreement(percent / 100)
-
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(rows)
-        node, ids, n, own = (whole.column(c).to_numpy() for c in ("node", "_id", "n_shingles", "component"))
-        coords, out = matrix(whole.column("_coords")), []
-        for d in range(1, len(node)):
-            x = np.flatnonzero(node[:-d] == node[d:])
-            if not len(x):
-                break
-            x = x[own[x] != own[x + d]]
-            x = x[100 * np.minimum(n[x], n[x + d]) >= percent * np.maximum(n[x], n[x + d])]
-            x = x[(coords[x] == coords[x + d]).sum(axis=1) >= least]
-            out.append(np.stack([np.minimum(ids[x], ids[x + d]), np.maximum(ids[x], ids[x + d])]))
-        got = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+def by_node(work):
+    """work(table) over whole nodes, from rows sorted by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = np.asarray(batch.column("node"))
-            cut = int(np.flatnonzero(node == node[-1])[0])
-            if cut or (held and held[-1].column("node")[-1].as_py() != node[0]):
-                yield pairs([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                node = np.asarray(part.column("node"))
+                cut = int(np.flatnonzero(node == node[-1])[0])
+                if cut or (held and held[-1].column("node")[-1].as_py() != node[0]):
+                    yield work(pa.Table.from_batches([*held, part.slice(0, cut)]))
+                    held = []
+                held.append(part.slice(cut))
         if held:
-            yield pairs(held)
+            yield work(pa.Table.from_batches(held))
 
     return run
 
 
+def likely_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (node, component, n_shingles, _coords) of the same node and different components that may be links."""
+    least = least_agreement(percent / 100)
+    node, n, own = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "component"))
+    coords, left, right = matrix(rows.column("_coords")), [], []
+    for d in range(1, len(node)):
+        x = np.flatnonzero(node[:-d] == node[d:])
+        if not len(x):
+            break
+        x = x[own[x] != own[x + d]]
+        x = x[100 * np.minimum(n[x], n[x + d]) >= percent * np.maximum(n[x], n[x + d])]
+        x = x[(coords[x] == coords[x + d]).sum(axis=1) >= least]
+        left.append(x)
+        right.append(x + d)
+    none = np.zeros(0, np.int64)
+    return np.concatenate(left or [none]), np.concatenate(right or [none])
+
+
+def pairs_within(percent: int):
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        x, y = likely_pairs(rows, percent)
+        ids = rows.column("_id").to_numpy()
+        got = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+
+    return by_node(work)
+
+
+def partnered(percent: int):
+    """The rows (node, _id, component) with a likely partner in their node."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        own = pa.array(np.unique(np.concatenate(likely_pairs(rows, percent))))
+        kept = ["node", "_id", "component"]
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(own) for c in kept], names=kept)
+
+    return by_node(work)
+
+
+def links_within(percent: int):
+    """Links that join the components of a node, on the full sets s; a pair already joined is not looked at."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        x, y = likely_pairs(rows, percent)
+        node, ids, own = (rows.column(c).to_pylist() for c in ("node", "_id", "component"))
+        sets, of, out = rows.column("s").to_pylist(), {}, []
+
+        def root(k):
+            while of.setdefault(k, k) != k:
+                of[k] = of[of[k]]
+                k = of[k]
+            return k
+
+        for i, j in zip(x.tolist(), y.tolist()):
+            p, q = root((node[i], own[i])), root((node[j], own[j]))
+            if p != q and linked(sets[i], sets[j], percent):
+                of[max(p, q)] = min(p, q)
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return by_node(work)
+
+
+def linked(one: bytes, two: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with n_shingles, component_id and kept; links have 100 * intersection >= percent * union.
 
@@ -179,12 +233,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed.where("n_shingles > 0").groupBy("_set", "_set2", "n_shingles").agg(F.min(F.struct("_id", "_coords")).alias("r")).select(F.col("r._id").alias("_id"), F.col("r._coords").alias("_coords"), "n_shingles", "_set", "_set2")
     )
     coords = reps.select("_id", "_coords", "n_shingles")
-    copies = signed.join(reps.select(F.col("_id").alias("b"), "_set", "_set2", "n_shingles"), ["_set", "_set2", "n_shingles"]).select(F.col("_id").alias("a"), "b").where("a <> b")
 
     def grow(frontier: DataFrame | None, width: int) -> DataFrame:
         """The next level as (node, _id, size); nodes with one class are gone."""
         rows = coords.select("_id", "_coords") if frontier is None else frontier.select("node", "_id").join(coords.select("_id", "_coords"), "_id")
-        below = rows.mapInArrow(branch(width, frontier is None), "node long, _id long").distinct()
+        below = rows.mapInArrow(branch(width, frontier is None), "node long, _id long")
         size = below.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         return scratch.write(below.join(size, "node"))
 
@@ -199,10 +252,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pivot = nodes.groupBy("node").agg(F.min("_id").alias("p"))
         return hopeful(nodes.join(pivot, "node").where("_id <> p").select(F.col("p").alias("a"), F.col("_id").alias("b")))
 
-    def small(nodes: DataFrame) -> DataFrame:
-        """Likely pairs of different components in (node, _id, component), at most MIDDLE rows a node."""
+    def sorted_(nodes: DataFrame) -> DataFrame:
         rows = nodes.join(coords, "_id").select("node", "_id", "component", "n_shingles", "_coords")
-        return rows.repartition("node").sortWithinPartitions("node", "_id").mapInArrow(within(percent), "a long, b long")
+        return rows.repartition("node").sortWithinPartitions("node", "_id")
+
+    def inside(nodes: DataFrame) -> DataFrame:
+        """Links across the components of (node, _id, component), at most MIDDLE rows a node; full sets go to a node once a row."""
+        some = sorted_(nodes).mapInArrow(partnered(percent), "node long, _id long, component long")
+        rows = some.join(coords, "_id").join(full.select("_id", "s"), "_id").select("node", "_id", "component", "n_shingles", "_coords", "s")
+        return rows.repartition("node").sortWithinPartitions("node", "_id").mapInArrow(links_within(percent), "a long, b long")
 
     def mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """(node, _id, component, n, major, few) of the nodes that hold more than one component.
@@ -224,7 +282,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the first level says which classes may have a partner; their full sets are kept from here on
     level = grow(None, 2)
     large = level.where(F.col("size") > LEAF)
-    pairs = scratch.write(small(level.where(F.col("size") <= LEAF).withColumn("component", F.col("_id"))).unionByName(stars(large)).distinct())
+    leaves = sorted_(level.where(F.col("size") <= LEAF).withColumn("component", F.col("_id"))).mapInArrow(pairs_within(percent), "a long, b long")
+    pairs = scratch.write(leaves.unionByName(stars(large)).distinct())
     spot = F.pmod(F.xxhash64("_id"), F.lit(BITS)) + 1
     active = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).union(large.select("_id"))
     bits = np.zeros(BITS // 8, np.uint8)
@@ -245,38 +304,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                keep = [linked(x, y, percent) for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist())]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs that are links, on full sets."""
         one = full.select(F.col("_id").alias("a"), F.col("s").alias("sa"))
         two = full.select(F.col("_id").alias("b"), F.col("s").alias("sb"))
-        return scratch.write(pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long"))
+        return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long")
 
-    links, depth = confirm(pairs), 1
-    labels = components(scratch, links)
+    links = scratch.write(confirm(pairs))
+    labels, depth = components(scratch, links), 1
     while True:
         split = mixed(large.select("node", "_id"), labels)
         if split.isEmpty():
             break
-        near = confirm(small(split.where(F.col("n") <= MIDDLE)).unionByName(across(split.where((F.col("n") > MIDDLE) & F.col("few")))).distinct())
-        rest = split.where((F.col("n") > MIDDLE) & ~F.col("few")).select("node", "_id")
-        if rest.isEmpty():
-            links = links.unionByName(near)
+        wide = split.where(F.col("n") > MIDDLE)
+        rest = wide.where(~F.col("few")).select("node", "_id")
+        near, found = split.where(F.col("n") <= MIDDLE).select("node", "_id", "component"), []
+        over = rest.isEmpty()
+        if not over:
+            depth += 1
+            level = grow(rest, 2 if depth <= DEPTH else 1)
+            large = level.where(F.col("size") > LEAF)
+            near = near.unionByName(level.where(F.col("size") <= LEAF).select("node", "_id", F.col("_id").alias("component")))
+            found.append(stars(large))
+        if not wide.isEmpty():
+            found.append(across(wide.where("few")))
+        new = inside(near)
+        for pairs in found:
+            new = new.unionByName(confirm(pairs.distinct()))
+        new = scratch.write(new)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(scratch, links)
+        if over:
             break
-        depth += 1
-        level = grow(rest, 2 if depth <= DEPTH else 1)
-        large = level.where(F.col("size") > LEAF)
-        links = links.unionByName(near).unionByName(confirm(small(level.where(F.col("size") <= LEAF).withColumn("component", F.col("_id"))).unionByName(stars(large)).distinct()))
-        labels = components(scratch, links)
-    final = components(scratch, links.unionByName(copies))
-    n = signed.groupBy("_id").agg(F.max("n_shingles").alias("n_shingles"))
-    told = n.join(final, n["_id"] == final["id"], "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component_id"))
+    # a class's id is its smallest one, so its label is the smallest id of the component
+    named = reps.join(labels, reps["_id"] == labels["id"], "left").select("_set", "_set2", "n_shingles", F.coalesce("component", "_id").alias("component"))
+    rows = signed.join(named, ["_set", "_set2", "n_shingles"], "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))
+    told = rows.groupBy("_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component").alias("component_id"))
     out = docs.drop(*added).withColumn("_id", F.col(id_col).cast("long")).join(told, "_id", "left").drop("_id")
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
