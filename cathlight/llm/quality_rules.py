@@ -147,6 +147,17 @@ def judge_quality(docs: DataFrame, rules: list[list[Condition]], text_col: str =
     return out.withColumn("kept", ~F.col("base_failed") & F.col("_kept")).drop("_kept", *[f for f in FEATURES if f not in BASE])
 
 
+def keep_good(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with their own columns.
+
+    The row number holds the filter above the statistics: pushed below them, it would repeat their
+    nested expressions many times over.
+    """
+    judged = judge_quality(docs.withColumnRenamed("kept", "_own_kept") if "kept" in docs.columns else docs, rules, text_col)
+    out = judged.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    return out.select(*[F.col("_own_kept").alias("kept") if c == "kept" else F.col(c) for c in docs.columns])
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learned_rules(docs, table(spark, sf_dir, "labels"))

@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
     rules = quality_rules.learned_rules(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge_quality(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs, rules)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
