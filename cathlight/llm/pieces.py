@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .common import table
 
 SPACE = "▁"
 MARK = SPACE.encode()
-LONG, CHUNK, MEMO = 96, 1 << 18, 600_000
+LONG, CHUNK, MEMO = 96, 1 << 18, 1_500_000
 # Kinds of pieces in a model file
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -109,7 +110,9 @@ class Model:
         self.score = score
         inside = [i for i in usable if any(self.pieces[i].decode("utf-8", "replace")[k] != SPACE and c == SPACE for k, c in enumerate(self.pieces[i].decode("utf-8", "replace")[1:]))]
         self.separable = not inside
-        self.plain = [SPACE_BYTES if k == UNKNOWN else b"" if k in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, b" ") for p, k in zip(self.pieces, self.kinds)]
+        plain = [SPACE_BYTES if k == UNKNOWN else b"" if k in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, b" ") for p, k in zip(self.pieces, self.kinds)]
+        self.plain_start = np.concatenate([[0], np.cumsum([len(x) for x in plain])])
+        self.plain = np.frombuffer(b"".join(plain), np.uint8)
 
     def normal(self, text: str) -> str:
         if self.squeeze:
@@ -137,11 +140,14 @@ class Model:
                 out.append(marks)
         return [head, *out] if head else out
 
-    def decode(self, ids: list[int]) -> str:
-        plain = self.plain
-        raw = b"".join([plain[i] for i in ids])
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+    def decode(self, ids: np.ndarray, cut: np.ndarray) -> list[str]:
+        """The texts of ids that lie end to end; cut has the beginning of each and the end."""
+        size = self.plain_start[ids + 1] - self.plain_start[ids]
+        first = np.concatenate([[0], np.cumsum(size)])
+        raw = self.plain[np.repeat(self.plain_start[ids] - first[:-1], size) + np.arange(int(first[-1]))].tobytes()
+        at = first[cut].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
+        return [t[1:] if t[:1] == " " else t for t in texts] if self.prefix else texts
 
 
 SPACE_BYTES = " ⁇ ".encode()
@@ -152,13 +158,13 @@ def suffix_array(raw: np.ndarray, reach: int) -> np.ndarray:
     n = len(raw)
     rank = np.unique(K.loads(np.concatenate([raw, np.zeros(8, np.uint8)])).byteswap(), return_inverse=True)[1].astype(np.int64) + 1
     width = 8
-    while width < reach:
+    while width < reach and rank.max() < n:  # until unique, or past the longest piece
         after = np.zeros(n, np.int64)
         if width < n:
             after[:-width] = rank[width:]
         rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
         width *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def edges(model: Model, raw: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,14 +196,14 @@ def edges(model: Model, raw: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray,
     at = order[np.repeat(bounds[0] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
     fits = at + model.size[piece] <= stop[at]
     key = at[fits] * 64 + model.size[piece[fits]] if model.longest < 64 else at[fits] * 4096 + model.size[piece[fits]]
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     return key[by], piece[fits][by]
 
 
-def encode_units(model: Model, units: list[str]) -> list[list[int]]:
-    """Ids of each part, through one suffix array."""
+def encode_units(model: Model, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the parts end to end and how many each has, through one suffix array."""
     coded = [u.encode() for u in units]
-    size = np.array([len(c) for c in coded], np.int64)
+    size = np.fromiter(map(len, coded), np.int64, len(coded))
     raw = np.frombuffer(b"".join(coded), np.uint8)
     end = np.cumsum(size)
     key, piece = edges(model, raw, np.repeat(end, size))
@@ -219,23 +225,28 @@ def encode_units(model: Model, units: list[str]) -> list[list[int]]:
         begin, length = best_paths(model, begin, length, unit, key, piece, width)
     at = np.minimum(np.searchsorted(key, begin * width + length), max(len(key) - 1, 0))
     known = key[at] == begin * width + length if len(key) else np.zeros(len(begin), bool)
-    ids = np.where(known, model.ids[piece[at]] if len(key) else 0, -1).tolist()
-    cut = np.searchsorted(begin, np.append(end - size, len(raw)))
-    if not known.all():
-        spans = list(zip(begin.tolist(), length.tolist()))
-        out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            row: list[int] = []
-            for i in range(a, b):
-                if ids[i] >= 0:
-                    row.append(ids[i])
-                elif model.byte_id:
-                    row += [model.byte_id[x] for x in raw[spans[i][0] : spans[i][0] + spans[i][1]].tolist()]
-                elif not (i > a and ids[i - 1] < 0):  # unknown neighbours are one
-                    row.append(model.unknown)
-            out.append(row)
-        return out
-    return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    ids = np.where(known, model.ids[piece[at]] if len(key) else 0, -1)
+    owner = np.searchsorted(end, begin, "right")
+    if known.all():
+        return ids, np.bincount(owner, minlength=len(units))
+    if len(model.byte_id) == 256:
+        count = np.where(known, 1, length)
+        flat, step = np.repeat(ids, count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        raw_at = np.flatnonzero(flat < 0)
+        table = np.array([model.byte_id[b] for b in range(256)])
+        flat[raw_at] = table[raw[(np.repeat(begin, count) + step)[raw_at]]]
+        return flat, np.bincount(owner, count, len(units)).astype(np.int64)
+    out: list[int] = []
+    size = np.zeros(len(units), np.int64)
+    listed = ids.tolist()
+    for i, u in enumerate(owner.tolist()):
+        before = len(out)
+        if listed[i] >= 0:
+            out.append(listed[i])
+        elif not (i and owner[i - 1] == u and listed[i - 1] < 0):  # unknown neighbours are one
+            out.append(model.unknown)
+        size[u] += len(out) - before
+    return np.array(out, np.int64), size
 
 
 def merge_all(model, begin, length, unit, key, piece, width) -> tuple[np.ndarray, np.ndarray]:
@@ -334,31 +345,74 @@ def best_paths(model, begin, length, unit, key, piece, width) -> tuple[np.ndarra
     return got[:, 0], got[:, 1]
 
 
-_models: dict[str, tuple[Model, dict]] = {}
+_models: dict[str, Model] = {}
+_memos: dict[str, K.Memo] = {}
 
 
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """The ids (32-bit, little-endian) of each text."""
+def model_of(path: str) -> Model:
     if path not in _models:
-        _models[path] = (Model(path), {})
-    model, memo = _models[path]
-    if len(memo) > MEMO:
+        _models[path] = Model(path)
+    return _models[path]
+
+
+def encode_new(model: Model, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """encode_units() in chunks of about CHUNK bytes."""
+    ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    cut = np.cumsum([len(u) + 2 for u in units]) // CHUNK if units else np.zeros(0)
+    for chunk in np.split(np.arange(len(units)), np.flatnonzero(np.diff(cut)) + 1):
+        if len(chunk):
+            x, n = encode_units(model, units[chunk[0] : chunk[-1] + 1])
+            ids.append(x)
+            sizes.append(n)
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+def encode_column(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and where each text begins in them (one more than texts).
+
+    Where spaces stand alone between other characters, the parts are the words between them, each
+    after a space mark; words met lately are known by a 64-bit hash. Other texts are cut in Python.
+    """
+    model = model_of(path)
+    if path not in _memos:
+        _memos[path] = K.Memo()
+    memo = _memos[path]
+    if memo.n > MEMO:
         memo.clear()
-    parts = [model.cuts(model.normal(t)) for t in texts]
-    new = set()
-    for p in parts:
-        new.update(p)
-    fresh = sorted(u for u in new if u not in memo)
-    a = 0
-    while a < len(fresh):
-        b, total = a, 0
-        while b < len(fresh) and (b == a or total < CHUNK):
-            total += 2 * len(fresh[b])
-            b += 1
-        for u, ids in zip(fresh[a:b], encode_units(model, fresh[a:b])):
-            memo[u] = np.array(ids, "<u4").tobytes()
-        a = b
-    return [b"".join([memo[u] for u in p]) for p in parts]
+    texts = K.Texts(column)
+    raw, start = texts.bytes, texts.start
+    words = K.Words(texts, lower=False, blank=K.SPACE_ALONE)
+    space = raw == 32
+    odd = np.zeros(len(start) - 1, bool)
+    strange = np.flatnonzero(space[1:] & space[:-1])
+    if len(raw) > 2:
+        strange = np.concatenate([strange, np.flatnonzero((raw[:-2] == MARK[0]) & (raw[1:-1] == MARK[1]) & (raw[2:] == MARK[2]))])
+    odd[np.searchsorted(start, strange, "right") - 1] = True
+    some = np.flatnonzero(np.diff(start))
+    odd[some] |= space[start[:-1][some]] | space[start[1:][some] - 1]
+    if not (model.separable and model.prefix):
+        odd[:] = True
+    own = np.flatnonzero(~odd[words.doc])
+    h = words.hashes()[own] | np.uint64(1)
+    number = memo.find(h).astype(np.int64)
+    miss = np.flatnonzero(number < 0)
+    if len(miss):
+        new, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
+        data, at = raw.tobytes(), own[miss[first]]
+        ids, size = encode_new(model, [SPACE + data[a:b].decode() for a, b in zip(words.begin[at].tolist(), words.end[at].tolist())])
+        number[miss] = memo.add(new, ids, size)[inverse]
+    ids, begin = memo.ids(number)
+    cut = begin[np.searchsorted(own, words.first)]
+    if not odd.any():
+        return ids, cut
+    strings = column.filter(pa.array(odd)).to_pylist()
+    parts = [model.cuts(model.normal(t)) for t in strings]
+    units = sorted(set().union(*parts))
+    coded, size = encode_new(model, units)
+    place = dict(zip(units, np.split(coded, np.cumsum(size)[:-1]))) if units else {}
+    lists = iter([np.concatenate([np.zeros(0, np.int64), *(place[u] for u in p)]) for p in parts])
+    rows = [next(lists) if o else ids[a:b] for o, a, b in zip(odd.tolist(), cut[:-1].tolist(), cut[1:].tolist())]
+    return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
 def _over(docs: DataFrame, name: str, kind: str, function) -> DataFrame:
@@ -379,9 +433,8 @@ def sp_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str =
     """docs with ids, array<int>."""
 
     def ids(part: pa.RecordBatch) -> pa.Array:
-        raw = encode_texts(path, K.plain(part, text_col).to_pylist())
-        offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+        got, cut = encode_column(path, K.plain(part, text_col))
+        return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(got.astype(np.int32)))
 
     return _over(docs, ids_col, "array<int>", ids)
 
@@ -390,10 +443,9 @@ def sp_decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     """docs with the text of ids; null ids give an empty text."""
 
     def texts(part: pa.RecordBatch) -> pa.Array:
-        if path not in _models:
-            _models[path] = (Model(path), {})
-        model = _models[path][0]
-        return pa.array([model.decode(x or []) for x in part.column(ids_col).to_pylist()], pa.string())
+        column = part.column(ids_col)
+        size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+        return pa.array(model_of(path).decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)])), pa.string())
 
     return _over(docs, text_col, "string", texts)
 
