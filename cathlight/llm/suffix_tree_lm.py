@@ -180,7 +180,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
                     held[kind].append(np.unique(found, return_counts=True))
                     if len(held[kind]) > 4:
                         merge(kind)
-                    if len(held[kind]) == 1 and len(held[kind][0][0]) > 2_000_000:
+                    if len(held[kind]) == 1 and len(held[kind][0][0]) > 1_000_000:
                         k, n = held[kind].pop()
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], names=["kind", "k", "n"])
         for kind in (0, 1):
@@ -234,7 +234,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
                 parts = [rare[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_i"), part.column("_h"), pa.array(words.count + 1), pa.array(np.bincount(words.doc[hit], minlength=j - i).astype(np.int64)), pa.array(np.bincount(words.doc[hit], logs[at[hit]], j - i)), pa.array(total), pa.array(parts, pa.binary())],
+                    [part.column("_i"), part.column("_h"), pa.array(words.count + 1), pa.array(np.bincount(words.doc[hit], minlength=j - i).astype(np.int64)), pa.array(np.bincount(words.doc[hit], logs[at[hit]], j - i).astype(float)), pa.array(total), pa.array(parts, pa.binary())],
                     names=["_i", "_h", "n_tokens", "known", "logs", "score", "rare"],
                 )
 
