@@ -18,6 +18,7 @@ from ..functions import vectors as V
 from ..operators import curate as C
 from ..operators import evaluate as E
 from ..operators import retrieval as R
+from ..operators import review as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -328,10 +329,10 @@ _COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[
 
 
 @query(f"""SELECT query_id, rank::INTEGER AS rank, vec_id, round(similarity, 6) AS similarity FROM (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10) WHERE rank <= 5""")
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 5""")
 def knn_top5(spark, d):
     items = read(spark, d, "embeddings").select("vec_id", "embedding")
-    return R.nearest(items.where("vec_id < 10"), items, 5).withColumn("similarity", F.round("similarity", 6))
+    return R.nearest(items.where("vec_id % 20 = 0"), items, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH n AS (SELECT a.vec_id AS q, a.vec_id % 5 AS fold, a.label AS truth, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id % 5 <> b.vec_id % 5),
@@ -359,10 +360,10 @@ def temporal_descriptor(spark, d):
     return own.select("label", F.round(F.array_max(F.slice("descriptor", F.lit(1), half.cast("int"))), 6).alias("top_mean"), F.round(F.array_max(F.slice("descriptor", half.cast("int") + 1, half.cast("int"))), 6).alias("top_sd"), F.size("descriptor").alias("dims"))
 
 
-@query("""WITH s AS (SELECT d.doc_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS m, label FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)
+@query("""WITH s AS (SELECT list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS m, label FROM embeddings)
   SELECT label, count_if(m - med > 0) AS yes, count(*) AS n FROM (SELECT *, median(m) OVER (PARTITION BY label) AS med FROM s) GROUP BY label""")
 def margin_debias(spark, d):
-    margins = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", V.total(F.col("embedding").cast("array<double>")).alias("m")).join(read(spark, d, "documents").select("doc_id"), "doc_id")
+    margins = read(spark, d, "embeddings").select("label", V.total(F.col("embedding").cast("array<double>")).alias("m"))
     middle = margins.groupBy("label").agg(F.percentile("m", F.lit(0.5)).alias("med"))
     return margins.join(middle, "label").groupBy("label").agg(F.count_if(F.col("m") - F.col("med") > 0).alias("yes"), F.count("*").alias("n"))
 
@@ -411,3 +412,57 @@ _DATES = "(1, '20240231', '09'), (2, '20241301', '0930'), (3, '2024-03-05', '093
 @query("SELECT * FROM (VALUES (1, 20240231, 32400000000), (2, NULL, 34200000000), (3, 20240305, 34215500000), (4, NULL, 34215000000), (5, 20240305, NULL), (6, NULL, NULL)) v(i, day, micros)")
 def date_time_keys(spark, d):
     return spark.sql(f"SELECT * FROM VALUES {_DATES} AS v(i, a, b)").select("i", D.date_key(F.col("a")).alias("day"), D.time_key(F.col("b")).alias("micros"))
+
+
+# -- review records and time windows
+
+_METRICS = "(1, 'Mean Dice coefficient'), (2, 'AUROC'), (3, 'accuracy (%)'), (4, 'RMSE'), (5, 'true positive rate'), (6, ''), (7, 'frame rate'), (8, 'IoU')"
+
+
+@query("SELECT * FROM (VALUES (1, 'Dice', 1, 'Overlap-based (F1/Dice)'), (2, 'AUC', 1, 'Ranking-based (AUC)'), (3, 'Accuracy', 1, 'Accuracy'), (4, 'RMSE', -1, 'Other'), (5, 'Sensitivity', 1, 'Other'), (6, 'Unknown', 1, 'Other'), (7, 'Frame Rate', 1, 'Other'), (8, 'IoU', 1, 'Overlap-based (IoU)')) v(i, name, polarity, family)")
+def metric_names(spark, d):
+    rows = spark.sql(f"SELECT * FROM VALUES {_METRICS} AS v(i, raw)")
+    return rows.select("i", W.metric(F.col("raw")).alias("m"), W.metric_family(F.col("raw")).alias("family")).select("i", "m.name", "m.polarity", "family")
+
+
+_GATES = "(1, 'pass', 'pass'), (2, 'fail', NULL), (3, 'pass', 'fail'), (4, 'uncertain', NULL), (5, NULL, NULL), (6, 'pass', 'uncertain'), (7, 'pass', NULL)"
+
+
+@query("SELECT * FROM (VALUES (1, 'INCLUDE', NULL, false), (2, 'EXCLUDE', 'inclusion', false), (3, 'EXCLUDE', 'exclusion', false), (4, 'UNCERTAIN', 'inclusion', true), (5, 'ERROR', 'inclusion', true), (6, 'UNCERTAIN', 'inclusion', true), (7, 'ERROR', 'exclusion', true)) v(i, decision, failed_at, flagged)")
+def screening_states(spark, d):
+    return W.screen(spark.sql(f"SELECT * FROM VALUES {_GATES} AS v(i, inclusion, exclusion)")).select("i", "decision", "failed_at", "flagged")
+
+
+@query("""WITH c AS (SELECT lang, quality AS q, toxic AS t FROM documents JOIN labels USING (doc_id)), i AS (SELECT lang, 'good' AS item, q AS y FROM c UNION ALL SELECT lang, 'clean', 1 - t FROM c)
+  SELECT lang, item, sum(y)::BIGINT AS yes, sum(1 - y)::BIGINT AS no, 0::BIGINT AS na, avg(y) AS proportion FROM i GROUP BY lang, item""")
+def checklist_adherence(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels"), "doc_id")
+    yes = lambda c: F.when(c, "Yes").otherwise("No")
+    return W.adherence(docs.withColumn("m", F.create_map(F.lit("good"), yes(F.col("quality") == 1), F.lit("clean"), yes(F.col("toxic") == 0))), "m", ["lang"]).drop("low", "high")
+
+
+@query("""WITH b AS (SELECT * FROM (VALUES ('view', 1), ('signup', 2), ('purchase', 3), ('error', 4), ('refund', 5)) v(question, position)), k AS (SELECT DISTINCT user_id FROM events),
+  a AS (SELECT user_id, event_type, min(event_id::VARCHAR) AS answer FROM events GROUP BY 1, 2) SELECT k.user_id, question, position, coalesce(answer, 'n/a') AS answer FROM k CROSS JOIN b LEFT JOIN a ON a.user_id = k.user_id AND a.event_type = b.question""")
+def align_bank(spark, d):
+    bank = spark.sql("SELECT * FROM VALUES ('view', 1), ('signup', 2), ('purchase', 3), ('error', 4), ('refund', 5) AS v(question, position)")
+    answers = read(spark, d, "events").select("user_id", F.col("event_type").alias("question"), F.col("event_id").cast("string").alias("answer"))
+    return W.align_to_bank(answers, bank, "user_id")
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    from ..streaming.ingest import windowed
+
+    return windowed(read(spark, d, "events"), "ts", "event_type", "value", width="6 hours")
+
+
+@query("""WITH r AS (SELECT a.vec_id, a.label, min(r) FILTER (b_label = label) AS first FROM (SELECT a.vec_id, a.label, b.label AS b_label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS r
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) a GROUP BY 1, 2)
+  SELECT count(*) AS n, avg((first <= 1)::INTEGER) AS r1, avg((first <= 5)::INTEGER) AS r5, avg((first <= 10)::INTEGER) AS r10, quantile_disc(first, 0.5) AS median_rank FROM r""")
+def recall_at_k(spark, d):
+    """Rank of the first neighbour of the same label, for the items whose id is divisible by 20."""
+    items = read(spark, d, "embeddings")
+    q = items.where("vec_id % 20 = 0")
+    near = R.nearest(q, items, 1 << 30).join(items.select("vec_id", "label"), "vec_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    first = near.where("label = own").groupBy("query_id").agg(F.min("rank").alias("first"))
+    return first.agg(F.count("*").alias("n"), *[F.avg((F.col("first") <= k).cast("int")).alias(f"r{k}") for k in (1, 5, 10)], F.percentile_approx("first", 0.5, 1_000_000).cast("long").alias("median_rank"))
