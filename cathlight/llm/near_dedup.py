@@ -4,8 +4,8 @@ Every text is a set of distinct word shingles. Texts with equal sets are one cla
 A class carries COORDS minwise tokens. In each of TREES independent trees, a node picks two of the
 coordinates (one, below DEPTH levels) by its own name, and a class goes on to the child named by the node, the coordinate
 and the class's token there: two classes of similarity s share a child with probability s, so at
-0.8 a pair stays together in some branch of a tree with probability above 0.93, and in one of four
-trees with probability above 0.9999. Nodes with one class end; nodes with at most LEAF classes are
+0.8 a pair shares a first-level node with probability 1 - 0.2**6, above 0.9999, and stays together
+in some branch of a tree, however deep to DEPTH, with probability above 0.93. Nodes with one class end; nodes with at most LEAF classes are
 compared exhaustively; larger ones branch. A pair whose minwise tokens agree too rarely for the
 threshold (by five standard deviations) is passed over, any other pair is confirmed or refused on
 the full sets.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Scratch, components
 
-TREES, COORDS, DEPTH, LEAF, MIDDLE = 4, 64, 4, 6, 1024
+TREES, COORDS, DEPTH, LEAF, MIDDLE = 3, 64, 4, 6, 1024
 BITS = 1 << 27  # of the filter that is broadcast, 16 MB whatever the input
 SEEDS = K.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 SIGN = "_id long, n_shingles long, _set long, _set2 long, _coords binary"
@@ -321,20 +321,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if split.isEmpty():
             break
         wide = split.where(F.col("n") > MIDDLE)
-        rest = wide.where(~F.col("few")).select("node", "_id")
-        near, found = split.where(F.col("n") <= MIDDLE).select("node", "_id", "component"), []
+        near, rest = split.where(F.col("n") <= MIDDLE).select("node", "_id", "component"), wide.where(~F.col("few")).select("node", "_id")
         over = rest.isEmpty()
-        if not over:
+        for _ in range(0 if over else DEPTH):
             depth += 1
             level = grow(rest, 2 if depth <= DEPTH else 1)
-            large = level.where(F.col("size") > LEAF)
-            near = near.unionByName(level.where(F.col("size") <= LEAF).select("node", "_id", F.col("_id").alias("component")))
-            found.append(stars(large))
-        if not wide.isEmpty():
-            found.append(across(wide.where("few")))
+            own = level.where(F.col("size") <= MIDDLE).join(labels, level["_id"] == labels["id"], "left")
+            near = near.unionByName(own.select("node", "_id", F.coalesce("component", "_id").alias("component")))
+            rest = level.where(F.col("size") > MIDDLE)
+            over = rest.isEmpty()
+            if over:
+                break
         new = inside(near)
-        for pairs in found:
-            new = new.unionByName(confirm(pairs.distinct()))
+        if not wide.where("few").isEmpty():
+            new = new.unionByName(confirm(across(wide.where("few")).distinct()))
+        if not over:
+            large = rest
+            new = new.unionByName(confirm(stars(large).distinct()))
         new = scratch.write(new)
         if not new.isEmpty():
             links = links.unionByName(new)
