@@ -29,7 +29,7 @@ from .common import table
 
 SPACE = "▁"
 MARK = SPACE.encode()
-LONG, CHUNK, MEMO = 96, 1 << 18, 1_500_000
+LONG, CHUNK, MEMO = 96, 1 << 18, 1_000_000
 # Kinds of pieces in a model file
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -415,39 +415,40 @@ def encode_column(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
-def _over(docs: DataFrame, name: str, kind: str, function) -> DataFrame:
-    docs = docs.drop(name)
-    names = docs.columns
+def _over(docs: DataFrame, kinds: dict[str, str], function) -> DataFrame:
+    docs = docs.drop(*kinds)
+    names = [*docs.columns, *kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, function(part)], names=[*names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *function(part)], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{name}` {kind}")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{n}` {k}" for n, k in kinds.items()])
+    return docs.mapInArrow(run, schema)
 
 
-def sp_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with ids, array<int>."""
+def sp_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with ids, array<int>, and, if decoded_col is named, the text decoded from them in the same pass."""
 
-    def ids(part: pa.RecordBatch) -> pa.Array:
+    def ids(part: pa.RecordBatch) -> list[pa.Array]:
         got, cut = encode_column(path, K.plain(part, text_col))
-        return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(got.astype(np.int32)))
+        out = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(got.astype(np.int32)))]
+        return out + [pa.array(model_of(path).decode(got.astype(np.int64), cut), pa.string())] if decoded_col else out
 
-    return _over(docs, ids_col, "array<int>", ids)
+    return _over(docs, {ids_col: "array<int>"} | ({decoded_col: "string"} if decoded_col else {}), ids)
 
 
 def sp_decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """docs with the text of ids; null ids give an empty text."""
 
-    def texts(part: pa.RecordBatch) -> pa.Array:
+    def texts(part: pa.RecordBatch) -> list[pa.Array]:
         column = part.column(ids_col)
         size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
-        return pa.array(model_of(path).decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)])), pa.string())
+        return [pa.array(model_of(path).decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)])), pa.string())]
 
-    return _over(docs, text_col, "string", texts)
+    return _over(docs, {text_col: "string"}, texts)
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
@@ -455,7 +456,7 @@ def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sp_decode(sp_encode(docs, path), path)
+    out = sp_encode(docs, path, decoded_col="decoded")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
