@@ -97,3 +97,39 @@ def as_boolean(c: Column) -> Column:
 def clause_of(text: str, terms: list[str]) -> str:
     """A SQL list of terms, for the SQL twins of these functions."""
     return f"{text} IN ({', '.join(chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39) for t in terms)})"
+
+
+# Phrases of the three strict labels, and lead-ins of replies that aren't reports
+NA_PHRASES = [
+    r"\bnot stated\b", r"\bnot mentioned\b", r"\bunknown\b", r"\bunclear\b", r"\bcan'?t tell\b", r"\bcannot tell\b", r"\bunable to (determine|assess|tell)\b",
+    r"\bindeterminate\b", r"\bequivocal\b", r"\bnot visible\b", r"\bpoor (opacification|visualization|image quality)\b", r"\blimited (opacification|visualization|evaluation)\b",
+]
+NO_PHRASES = [
+    r"^\s*no\s*$", r"^\s*n\s*$", r"\bno evidence of\b", r"\bwithout\b", r"\babsent\b", r"\bnot present\b", r"\bnot seen\b",
+    r"\bno (stenosis|dissection|extravasation|hemorrhage|stent)\b", r"\bnegative\b", r"\bnone\b", r"\bdenies\b",
+]
+YES_PHRASES = [
+    r"^\s*yes\s*$", r"^\s*y\s*$", r"\bpresent\b", r"\bseen\b", r"\bvisible\b", r"\bevidence of\b", r"\bconsistent with\b", r"\bpositive\b", r"\bidentified\b", r"\bnoted\b",
+]
+NO_NEAR = r"\b(stenosis|dissection|extravasation|hemorrhage|stent|variant anatomy)\b"
+LEAD_INS = ["thinking", "here is", "here's", "certainly", "i can", "i'm sorry", "sorry", "note:", "explanation:"]
+
+
+def strict_label(c: Column) -> Column:
+    """yes, no or n/a of free text: unstated before no before yes, n/a where nothing fits."""
+    s = tidy(F.regexp_replace(F.trim(c), "^(?:\"(.*)\"|'(.*)')$", "$1$2"))
+    some = lambda patterns: s.rlike("|".join(f"(?:{p})" for p in patterns))
+    return ladder(
+        F.lit("n/a"), (s.isin("", "na", "n/a", "n\\a", "none", "null"), F.lit("n/a")), (some(NA_PHRASES), F.lit("n/a")), (some(NO_PHRASES), F.lit("no")),
+        (some(YES_PHRASES), F.lit("yes")), (s.rlike(r"\bno\b") & s.rlike(NO_NEAR), F.lit("no")),
+    )
+
+
+def generated_reason(original: Column, generated: Column) -> Column:
+    """OK, or why a generated report is refused: empty, a reply's lead-in, or far shorter than its original."""
+    text, words = F.lower(F.trim(generated)), lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != ""))
+    lead = F.lit(False)
+    for p in LEAD_INS:
+        lead = lead | text.startswith(p)
+    least = F.greatest(F.lit(5), F.floor(F.greatest(F.lit(1), words(original)) * 0.35))
+    return F.when(F.coalesce(text, F.lit("")) == "", "empty").when(lead, "lead-in").when(words(generated) < least, "short").otherwise("OK")

@@ -66,3 +66,17 @@ def listed(c: Column) -> Column:
 
 def year_of(c: Column) -> Column:
     return F.substring(c.cast("string"), 1, 4)
+
+
+def years_in(c: Column, first: int = 1990, last: int = 2035) -> Column:
+    """Plausible years in a text, in order."""
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\b((?:19|20)\d{2})\b"), 1), lambda y: y.cast("int")), lambda y: y.between(first, last))
+
+
+def list_hash(c: Column, size: int = 8) -> Column:
+    """A short stable hash of a list of texts."""
+    return F.substring(F.sha1(F.array_join(c, "|")), 1, size)
+
+
+def institution(c: Column, own: str = "ucd") -> Column:
+    return F.when(F.lower(F.trim(c)) == own, F.upper(F.lit(own))).otherwise(F.lit(f"Non-{own.upper()}"))

@@ -134,3 +134,49 @@ def paired_t(df: DataFrame, by: list[str], before: str, after: str) -> DataFrame
     d = F.col(after).cast("double") - F.col(before)
     got = df.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean_delta"), F.stddev_samp(d).alias("sd_delta"), F.avg((d > 0).cast("double")).alias("improved"))
     return got.withColumn("t", F.try_divide("mean_delta", F.col("sd_delta") / F.sqrt("n")))
+
+
+def contrastive_loss(pairs: DataFrame, query: str, item: str, similarity: str, scale: float = 1.0) -> DataFrame:
+    """Mean symmetric cross-entropy of matching pairs (equal ids) in a long similarity matrix."""
+    s = pairs.select(F.col(query).alias("q"), F.col(item).alias("i"), (F.col(similarity) * scale).alias("s"))
+
+    def side(by: str) -> DataFrame:
+        top = s.groupBy(by).agg(F.max("s").alias("m"))
+        rest = s.join(top, by).groupBy(by, "m").agg(F.sum(F.exp(F.col("s") - F.col("m"))).alias("z"))
+        return rest.select(F.col(by).alias("k"), (F.col("m") + F.log("z")).alias("lse"))
+
+    own = s.where("q = i").select(F.col("q").alias("k"), "s")
+    both = own.join(side("q").withColumnRenamed("lse", "a"), "k").join(side("i").withColumnRenamed("lse", "b"), "k")
+    return both.agg(F.avg((F.col("a") + F.col("b")) / 2 - F.col("s")).alias("loss"))
+
+
+def sigmoid_loss(pairs: DataFrame, query: str, item: str, similarity: str, scale: float = 10.0, bias: float = -10.0) -> DataFrame:
+    """Mean of -log sigmoid(y (t s + b)) over all pairs, y 1 for equal ids and -1 for others."""
+    z = F.when(F.col(query) == F.col(item), 1.0).otherwise(-1.0) * (F.col(similarity) * scale + bias)
+    return pairs.agg(F.avg(F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))).alias("loss"))
+
+
+def streak(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """best so far and steps since it improved, in each group."""
+    own = Window.partitionBy(by).orderBy(order)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    fresh = df.withColumns({"best": F.min(value).over(upto), "_prior": F.min(value).over(own.rowsBetween(Window.unboundedPreceding, -1)), "_at": F.row_number().over(own)})
+    marked = fresh.withColumn("_hit", F.when(F.col("_prior").isNull() | (F.col(value) < F.col("_prior")), F.col("_at")))
+    return marked.withColumn("since", F.col("_at") - F.max("_hit").over(upto)).drop("_prior", "_at", "_hit")
+
+
+def bootstrap_delta(df: DataFrame, truth: str, first: str, second: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """delta of accuracy and its 95 % bounds over replicates with Poisson weights, which need no resampling pass a replicate.
+
+    Rows are first reduced to their three possible differences (-1, 0, 1), so a replicate draws from counts.
+    """
+    d = (F.col(first) == F.col(truth)).cast("int") - (F.col(second) == F.col(truth)).cast("int")
+    counts = df.groupBy(d.alias("d")).agg(F.count("*").alias("n")).agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("d") == 1, F.col("n"))), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(F.col("d") == -1, F.col("n"))), F.lit(0)).alias("down")
+    )
+    # sums of Poisson weights are Poisson; by a normal draw for each of the three counts
+    draw = lambda c, k: F.greatest(F.lit(0.0), F.col(c) + F.sqrt(F.col(c)) * F.randn(seed + k))
+    reps = counts.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumns({"u": draw("up", 1), "w": draw("down", 2), "same": F.col("n") - F.col("up") - F.col("down")})
+    reps = reps.withColumn("v", F.greatest(F.lit(0.0), F.col("same") + F.sqrt("same") * F.randn(seed + 3)))
+    delta = F.try_divide(F.col("u") - F.col("w"), F.col("u") + F.col("w") + F.col("v"))
+    return reps.agg(F.max(F.try_divide(F.col("up") - F.col("down"), F.col("n"))).alias("delta"), F.percentile(delta, F.lit(0.025)).alias("low"), F.percentile(delta, F.lit(0.975)).alias("high"))

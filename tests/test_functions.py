@@ -84,3 +84,15 @@ def test_vectors(spark):
     assert abs(one(spark, [1.0, 2.0], V.log_sum_exp, "array<double>") - math.log(math.e + math.e**2)) < 1e-12
     assert one(spark, [1.0, 1.0, 0.0], V.entropy, "array<double>") == 1.0
     assert len(one(spark, 3, lambda c: V.position_code(c, 8), "int")) == 8
+
+
+@pytest.mark.parametrize("raw, want", [('"No evidence of stenosis"', "no"), ("stent visible", "yes"), ("not visible", "n/a"), ("", "n/a"), (None, "n/a"), ("y", "yes"), ("blah", "n/a"), ("no obvious stent", "no")])
+def test_strict_label(spark, raw, want):
+    assert one(spark, raw, A.strict_label) == want
+
+
+def test_generated_and_years(spark):
+    original = F.lit("a b c d e f g h i j k l m n o p q r s t")
+    assert [one(spark, x, lambda c: A.generated_reason(original, c)) for x in (None, "Sure", "Here is it a b c d e f g", "one two three four five six seven")] == ["empty", "short", "lead-in", "OK"]
+    assert one(spark, "in 2019 and 1850, 2021", D.years_in) == [2019, 2021]
+    assert one(spark, "UCD ", D.institution) == "UCD" and one(spark, "x", D.institution) == "Non-UCD"

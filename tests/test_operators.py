@@ -62,3 +62,19 @@ def test_keyed_writes(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "y")]
     new = sinks.replace_rows(spark, path, f"file://{tmp_path}/t2", spark.createDataFrame([(2, "z")], "k long, v string"), ["k"], "v")
     assert sorted(map(tuple, new.collect())) == [(1, "a"), (2, "z"), (3, "y")]
+
+
+def test_losses_and_streak(spark):
+    import math
+
+    pairs = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 1.0)], "q int, i int, s double")
+    assert abs(E.contrastive_loss(pairs, "q", "i", "s").first().loss - math.log(1 + math.exp(-1))) < 1e-12
+    assert abs(E.sigmoid_loss(pairs, "q", "i", "s", 1.0, 0.0).first().loss - (math.log1p(math.exp(-1)) + math.log(2)) / 2) < 1e-12
+    rows = spark.createDataFrame([("a", k, v) for k, v in enumerate([3.0, 2.0, 2.5, 2.0, 1.0])], "g string, k int, v double")
+    assert [(r.best, r.since) for r in E.streak(rows, "g", "k", "v").orderBy("k").collect()] == [(3.0, 0), (2.0, 0), (2.0, 1), (2.0, 2), (1.0, 0)]
+
+
+def test_bootstrap(spark):
+    df = spark.range(400).select(F.lit(1).alias("t"), (F.col("id") % 10 < 9).cast("int").alias("x"), (F.col("id") % 10 < 6).cast("int").alias("y"))
+    got = E.bootstrap_delta(df, "t", "x", "y").first()
+    assert abs(got.delta - 0.3) < 1e-12 and 0.2 < got.low < 0.28 and 0.32 < got.high < 0.4
