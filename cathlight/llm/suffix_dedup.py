@@ -37,6 +37,7 @@ from .common import Scratch
 BITS = 1 << 27  # of the filter that is broadcast, 16 MB whatever the input
 HOT = 100_000  # anchors of one rank beyond which windows are counted instead of gathered
 GRAM = 32
+BROADCAST = 1_000_000  # hot ranks, 8 bytes each
 
 
 def anchors(raw: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +167,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = own.mapInArrow(emit, "g long, _id long, _h long, _lo long, _hi long, _context binary")
     hot = scratch.write(ranks.where(F.col("n") > HOT).select("g"))
-    is_hot = hot.count() > 0
+    n_hot = hot.count()
+    is_hot = n_hot > 0
+    if n_hot <= BROADCAST:  # a longer list is joined like any other table
+        hot = F.broadcast(hot)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by g: whole groups of a rank are settled together, a few MB at a time."""
@@ -197,10 +201,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from close(held)
 
-    cold = found.join(F.broadcast(hot), "g", "left_anti") if is_hot else found
+    cold = found.join(hot, "g", "left_anti") if is_hot else found
     dealt = cold.repartition("g").sortWithinPartitions("g")
     spans = dealt.mapInArrow(settle, "_id long, _h long, _lo long, _hi long")
-    if is_hot:  # at most one rank in every HOT anchors is hot, so the list is small beside the input
+    if is_hot:
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -215,7 +219,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                     yield pa.RecordBatch.from_arrays([pa.array(names[(np.cumsum(size) - size)[row] + step].view(np.int64)), pa.array(ids[row]), pa.array(sums[row]), pa.array(lo[row] + step)], names=["name", "_id", "_h", "_p"])
 
-        windows = scratch.write(found.join(F.broadcast(hot), "g", "left_semi").mapInArrow(explode, "name long, _id long, _h long, _p long"))
+        windows = scratch.write(found.join(hot, "g", "left_semi").mapInArrow(explode, "name long, _id long, _h long, _p long"))
         head = windows.groupBy("name").agg(F.min(F.struct("_id", "_h", "_p")).alias("head"), F.count("*").alias("n")).where("n > 1")
         late = windows.join(head, "name").where(F.struct("_id", "_h", "_p") > F.col("head"))
         spans = spans.unionByName(late.select("_id", "_h", F.col("_p").alias("_lo"), F.col("_p").alias("_hi")))
