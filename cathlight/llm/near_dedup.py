@@ -70,6 +70,7 @@ def coordinates(s: np.ndarray) -> np.ndarray:
 
 def sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             n, one, two, coords = [], [], [], []
             for s in shingle_sets(K.plain(batch, "_text"), k):
@@ -90,6 +91,7 @@ def branch(width: int, seeded: bool):
     """Children of (node, _id, _coords); from the roots of all trees where nothing has a node yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -122,6 +124,7 @@ def likely(percent: int):
     least = least_agreement(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             if batch.num_rows:
                 same = (matrix(batch.column("ca")) == matrix(batch.column("cb"))).sum(axis=1) >= least
@@ -134,6 +137,7 @@ def by_node(work):
     """work(table) over whole nodes, from rows sorted by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
@@ -292,6 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(bits)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             at = np.asarray(batch.column("_spot"))
             batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
@@ -303,6 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = scratch.write(found.join(reps.select("_id", "_set"), ["_id", "_set"], "left_semi").dropDuplicates(["_id", "_set"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 keep = [linked(x, y, percent) for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist())]

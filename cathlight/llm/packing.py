@@ -219,6 +219,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Full windows as pieces; tails with a null sequence and their ids."""
+        K.release()
         task, made = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             column, ids = K.plain(batch, "_text"), batch.column("_id").to_pylist()

@@ -136,6 +136,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = base.where(F.octet_length("_text") >= length).withColumn("_h", F.xxhash64("_text")).join(first, ["_id", "_h"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             column = K.plain(batch, "_text")
             for i, j in K.slices(column):
@@ -151,6 +152,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spark.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         bits = shared.value
         for batch in batches:
             column, ids, sums = K.plain(batch, "_text"), np.asarray(batch.column("_id")), np.asarray(batch.column("_h"))
@@ -174,6 +176,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by g: whole groups of a rank are settled together, a few MB at a time."""
+        K.release()
         held: list[pa.RecordBatch] = []
 
         def close(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +210,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if is_hot:
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            K.release()
             for batch in batches:
                 for k in range(0, batch.num_rows, 5000):
                     part = batch.slice(k, 5000)
@@ -241,6 +245,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [c for c in docs.columns]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             for b in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 texts = [x.encode() for x in K.plain(b, text_col).to_pylist()]

@@ -163,6 +163,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: words by hash; 1: stream keys; 2: ends. Each task sums what it meets."""
+        K.release()
         ends, held = 0, {0: [], 1: []}
 
         def merge(kind: int) -> None:
@@ -217,6 +218,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     own = docs.drop(*added).withColumns({"_i": F.col(id_col).cast("long"), "_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         tree, known, times = shared.value
         logs = np.log10(times + 1.0)
         for batch in batches:
@@ -239,6 +241,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
                 )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)

@@ -71,6 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = texts.join(F.broadcast(sample), "_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             column = K.plain(batch, "_text")
             for i, j, f, row in features(column):
@@ -81,6 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), pa.array(sets, pa.binary())], names=["_id", "_y", "_f"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         examples = [(y, np.frombuffer(f, np.int32)) for b in batches for y, f in zip(b.column("_y").to_pylist(), b.column("_f").to_pylist())]
         w = train(examples)
         i = np.flatnonzero(w)
@@ -99,6 +101,7 @@ def scored(docs: DataFrame, model: DataFrame, text_col: str = "text") -> DataFra
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         index, value = shared.value
         w = np.zeros((1 << BITS) + 1)
         w[index] = value
