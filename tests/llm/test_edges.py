@@ -186,3 +186,19 @@ def test_reputation_blocks_a_bad_host(spark):
     rows = [(f"http://{'bad' if i % 5 == 0 else f'h{i % 9}'}.org/{i}", int(i % 5 == 0 or i % 37 == 1)) for i in range(500)]
     got = url_filter.judge_urls(spark.createDataFrame(rows, "url string, y int"), bad=F.col("y")).select("host", "verdict").distinct().collect()
     assert {r.host for r in got if r.verdict == "block"} == {"bad.org"}
+
+
+def test_tree_grows_with_the_input(spark, monkeypatch):
+    """A context that is a small part of a large stream keeps its next bytes, and all values are those of one tree of all counts."""
+    from cathlight.llm import kernels as K
+
+    rows = [(i, "the cat sat on the mat and the dog ran " * 2000) for i in range(20)] + [(100, "zqxjkv " * 3), (101, "zqxjkw"), (200, "zqxjkv zqxjkv"), (201, "the zqxjkw é"), (202, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key_of = lambda texts: suffix_tree_lm.keys(*suffix_tree_lm.stream(K.Words(K.Texts(pa.array(texts, pa.large_string())))))[0]
+    learned = key_of([t for i, t in rows if i < 200])
+    tree = suffix_tree_lm.Tree(len(learned), *zip(*(np.unique(suffix_tree_lm.at_depth(learned, d), return_counts=True) for d in range(suffix_tree_lm.DEPTH + 1))))
+    want = {i: tree.slow(key_of([t or ""])).sum() for i, t in rows}
+    for known in (1 << 21, 3, 0):
+        monkeypatch.setattr(suffix_tree_lm, "KNOWN", known, raising=False)
+        got = {r.doc_id: r.score for r in suffix_tree_lm.score_texts(docs, F.col("doc_id") < 200).collect()}
+        assert got[200] > -25 and all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
