@@ -2,10 +2,10 @@
 
 Every text is a set of distinct word shingles. Texts with equal sets are one class from the start.
 A class carries COORDS minwise tokens. In each of TREES independent trees, a node picks two of the
-coordinates (one, below DEPTH levels) by its own name, and a class goes on to the child named by the node, the coordinate
+coordinates by its own name (the roots of the trees have no coordinate in common), and a class goes on to the child named by the node, the coordinate
 and the class's token there: two classes of similarity s share a child with probability s, so at
 0.8 a pair shares a first-level node with probability 1 - 0.2**6, above 0.9999, and stays together
-in some branch of a tree, however deep to DEPTH, with probability above 0.93. Nodes with one class end; nodes with at most LEAF classes are
+in some branch of a tree, however deep, with probability above 0.93. Nodes with one class end; nodes with at most LEAF classes are
 compared exhaustively; larger ones branch. A pair whose minwise tokens agree too rarely for the
 threshold (by five standard deviations) is passed over, any other pair is confirmed or refused on
 the full sets.
@@ -87,7 +87,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), COORDS)
 
 
-def branch(width: int, seeded: bool):
+def branch(seeded: bool):
     """Children of (node, _id, _coords); from the roots of all trees where nothing has a node yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +102,11 @@ def branch(width: int, seeded: bool):
             else:
                 nodes = [np.asarray(batch.column("node")).view(np.uint64)]
             out = []
-            for node in nodes:
+            for tree, node in enumerate(nodes):
                 pick = K.mix(node ^ K.MULT[4])
-                a = pick % np.uint64(COORDS)
-                b = (a + np.uint64(1) + (pick >> np.uint64(32)) % np.uint64(COORDS - 1)) % np.uint64(COORDS)
-                for c in (a, b)[:width]:
+                a = np.full(n, 2 * tree, np.uint64) if seeded else pick % np.uint64(COORDS)
+                b = a + np.uint64(1) if seeded else (a + np.uint64(1) + (pick >> np.uint64(32)) % np.uint64(COORDS - 1)) % np.uint64(COORDS)
+                for c in (a, b):
                     token = coords[np.arange(n), c.astype(np.int64)].astype(np.uint64)
                     out.append(K.mix(node * K.MULT[5] + ((c << np.uint64(32)) | token)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids, len(out)))], names=["node", "_id"])
@@ -238,10 +238,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     coords = reps.select("_id", "_coords", "n_shingles")
 
-    def grow(frontier: DataFrame | None, width: int) -> DataFrame:
+    def grow(frontier: DataFrame | None) -> DataFrame:
         """The next level as (node, _id, size); nodes with one class are gone."""
         rows = coords.select("_id", "_coords") if frontier is None else frontier.select("node", "_id").join(coords.select("_id", "_coords"), "_id")
-        below = rows.mapInArrow(branch(width, frontier is None), "node long, _id long")
+        below = rows.mapInArrow(branch(frontier is None), "node long, _id long")
         size = below.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         return scratch.write(below.join(size, "node"))
 
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return hopeful(x.join(y, "node").where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
     # the first level says which classes may have a partner; their full sets are kept from here on
-    level = grow(None, 2)
+    level = grow(None)
     large = level.where(F.col("size") > LEAF)
     leaves = sorted_(level.where(F.col("size") <= LEAF).withColumn("component", F.col("_id"))).mapInArrow(pairs_within(percent), "a long, b long")
     pairs = scratch.write(leaves.unionByName(stars(large)).distinct())
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long")
 
     links = scratch.write(confirm(pairs))
-    labels, depth = components(scratch, links), 1
+    labels = components(scratch, links)
     while True:
         split = mixed(large.select("node", "_id"), labels)
         if split.isEmpty():
@@ -330,8 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near, rest = split.where(F.col("n") <= MIDDLE).select("node", "_id", "component"), wide.where(~F.col("few")).select("node", "_id")
         over = rest.isEmpty()
         for _ in range(0 if over else DEPTH):
-            depth += 1
-            level = grow(rest, 2 if depth <= DEPTH else 1)
+            level = grow(rest)
             own = level.where(F.col("size") <= MIDDLE).join(labels, level["_id"] == labels["id"], "left")
             near = near.unionByName(own.select("node", "_id", F.coalesce("component", "_id").alias("component")))
             rest = level.where(F.col("size") > MIDDLE)

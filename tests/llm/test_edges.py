@@ -202,3 +202,16 @@ def test_tree_grows_with_the_input(spark, monkeypatch):
         monkeypatch.setattr(suffix_tree_lm, "KNOWN", known, raising=False)
         got = {r.doc_id: r.score for r in suffix_tree_lm.score_texts(docs, F.col("doc_id") < 200).collect()}
         assert got[200] > -25 and all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
+
+
+def test_near_duplicate_trees_branch_twice():
+    """Each node has two children of different coordinates at any level, and the roots of the trees have none in common."""
+    base = np.arange(near_dedup.COORDS, dtype=np.uint32)
+    coords = np.tile(base, (near_dedup.COORDS + 1, 1))
+    coords[np.arange(near_dedup.COORDS), np.arange(near_dedup.COORDS)] = 999  # class i differs from the last one at coordinate i only
+    ids, nodes = np.arange(len(coords)), np.full(len(coords), 12345)
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(ids), pa.array([c.tobytes() for c in coords], pa.binary())], names=["node", "_id", "_coords"])
+    for seeded, picks in ((True, 2 * near_dedup.TREES), (False, 2)):
+        rows = list(near_dedup.branch(seeded)(iter([batch])))[0].to_pydict()
+        own = {n for n, i in zip(rows["node"], rows["_id"]) if i == near_dedup.COORDS}
+        assert len(own) == picks and sum(n not in own for n in rows["node"]) == picks
