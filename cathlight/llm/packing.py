@@ -2,8 +2,8 @@
 
 A text is tokenised whole and ends with END_ID. Its full windows are sequences by themselves; the
 tail that is left goes to one of as many shards as keep a shard near SHARD texts. A shard has its own
-BM25 index over token ids. A seed takes its window; the unused tails that score best for the seed's
-TERMS rarest tokens follow until the window is full, the last one is cut there, and what is left of
+BM25 index over token ids. A seed takes its window; the unused tails that score best for all of the
+seed's tokens follow until the window is full, the last one is cut there, and what is left of
 it is the next seed. If no neighbour is left, the next unused tail follows. Only the last window of
 a shard is short; it is cut into sequences whose lengths are powers of two, so nothing is padded.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import table
 
-WINDOW, END_ID, SHARD, TERMS = 1024, 0, 2048, 32
+WINDOW, END_ID, SHARD = 1024, 0, 2048
 K1, B = 1.2, 0.75
 MEMO = 1_500_000
 _memos: dict[str, K.Memo] = {}
@@ -142,15 +142,12 @@ class Shard:
 
     def retrieve(self, query: np.ndarray) -> np.ndarray:
         terms = np.unique(query)
-        terms = terms[np.lexsort((terms, -self.idf[terms]))][:TERMS]
         a, b = self.first[terms], self.first[terms + 1]
         at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(int((b - a).sum()))
         doc, weight = self.doc[at], self.weight[at]
-        own = self.unused[doc]
-        if not own.any():
-            return doc[:0]
-        found, inverse = np.unique(doc[own], return_inverse=True)
-        return found[np.lexsort((found, -np.bincount(inverse, weight[own])))]
+        score = np.bincount(doc, weight, self.n)
+        found = np.flatnonzero((score > 0) & self.unused)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack_shard(tails: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:

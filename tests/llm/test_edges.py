@@ -215,3 +215,11 @@ def test_near_duplicate_trees_branch_twice():
         rows = list(near_dedup.branch(seeded)(iter([batch])))[0].to_pydict()
         own = {n for n, i in zip(rows["node"], rows["_id"]) if i == near_dedup.COORDS}
         assert len(own) == picks and sum(n not in own for n in rows["node"]) == picks
+
+
+def test_packing_scores_all_terms():
+    """A seed whose 40 rarest tokens are its own alone still finds the tail that shares its other tokens."""
+    tails = [np.arange(50), np.arange(100, 150), np.arange(40, 60), np.arange(200, 230)]
+    shard = packing.Shard(tails)
+    shard.unused[0] = False
+    assert shard.retrieve(tails[0]).tolist() == [2]
