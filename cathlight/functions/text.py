@@ -18,8 +18,10 @@ CLOSINGS = [
 BODY = ["PROCEDURE", "INDICATIONS?", "HISTORY", r"CLINICAL\s+HISTORY", "TECHNIQUE", "FINDINGS", r"CORONARY\s+FINDINGS", "HEMODYNAMICS", "IMPRESSION", "COMPARISON", "EXAMINATION"]
 PERSONAL = [
     (r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[EMAIL]"), (r"\bhttps?://\S+", "[URL]"), (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
-    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"), (r"(?i)\bMRN\s*[:#]?\s*\d+\b", "[MRN]"), (r"(?i)\baccession\s*[:#]?\s*\w*\d\w*\b", "[ACCESSION]"),
-    (r"(?i)\bDOB\s*[:#]?\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "[DOB]"), (r"\(?\b\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b", "[PHONE]"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"), (r"(?i)\bMRN[:\s#]*\d+\b", "[MRN]"),
+    (r"(?i)\bacc(?:ession)?(?:\s*[:#][:#\s]*[\w-]+|\s*[\w-]*\d[\w-]*)\b", "[ACCESSION]"),
+    (r"(?i)\bDOB[:#\s]*\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b", "[DOB]"), (r"\(\d{3}\)\s*\d{3}[-.\s]?\d{4}\b|\(?\b\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b", "[PHONE]"),
+    (r"\b[A-Z][A-Za-z.]+(?:\s+[A-Z][A-Za-z.]+){0,4}\s+(?:Medical Center|Hospital|Clinic|Health System|Medical Centre|General Hospital)\b", "[FACILITY]"),
 ]
 KEPT_HEADERS = ["VARIANT ANATOMY", "ANGIOGRAPHIC ENDPOINT", "VESSEL CATHETERIZED", "PROCEDURE"]
 

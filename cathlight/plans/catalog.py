@@ -208,6 +208,18 @@ def personal_data_mask(spark, d):
     return read(spark, d, "documents").select("lang", "text", masked.alias("m")).groupBy("lang").agg(F.count_if(F.col("m") != F.col("text")).alias("masked"), F.sum(F.length("m")).alias("chars"))
 
 
+def _masked_sql(c: str) -> str:
+    for pattern, by in T.PERSONAL:
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+    return c
+
+
+@query(f"""SELECT lang, count_if(m <> text) AS masked, sum(length(m)) AS chars FROM (SELECT lang, text, {_masked_sql("text")} AS m FROM documents) GROUP BY lang""")
+def personal_data_mask_all(spark, d):
+    masked = T.mask_personal(F.col("text"))
+    return read(spark, d, "documents").select("lang", "text", masked.alias("m")).groupBy("lang").agg(F.count_if(F.col("m") != F.col("text")).alias("masked"), F.sum(F.length("m")).alias("chars"))
+
+
 # -- evaluation
 
 _PRED = """(SELECT doc_id, lang, toxic, m, p FROM (SELECT d.doc_id, lang, toxic, unnest([{'m': 'even', 'p': (n_chars % 2)::INTEGER}, {'m': 'long', 'p': (n_chars > 1500)::INTEGER},

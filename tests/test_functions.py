@@ -96,3 +96,11 @@ def test_generated_and_years(spark):
     assert [one(spark, x, lambda c: A.generated_reason(original, c)) for x in (None, "Sure", "Here is it a b c d e f g", "one two three four five six seven")] == ["empty", "short", "lead-in", "OK"]
     assert one(spark, "in 2019 and 1850, 2021", D.years_in) == [2019, 2021]
     assert one(spark, "UCD ", D.institution) == "UCD" and one(spark, "x", D.institution) == "Non-UCD"
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("Accession #: 12345", "[ACCESSION]"), ("Accession: A-12345", "[ACCESSION]"), ("ACC # 123", "[ACCESSION]"), ("MRN #: 123456", "[MRN]"), ("(415)555-1234", "[PHONE]"), ("DOB: 1.2.1990", "[DOB]"),
+    ("at Saint Mary Medical Center", "at [FACILITY]"), ("according to the accession", "according to the accession"),
+])
+def test_personal_data(spark, raw, want):
+    assert one(spark, raw, T.mask_personal) == want
