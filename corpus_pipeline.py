@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a frame
 that is written as Parquet and read again as the next one's docs. All but the last return the columns
 of documents; a text that a stage has cut gets a new n_chars. Rows with a null doc_id pass through the
-filters by the same verdicts, are never near duplicates, and keep their texts.
+filters by the same verdicts, and are never near duplicates. Of rows with one doc_id (or none) and one text,
+the near-duplicate stage keeps one.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): the one of the smallest id."""
+    """One document of each group of near duplicates (five words, similarity 0.8): the one of the smallest id, once."""
     out = near_dedup.near_duplicates(docs, shingle=5, percent=80)
-    return out.where("kept or doc_id is null").select(*docs.columns)
+    return out.where("kept or doc_id is null").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,10 @@ def test_stages_on_odd_rows(spark):
         got = stage(spark, docs, DATA)
         assert got.columns == docs.columns and {r.doc_id for r in got.collect()} <= {None, 1, 2}
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_near_duplicates_keep_one_row_of_copies(spark):
+    rows = [(None, "word " * 60), (2, " ".join(f"w{i}" for i in range(80))), (3, None)] * 2 + [(None, "other " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()]
+    assert len(got) == 4 and set(got) == set(rows)
