@@ -9,8 +9,9 @@ plus the product of the residual lengths bounds each score, and what may reach t
 scored exactly in integers. A block's best k of each query meet those of the other blocks.
 
 A stated query set goes to every block, a few thousand rows at a time; no pair leaves a block but
-those k. Vectors that are null, empty, hold a null or a non-finite component, or a component of
-2**21 or more (whose scores would not be exact) take no part. Only vectors of one size meet. A query
+those k. Vectors that are null, empty, hold a null or a non-finite component, or a component whose
+floor(64 * x) is no 64-bit integer (the SQL fails on those) take no part. Scores beyond the exact range of
+doubles are summed in integers; one among the k best that is no 64-bit integer is an error, as in SQL. Only vectors of one size meet. A query
 is not its own neighbour: rows with its id are passed over. Equal rows of one id count once. Ties go
 to the smaller id. Null ids take no part. Other columns are not part of the result.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 BLOCK, HEAD, CHUNK, QUERIES, FIRST = 16_384, 4096, 2048, 1024, 16
-SLACK = 1e-6
+SLACK, ROUNDING = 1e-6, 1e-9  # the second times length times length
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
@@ -42,6 +43,24 @@ def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarra
     return by[np.arange(len(by)) - first < k]
 
 
+def exact_scores(q: np.ndarray, c: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of q and c, whole numbers; lengths: length times length, which bounds every partial sum."""
+    out = np.zeros(len(q), np.int64)
+    for s in range(0, len(q), 65536):
+        x, y, size = q[s : s + 65536], c[s : s + 65536], lengths[s : s + 65536]
+        small, large = size < 2.0**52, size >= 2.0**62
+        own = out[s : s + 65536]
+        own[small] = np.einsum("ij,ij->i", x[small], y[small]).astype(np.int64)
+        middle = ~small & ~large
+        own[middle] = np.einsum("ij,ij->i", x[middle].astype(np.int64), y[middle].astype(np.int64))
+        for i in np.flatnonzero(large).tolist():
+            score = sum(int(a) * int(b) for a, b in zip(x[i].tolist(), y[i].tolist()))
+            if not -(1 << 63) <= score < 1 << 63:
+                raise OverflowError("a score is beyond 64-bit integers")
+            own[i] = score
+    return out
+
+
 def search_block(rotation: np.ndarray, c: np.ndarray, c_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of the k best of each query that reach its least score; c is sorted by falling length."""
     cl, ql = np.sqrt((c * c).sum(1)), np.sqrt((q * q).sum(1))
@@ -53,17 +72,24 @@ def search_block(rotation: np.ndarray, c: np.ndarray, c_ids: np.ndarray, q: np.n
     found: list[tuple] = []
     for a in range(0, len(c), CHUNK):
         b = min(a + CHUNK, len(c))
-        live = np.flatnonzero(ql * cl[a] >= least - SLACK * (1 + np.abs(least)))
+        live = np.flatnonzero(ql * cl[a] * (1 + ROUNDING) >= least - SLACK * (1 + np.abs(least)))
         if not len(live):
             continue
+        loose = SLACK * (1 + np.abs(least[live])) + ROUNDING * ql[live] * cl[a]
         bound = qr[live, :first] @ cr[a:b, :first].T + q_rest[live, None] * c_rest[None, a:b]
-        x, y = np.nonzero((bound >= (least[live] - SLACK * (1 + np.abs(least[live])))[:, None]) & (q_ids[live, None] != c_ids[None, a:b]))
+        x, y = np.nonzero((bound >= (least[live] - loose)[:, None]) & (q_ids[live, None] != c_ids[None, a:b]))
         if len(x) > bound.size // 8:
             score = (q[live] @ c[a:b].T)[x, y]
         else:
             score = np.concatenate([np.einsum("ij,ij->i", q[live[x[s : s + 65536]]], c[a + y[s : s + 65536]]) for s in range(0, len(x), 65536)] or [np.zeros(0)])
-        keep = score >= least[live[x]]
+        keep = score >= (least[live] - loose)[x]
         x, y, score = live[x[keep]], a + y[keep], score[keep]
+        size = ql[x] * cl[y]
+        far = np.flatnonzero(size >= 2.0**52)
+        score = score.astype(np.int64) if not len(far) else np.where(size < 2.0**52, score, 0).astype(np.int64)
+        for s in range(0, len(far), 65536):
+            at = far[s : s + 65536]
+            score[at] = exact_scores(q[x[at]], c[y[at]], size[at])
         if found:
             x, y, score = (np.concatenate(p) for p in zip(found[0], (x, y, score)))
         own = best(x, c_ids[y], score, k)
@@ -73,7 +99,7 @@ def search_block(rotation: np.ndarray, c: np.ndarray, c_ids: np.ndarray, q: np.n
         full = np.flatnonzero(n >= k)
         last = np.searchsorted(x, full, "right") - 1
         least[full] = np.maximum(least[full], score[last])
-    return found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -82,7 +108,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     scratch = Scratch(spark, "topk")
     raw = F.col(vector_col).cast("array<double>")
     x = F.transform(raw, lambda c: F.floor(c * scale).cast("double"))
-    fine = F.col(id_col).isNotNull() & raw.isNotNull() & (F.size(raw) > 0) & F.coalesce(F.forall(raw, lambda c: F.abs(c) * scale < float(1 << 21)), F.lit(False))
+    fine = F.col(id_col).isNotNull() & raw.isNotNull() & (F.size(raw) > 0) & F.coalesce(F.forall(raw, lambda c: (c * scale >= -(2.0**63)) & (c * scale < 2.0**63)), F.lit(False))
     own = vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), x.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).distinct()
     n2 = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     own = own.select("id", "v", "asks", n2.alias("n2"), F.size("v").alias("dim"))
@@ -117,7 +143,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             rows = np.flatnonzero(dims == main)
             for s in range(0, len(rows), QUERIES):
                 at = rows[s : s + QUERIES]
-                score = vectors_of(batch.column("v").take(pa.array(at))) @ head.T
+                v = vectors_of(batch.column("v").take(pa.array(at)))
+                score = v @ head.T - ROUNDING * np.sqrt((v * v).sum(1))[:, None] * np.sqrt((head * head).sum(1))[None, :]
                 score[np.asarray(batch.column("id"))[at][:, None] == head_ids[None, :]] = -np.inf
                 if len(head) > k:
                     least[at] = np.partition(score, len(head) - k, axis=1)[:, len(head) - k]

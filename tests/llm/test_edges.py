@@ -223,3 +223,19 @@ def test_packing_scores_all_terms():
     shard = packing.Shard(tails)
     shard.unused[0] = False
     assert shard.retrieve(tails[0]).tolist() == [2]
+
+
+def test_top_k_of_large_components(spark):
+    """Components beyond the exact range of doubles' products, with scores that differ in their last digits."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(60, 4)) * np.where(np.arange(60) % 3 == 0, 3e6, 1.0)[:, None]
+    v[3], v[6] = [40000.0, 1, 0, 0], [2.0**23 + 1, 2.0**23, 1 / 64, 0]
+    v[9] = v[6] + [0, 0, 1 / 64, 0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk_search.top_k(df, F.lit(True), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    w = [[int(x) for x in row] for row in np.floor(64 * v)]
+    for q in range(60):
+        s = [sum(a * b for a, b in zip(w[q], c)) for c in w]
+        assert got[q] == [(i, s[i]) for i in sorted((i for i in range(60) if i != q), key=lambda i: (-s[i], i))[:5]]
