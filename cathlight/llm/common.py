@@ -95,4 +95,6 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         edges, before, seen = after, seen, sign(after)
         if seen == before:
             break
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    out = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    out._scratch_path = edges._scratch_path
+    return out

@@ -1,19 +1,22 @@
 """Near-duplicate texts by a chosen-path set similarity join (operator 2).
 
 Every text is a set of distinct word shingles. Texts with equal sets are one class from the start.
-A class carries COORDS minwise tokens. In each of TREES independent trees, a node picks two of the
-coordinates by its own name (the roots of the trees have no coordinate in common), and a class goes on to the child named by the node, the coordinate
-and the class's token there: two classes of similarity s share a child with probability s, so at
-0.8 a pair shares a first-level node with probability 1 - 0.2**6, above 0.9999, and stays together
-in some branch of a tree, however deep, with probability above 0.93. Nodes with one class end; nodes with at most LEAF classes are
-compared exhaustively; larger ones branch. A pair whose minwise tokens agree too rarely for the
-threshold (by five standard deviations) is passed over, any other pair is confirmed or refused on
-the full sets.
-
-Groups of near copies are not expanded into all pairs: a large node's classes are held against one
-of them first, and a node that lies in one component by then is closed. Of the others, those with at
-most MIDDLE classes, or whose components form few pairs, are compared exhaustively across components,
-and the rest branch on, so no node is capped or dropped.
+A class carries COORDS minwise tokens. Each of TREES independent trees begins with two coordinates of
+its own, and a class goes on to the child named by the coordinate and the class's token there: two
+classes of similarity s share a child with probability s, so at 0.8 a pair shares a first-level node
+with probability 1 - 0.2**6, above 0.9999. Nodes with one class end; nodes with at most LEAF classes
+are compared exhaustively. A larger node's classes are held against one of them first, and a node
+that lies in one component by then is closed, so groups of near copies are not expanded into pairs.
+Of the others, nodes with at most MIDDLE classes, or whose components form few pairs, are compared
+exhaustively across components, and the rest branch: each of them chooses BRANCH coordinates among
+those whose tokens tell its components apart best (as a hashed share of its classes shows), since
+the tokens of a passage that all of them share would only make the same node again. A pair in
+such a node meets a chance of BRANCH more children in each of the nodes that it shares. No node is
+capped or dropped; what is still larger after ROUNDS levels is compared exhaustively.
+
+A pair whose minwise tokens agree too rarely for the threshold (by five standard deviations) is passed
+over, any other pair is confirmed or refused on the full sets. The tables of a level are written as
+the tree grows, so actions run while the result is planned.
 
 Null and empty texts, and texts without a word, have an empty set and are linked with nothing. Texts
 with fewer words than a shingle are one shingle. Rows with a null id take no part and come back with
@@ -33,10 +36,14 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Scratch, components
 
-TREES, COORDS, DEPTH, LEAF, MIDDLE = 3, 64, 4, 6, 1024
-BITS = 1 << 27  # of the filter that is broadcast, 16 MB whatever the input
+TREES, COORDS, LEAF, MIDDLE = 3, 64, 6, 1024
+BRANCH, DISTINCT, SAMPLE, ROUNDS = 3, 16, 256, 16
+BITS = 1 << 27  # of the filter that is broadcast, 16 MB whatever the input; more than ACTIVE classes are joined instead
+ACTIVE = BITS // 16
 SEEDS = K.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 SIGN = "_id long, n_shingles long, _set long, _set2 long, _coords binary"
+NODE = ["node", "_id", "component", "n_shingles", "_coords"]
+ROW = "node long, _id long, component long, n_shingles long, _coords binary"
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -87,31 +94,53 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), COORDS)
 
 
-def branch(seeded: bool):
-    """Children of (node, _id, _coords); from the roots of all trees where nothing has a node yet."""
+def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, _id) of the first level of all trees, from (_id, _coords)."""
+    K.release()
+    for batch in batches:
+        if batch.num_rows:
+            token, ids = matrix(batch.column("_coords"))[:, : 2 * TREES].astype(np.uint64), np.asarray(batch.column("_id"))
+            node = K.mix((np.arange(1, 2 * TREES + 1, dtype=np.uint64) << np.uint64(32)) + token * K.MULT[5])
+            yield pa.RecordBatch.from_arrays([pa.array(node.T.ravel().view(np.int64)), pa.array(np.tile(ids, 2 * TREES))], names=["node", "_id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.release()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            coords, ids = matrix(batch.column("_coords")), np.asarray(batch.column("_id"))
-            n = len(ids)
-            if seeded:
-                nodes = [np.full(n, K.mix(np.array([t + 1], np.uint64))[0]) for t in range(TREES)]
-            else:
-                nodes = [np.asarray(batch.column("node")).view(np.uint64)]
-            out = []
-            for tree, node in enumerate(nodes):
-                pick = K.mix(node ^ K.MULT[4])
-                a = np.full(n, 2 * tree, np.uint64) if seeded else pick % np.uint64(COORDS)
-                b = a + np.uint64(1) if seeded else (a + np.uint64(1) + (pick >> np.uint64(32)) % np.uint64(COORDS - 1)) % np.uint64(COORDS)
-                for c in (a, b):
-                    token = coords[np.arange(n), c.astype(np.int64)].astype(np.uint64)
-                    out.append(K.mix(node * K.MULT[5] + ((c << np.uint64(32)) | token)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids, len(out)))], names=["node", "_id"])
 
-    return run
+def own_order(node: np.ndarray) -> np.ndarray:
+    """Coordinates in an order of each node's own."""
+    return np.argsort(K.mix(node[:, None] * K.MULT[4] + np.arange(COORDS, dtype=np.uint64)), axis=1).astype(np.uint8)
+
+
+def choose(rows: pa.Table) -> pa.Table:
+    """(node, picks): BRANCH of the DISTINCT coordinates on which classes of different components meet least, by some of a node's rows."""
+    coords, own = matrix(rows.column("_coords")), rows.column("component").to_numpy()
+    label = np.unique(own, return_inverse=True)[1].astype(np.uint64)
+
+    def meet(x: np.ndarray) -> int:
+        return int((np.unique(x, return_counts=True)[1].astype(np.int64) ** 2).sum())
+
+    together = [meet(coords[:, c]) - meet(coords[:, c].astype(np.uint64) << np.uint64(32) | label) for c in range(COORDS)]
+    far = np.argsort(together, kind="stable")[:DISTINCT]
+    node = rows.column("node").to_numpy()[:1]
+    order = own_order(node.view(np.uint64))[0]
+    return pa.table([pa.array(node), pa.array([order[np.isin(order, far)][:BRANCH].tobytes()], pa.binary())], names=["node", "picks"])
+
+
+def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The children of (node, _id, component, n_shingles, _coords, picks)."""
+    K.release()
+    kept = ["_id", "component", "n_shingles", "_coords"]
+    for batch in batches:
+        for k in range(0, batch.num_rows, 4096):
+            part = batch.slice(k, 4096)
+            node, coords = np.asarray(part.column("node")).view(np.uint64), matrix(part.column("_coords"))
+            picks = own_order(node)[:, :BRANCH].copy()
+            told = part.column("picks").to_pylist()
+            some = [i for i, x in enumerate(told) if x is not None]
+            if some:
+                picks[some] = np.frombuffer(b"".join(told[i] for i in some), np.uint8).reshape(len(some), BRANCH)
+            for c in picks.T:
+                token = coords[np.arange(len(node)), c].astype(np.uint64)
+                child = K.mix(node * K.MULT[5] + (c.astype(np.uint64) << np.uint64(32) | token))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(part.column(x) for x in kept)], names=["node", *kept])
 
 
 def least_agreement(threshold: float) -> float:
@@ -183,12 +212,11 @@ def pairs_within(percent: int):
 
 
 def partnered(percent: int):
-    """The rows (node, _id, component) with a likely partner in their node."""
+    """The rows with a likely partner in their node."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         own = pa.array(np.unique(np.concatenate(likely_pairs(rows, percent))))
-        kept = ["node", "_id", "component"]
-        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(own) for c in kept], names=kept)
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(own) for c in NODE], names=NODE)
 
     return by_node(work)
 
@@ -237,13 +265,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed.where("n_shingles > 0").groupBy("_set", "_set2", "n_shingles").agg(F.min(F.struct("_id", "_coords")).alias("r")).select(F.col("r._id").alias("_id"), F.col("r._coords").alias("_coords"), "n_shingles", "_set", "_set2")
     )
     coords = reps.select("_id", "_coords", "n_shingles")
+    spent: list[DataFrame] = []
 
-    def grow(frontier: DataFrame | None) -> DataFrame:
-        """The next level as (node, _id, size); nodes with one class are gone."""
-        rows = coords.select("_id", "_coords") if frontier is None else frontier.select("node", "_id").join(coords.select("_id", "_coords"), "_id")
-        below = rows.mapInArrow(branch(frontier is None), "node long, _id long")
-        size = below.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        return scratch.write(below.join(size, "node"))
+    def keep(df: DataFrame) -> DataFrame:
+        spent.append(scratch.write(df))
+        return spent[-1]
 
     def hopeful(pairs: DataFrame) -> DataFrame:
         ca = coords.select(F.col("_id").alias("a"), F.col("_coords").alias("ca"), F.col("n_shingles").alias("na"))
@@ -254,28 +280,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def stars(nodes: DataFrame) -> DataFrame:
         """Each large node's classes against the first of them."""
         pivot = nodes.groupBy("node").agg(F.min("_id").alias("p"))
-        return hopeful(nodes.join(pivot, "node").where("_id <> p").select(F.col("p").alias("a"), F.col("_id").alias("b")))
+        return hopeful(nodes.select("node", "_id").join(pivot, "node").where("_id <> p").select(F.col("p").alias("a"), F.col("_id").alias("b")))
 
-    def sorted_(nodes: DataFrame) -> DataFrame:
-        rows = nodes.join(coords, "_id").select("node", "_id", "component", "n_shingles", "_coords")
-        return rows.repartition("node").sortWithinPartitions("node", "_id")
+    def whole(nodes: DataFrame) -> DataFrame:
+        """Rows of a node side by side."""
+        return nodes.repartition("node").sortWithinPartitions("node", "_id")
 
     def inside(nodes: DataFrame) -> DataFrame:
-        """Links across the components of (node, _id, component), at most MIDDLE rows a node; full sets go to a node once a row."""
-        some = sorted_(nodes).mapInArrow(partnered(percent), "node long, _id long, component long")
-        rows = some.join(coords, "_id").join(full.select("_id", "s"), "_id").select("node", "_id", "component", "n_shingles", "_coords", "s")
-        return rows.repartition("node").sortWithinPartitions("node", "_id").mapInArrow(links_within(percent), "a long, b long")
+        """Links across the components of nodes; only rows with a likely partner meet their full sets."""
+        some = whole(nodes.select(*NODE)).mapInArrow(partnered(percent), ROW)
+        rows = some.join(full.select("_id", "s"), "_id").select(*NODE, "s")
+        return whole(rows).mapInArrow(links_within(percent), "a long, b long")
 
     def mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """(node, _id, component, n, major, few) of the nodes that hold more than one component.
+        """Rows of the nodes that hold more than one component, with n, major and few.
 
         major is the node's largest component; few says that pairs across its components are no more than its rows times LEAF.
         """
-        told = nodes.join(labels, nodes["_id"] == labels["id"], "left").select("node", "_id", F.coalesce("component", "_id").alias("component"))
+        told = nodes.join(labels, nodes["_id"] == labels["id"], "left").withColumn("component", F.coalesce("component", "_id")).drop("id")
         parts = told.groupBy("node", "component").agg(F.count("*").alias("c"))
         sizes = parts.groupBy("node").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "component"))["component"].alias("major"))
         several = sizes.where("parts > 1").select("node", "n", "major", (F.col("n") * F.col("n") - F.col("sq") <= 2 * LEAF * F.col("n")).alias("few"))
-        return scratch.write(told.join(several, "node"))
+        return keep(told.join(several, "node"))
 
     def across(nodes: DataFrame) -> DataFrame:
         """All pairs of different components: every class outside a node's largest component against the others."""
@@ -283,36 +309,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         y = nodes.select("node", F.col("_id").alias("b"), F.col("component").alias("y"))
         return hopeful(x.join(y, "node").where("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
+    def grow(nodes: DataFrame) -> DataFrame:
+        """The children of large nodes that hold more than one component, with their size."""
+        share = F.ceil(F.col("n") / SAMPLE)
+        picks = nodes.where(F.pmod(F.xxhash64("_id"), share) == 0).select(*NODE).groupBy("node").applyInArrow(choose, "node long, picks binary")
+        below = keep(nodes.select(*NODE).join(picks, "node", "left").mapInArrow(branch, ROW))
+        size = below.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
+        return keep(below.join(size.where("x < y").select("node", "size"), "node"))
+
     # the first level says which classes may have a partner; their full sets are kept from here on
-    level = grow(None)
-    large = level.where(F.col("size") > LEAF)
-    leaves = sorted_(level.where(F.col("size") <= LEAF).withColumn("component", F.col("_id"))).mapInArrow(pairs_within(percent), "a long, b long")
-    pairs = scratch.write(leaves.unionByName(stars(large)).distinct())
-    spot = F.pmod(F.xxhash64("_id"), F.lit(BITS)) + 1
-    active = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).union(large.select("_id"))
-    bits = np.zeros(BITS // 8, np.uint8)
-    for bucket, part in active.groupBy(F.bitmap_bucket_number(spot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).toLocalIterator():
-        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    planted = reps.select("_id", "_coords").mapInArrow(plant, "node long, _id long")
+    level = keep(planted.join(planted.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node"))
+    large = level.where(F.col("size") > LEAF).select("node", "_id")
+    small = level.where(F.col("size") <= LEAF).withColumn("component", F.col("_id")).join(coords, "_id").select(*NODE)
+    pairs = keep(whole(small).mapInArrow(pairs_within(percent), "a long, b long").unionByName(stars(large)).distinct())
+    active = keep(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).union(large.select("_id")).distinct())
+    if active.count() > ACTIVE:
+        some, shared = base.join(active, "_id", "left_semi").withColumn("_spot", F.lit(None).cast("long")), None
+    else:
+        spot = F.pmod(F.xxhash64("_id"), F.lit(BITS)) + 1
+        bits = np.zeros(BITS // 8, np.uint8)
+        for bucket, part in active.groupBy(F.bitmap_bucket_number(spot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).toLocalIterator():
+            bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
+        shared = spark.sparkContext.broadcast(bits)
+        some = base.withColumn("_spot", spot - 1)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.release()
         for batch in batches:
-            at = np.asarray(batch.column("_spot"))
-            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            if shared is not None:
+                at = np.asarray(batch.column("_spot"))
+                batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             sets = list(shingle_sets(K.plain(batch, "_text"), shingle))
             sums = [int(K.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sums, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_id", "_set", "s"])
 
-    found = base.withColumn("_spot", spot - 1).mapInArrow(members, "_id long, _set long, s binary")
-    full = scratch.write(found.join(reps.select("_id", "_set"), ["_id", "_set"], "left_semi").dropDuplicates(["_id", "_set"]))
+    found = some.mapInArrow(members, "_id long, _set long, s binary")
+    full = keep(found.join(reps.select("_id", "_set"), ["_id", "_set"], "left_semi").dropDuplicates(["_id", "_set"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.release()
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                keep = [linked(x, y, percent) for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist())]
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                good = [linked(x, y, percent) for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist())]
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs that are links, on full sets."""
@@ -320,35 +360,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         two = full.select(F.col("_id").alias("b"), F.col("s").alias("sb"))
         return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long")
 
-    links = scratch.write(confirm(pairs))
-    labels = components(scratch, links)
-    while True:
-        split = mixed(large.select("node", "_id"), labels)
+    labels = components(scratch, confirm(pairs))
+    for depth in range(1, ROUNDS + 1):
+        split = mixed(large, labels)
         if split.isEmpty():
             break
+        told = split.where((F.col("n") <= MIDDLE) | ~F.col("few"))
+        if depth == 1:  # from here on the rows carry their coordinates
+            told = told.join(coords, "_id")
+        small = told.where((F.col("n") <= MIDDLE) | (F.lit(depth == ROUNDS) & ~F.col("few")))
         wide = split.where(F.col("n") > MIDDLE)
-        near, rest = split.where(F.col("n") <= MIDDLE).select("node", "_id", "component"), wide.where(~F.col("few")).select("node", "_id")
-        over = rest.isEmpty()
-        for _ in range(0 if over else DEPTH):
-            level = grow(rest)
-            own = level.where(F.col("size") <= MIDDLE).join(labels, level["_id"] == labels["id"], "left")
-            near = near.unionByName(own.select("node", "_id", F.coalesce("component", "_id").alias("component")))
-            rest = level.where(F.col("size") > MIDDLE)
-            over = rest.isEmpty()
-            if over:
-                break
-        new = inside(near)
+        rest = told.where((F.col("n") > MIDDLE) & ~F.col("few"))
+        over = depth == ROUNDS or rest.isEmpty()
+        new = inside(small)
         if not wide.where("few").isEmpty():
             new = new.unionByName(confirm(across(wide.where("few")).distinct()))
         if not over:
-            large = rest
-            new = new.unionByName(confirm(stars(large).distinct()))
-        new = scratch.write(new)
+            below = grow(rest)
+            large = below.where(F.col("size") > MIDDLE).select("node", "_id", "n_shingles", "_coords")
+            new = new.unionByName(inside(below.where(F.col("size") <= MIDDLE)))
+            over = large.isEmpty()
+            if not over:
+                new = new.unionByName(confirm(stars(large).distinct()))
+        new = keep(new)
         if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(scratch, links)
+            before = labels
+            labels = components(scratch, labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
+            spent.append(before)
         if over:
             break
+    scratch.drop(*spent)
     # a class's id is its smallest one, so its label is the smallest id of the component
     named = reps.join(labels, reps["_id"] == labels["id"], "left").select("_set", "_set2", "n_shingles", F.coalesce("component", "_id").alias("component"))
     rows = signed.join(named, ["_set", "_set2", "n_shingles"], "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))

@@ -39,6 +39,33 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {got[k] for k in range(60)} == {0} and all(got[1000 + k] == 1000 + k for k in range(60))
 
 
+def test_near_duplicates_in_nodes_that_branch(spark, monkeypatch):
+    """Against all pairs: texts that share half or two thirds of their words, pairs of them near the threshold, and a group of near copies among them."""
+    from tests.llm.test_queries import classes
+
+    monkeypatch.setattr(near_dedup, "MIDDLE", 24)
+    monkeypatch.setattr(near_dedup, "LEAF", 2)
+    monkeypatch.setattr(near_dedup, "SAMPLE", 16)
+    rng, rows = np.random.default_rng(3), []
+    for part, shared in ((0, 60), (1, 110)):
+        passage = [f"p{part}x{i}" for i in range(shared)]
+        for k in range(300):
+            own = [f"d{part}k{k}w{i}" for i in range(60)]
+            rows.append((1000 * part + 2 * k, " ".join(passage + own)))
+            if k % 3 == 0:  # a near copy with some of its last words changed
+                n = int(rng.integers(4, 26))
+                rows.append((1000 * part + 2 * k + 1, " ".join(passage + own[:-n] + [f"d{part}k{k}y{i}" for i in range(n)])))
+        rows += [(5000 + 1000 * part + k, " ".join(passage + [f"c{part}w{i}" for i in range(40) if i != k % 40] + [f"z{k}"])) for k in range(120)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == classes(dict(rows), 1)
+
+
+def test_near_duplicates_beyond_the_filter(spark, docs, monkeypatch):
+    want = sorted(map(str, near_dedup.near_duplicates(docs).collect()))
+    monkeypatch.setattr(near_dedup, "ACTIVE", 0)
+    assert sorted(map(str, near_dedup.near_duplicates(docs).collect())) == want
+
+
 def test_suffix_dedup(spark, docs):
     got = suffix_dedup.suffix_dedup(clashing(docs, "n_bytes", "kept_bytes"))
     rows = {r.doc_id: r for r in got.collect()}
@@ -204,18 +231,28 @@ def test_tree_grows_with_the_input(spark, monkeypatch):
         assert got[200] > -25 and all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
 
 
-def test_near_duplicate_trees_branch_twice():
-    """Each node has two children of different coordinates at any level, and the roots of the trees have none in common."""
-    base = np.arange(near_dedup.COORDS, dtype=np.uint32)
-    coords = np.tile(base, (near_dedup.COORDS + 1, 1))
-    coords[np.arange(near_dedup.COORDS), np.arange(near_dedup.COORDS)] = 999  # class i differs from the last one at coordinate i only
-    ids, nodes = np.arange(len(coords)), np.full(len(coords), 12345)
-    batch = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(ids), pa.array([c.tobytes() for c in coords], pa.binary())], names=["node", "_id", "_coords"])
-    for seeded, picks in ((True, 2 * near_dedup.TREES), (False, 2)):
-        rows = list(near_dedup.branch(seeded)(iter([batch])))[0].to_pydict()
-        own = {n for n, i in zip(rows["node"], rows["_id"]) if i == near_dedup.COORDS}
-        assert len(own) == picks and sum(n not in own for n in rows["node"]) == picks
-
+def test_near_duplicate_trees_branch():
+    """The roots of the trees have no coordinate in common, and a node's children come from BRANCH different ones, the most distinct ones if told."""
+    n = near_dedup.COORDS
+    coords = np.tile(np.arange(n, dtype=np.uint32), (n + 1, 1))
+    coords[np.arange(n), np.arange(n)] = 999  # class i differs from the last one at coordinate i only
+    binary = pa.array([c.tobytes() for c in coords], pa.binary())
+    rows = next(near_dedup.plant(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), binary], names=["_id", "_coords"])]))).to_pydict()
+    own = {x for x, i in zip(rows["node"], rows["_id"]) if i == n}
+    alone = [i for i in range(n) if len(own & {x for x, j in zip(rows["node"], rows["_id"]) if j == i}) < 2 * near_dedup.TREES]
+    assert len(own) == 2 * near_dedup.TREES and alone == list(range(2 * near_dedup.TREES))
+    table = {"node": np.full(n + 1, 12345), "_id": np.arange(n + 1), "component": np.arange(n + 1), "n_shingles": np.full(n + 1, 60)}
+    table = {**{k: pa.array(v) for k, v in table.items()}, "_coords": binary}
+    picks = near_dedup.choose(pa.table(table)).column("picks")[0].as_py()
+    assert len(set(picks)) == near_dedup.BRANCH
+    batch = pa.RecordBatch.from_arrays([*table.values(), pa.array([picks] * (n + 1), pa.binary())], names=[*table, "picks"])
+    rows = pa.Table.from_batches(near_dedup.branch(iter([batch])))
+    size = {i: 0 for i in range(n)}
+    last = {x for x, i in zip(rows.column("node").to_pylist(), rows.column("_id").to_pylist()) if i == n}
+    for x, i in zip(rows.column("node").to_pylist(), rows.column("_id").to_pylist()):
+        if i < n:
+            size[i] += x in last
+    assert len(last) == near_dedup.BRANCH and sorted(i for i in size if size[i] < near_dedup.BRANCH) == sorted(picks)
 
 def test_packing_scores_all_terms():
     """A seed whose 40 rarest tokens are its own alone still finds the tail that shares its other tokens."""
