@@ -8,7 +8,7 @@ with probability 1 - 0.2**6, above 0.9999. Nodes with one class end; nodes with
 are compared exhaustively. A larger node's classes are held against one of them first, and a node
 that lies in one component by then is closed, so groups of near copies are not expanded into pairs.
 Of the others, nodes with at most MIDDLE classes, or whose components form few pairs, are compared
-exhaustively across components, and the rest branch: each of them chooses BRANCH coordinates among
+exhaustively across components (by an index of the node's shingles), and the rest branch: each of them chooses BRANCH coordinates among
 those whose tokens tell its components apart best (as a hashed share of its classes shows), since
 the tokens of a passage that all of them share would only make the same node again. A pair in
 such a node meets a chance of BRANCH more children in each of the nodes that it shares. No node is
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Scratch, components
 
-TREES, COORDS, LEAF, MIDDLE = 3, 64, 6, 1024
+TREES, COORDS, LEAF, MIDDLE = 3, 64, 6, 4096
 BRANCH, DISTINCT, SAMPLE, ROUNDS = 3, 16, 256, 16
-BITS = 1 << 27  # of the filter that is broadcast, 16 MB whatever the input; more than ACTIVE classes are joined instead
-ACTIVE = BITS // 16
+BITS = 1 << 27  # of the filter that is broadcast, 16 MB whatever the input; with more than ACTIVE bits set, classes are joined instead
+ACTIVE = BITS // 8
 SEEDS = K.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 SIGN = "_id long, n_shingles long, _set long, _set2 long, _coords binary"
 NODE = ["node", "_id", "component", "n_shingles", "_coords"]
@@ -183,11 +183,11 @@ def by_node(work):
     return run
 
 
-def likely_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (node, component, n_shingles, _coords) of the same node and different components that may be links."""
+def likely_pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (node, component, n_shingles, _coords) of the same node and different components that may be links, one distance in the table at a time."""
     least = least_agreement(percent / 100)
     node, n, own = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "component"))
-    coords, left, right = matrix(rows.column("_coords")), [], []
+    coords = matrix(rows.column("_coords"))
     for d in range(1, len(node)):
         x = np.flatnonzero(node[:-d] == node[d:])
         if not len(x):
@@ -195,16 +195,13 @@ def likely_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         x = x[own[x] != own[x + d]]
         x = x[100 * np.minimum(n[x], n[x + d]) >= percent * np.maximum(n[x], n[x + d])]
         x = x[(coords[x] == coords[x + d]).sum(axis=1) >= least]
-        left.append(x)
-        right.append(x + d)
-    none = np.zeros(0, np.int64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none])
+        yield x, x + d
 
 
 def pairs_within(percent: int):
     def work(rows: pa.Table) -> pa.RecordBatch:
-        x, y = likely_pairs(rows, percent)
-        ids = rows.column("_id").to_numpy()
+        ids, none = rows.column("_id").to_numpy(), np.zeros(0, np.int64)
+        x, y = (np.concatenate([none, *z]) for z in zip((none, none), *likely_pairs(rows, percent)))
         got = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
@@ -215,31 +212,40 @@ def partnered(percent: int):
     """The rows with a likely partner in their node."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
-        own = pa.array(np.unique(np.concatenate(likely_pairs(rows, percent))))
+        some = np.zeros(rows.num_rows, bool)
+        for x, y in likely_pairs(rows, percent):
+            some[x] = some[y] = True
+        own = pa.array(np.flatnonzero(some))
         return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(own) for c in NODE], names=NODE)
 
     return by_node(work)
 
 
 def links_within(percent: int):
-    """Links that join the components of a node, on the full sets s; a pair already joined is not looked at."""
+    """Links that join the components of a node, on the full sets s: each row outside a node's largest component against all its rows, by an index of the node's shingles."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
-        x, y = likely_pairs(rows, percent)
-        node, ids, own = (rows.column(c).to_pylist() for c in ("node", "_id", "component"))
-        sets, of, out = rows.column("s").to_pylist(), {}, []
-
-        def root(k):
-            while of.setdefault(k, k) != k:
-                of[k] = of[of[k]]
-                k = of[k]
-            return k
-
-        for i, j in zip(x.tolist(), y.tolist()):
-            p, q = root((node[i], own[i])), root((node[j], own[j]))
-            if p != q and linked(sets[i], sets[j], percent):
-                of[max(p, q)] = min(p, q)
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        node, ids, own = (rows.column(c).to_numpy() for c in ("node", "_id", "component"))
+        size, out = rows.column("n_shingles").to_numpy(), []
+        cut = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)] if len(node) else []
+        for a, b in zip(cut[:-1], cut[1:]):
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("s").slice(a, b - a).to_pylist()]
+            row = np.repeat(np.arange(b - a), [len(x) for x in sets])
+            order = np.argsort(token := np.concatenate(sets), kind="stable")
+            place, holder = np.searchsorted(token[order], token), row[order]
+            end = np.searchsorted(token[order], token, "right")
+            first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            part, n = own[a:b].copy(), size[a:b]
+            name, times = np.unique(part, return_counts=True)
+            for i in np.flatnonzero(part != name[times.argmax()]).tolist():
+                lo, count = place[first[i] : first[i + 1]], (end - place)[first[i] : first[i + 1]]
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+                both = np.bincount(holder[at], minlength=b - a)
+                near = np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (part != part[i]))
+                for j in near[np.unique(part[near], return_index=True)[1]].tolist():
+                    out.append((min(ids[a + i], ids[a + j]), max(ids[a + i], ids[a + j])))
+                if len(near):
+                    part[np.isin(part, part[near])] = part[i]
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     return by_node(work)
@@ -323,16 +329,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = level.where(F.col("size") > LEAF).select("node", "_id")
     small = level.where(F.col("size") <= LEAF).withColumn("component", F.col("_id")).join(coords, "_id").select(*NODE)
     pairs = keep(whole(small).mapInArrow(pairs_within(percent), "a long, b long").unionByName(stars(large)).distinct())
-    active = keep(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).union(large.select("_id")).distinct())
-    if active.count() > ACTIVE:
-        some, shared = base.join(active, "_id", "left_semi").withColumn("_spot", F.lit(None).cast("long")), None
+    active = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).union(large.select("_id"))
+    spot = F.pmod(F.xxhash64("_id"), F.lit(BITS)) + 1
+    bits, marks = np.zeros(BITS // 8, np.uint8), 0
+    found = active.groupBy(F.bitmap_bucket_number(spot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).withColumn("n", F.bitmap_count("m"))
+    for r in found.collect():  # at most BITS / 8 bytes
+        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+        marks += r.n
+    some = base.withColumn("_spot", spot - 1)
+    if marks > ACTIVE:
+        some, shared = some.join(active.distinct(), "_id", "left_semi"), None
     else:
-        spot = F.pmod(F.xxhash64("_id"), F.lit(BITS)) + 1
-        bits = np.zeros(BITS // 8, np.uint8)
-        for bucket, part in active.groupBy(F.bitmap_bucket_number(spot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).toLocalIterator():
-            bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
         shared = spark.sparkContext.broadcast(bits)
-        some = base.withColumn("_spot", spot - 1)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.release()
