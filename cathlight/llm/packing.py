@@ -1,14 +1,18 @@
 """Packing of token sequences by lexical retrieval (operator 6).
 
-A text is tokenised whole and ends with END_ID. Its full windows are sequences by themselves; the
-tail that is left goes to one of as many shards as keep a shard near SHARD texts. A shard has its own
-BM25 index over token ids. A seed takes its window; the unused tails that score best for all of the
+A text is tokenised whole and ends with END_ID. Its full windows are sequences by themselves. The BM25
+statistics (document frequency of each token id, number and mean length) are those of all tails that
+are left. A tail is routed by two of its tokens, each drawn with its idf as weight by a hash that all tails
+share, so tails that share rare tokens, copies above all, tend to stand side by side; that order
+is dealt into shards of about SHARD tails by Spark's range partitioning, which parts equal routes by content.
+Each shard is indexed by term. A seed takes its window; the unused tails that score best for all of the
 seed's tokens follow until the window is full, the last one is cut there, and what is left of
 it is the next seed. If no neighbour is left, the next unused tail follows. Only the last window of
 a shard is short; it is cut into sequences whose lengths are powers of two, so nothing is padded.
 
 Null and empty texts are END_ID alone. A null id is packed under a null id, repeated rows are packed
-each by themselves. Other columns are not part of the result.
+each by themselves. Other columns are not part of the result. Tokens are written and counted while the
+result is planned.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import table
+from .common import Scratch, table
 
 WINDOW, END_ID, SHARD = 1024, 0, 2048
 K1, B = 1.2, 0.75
@@ -126,18 +130,31 @@ def encode(column: pa.Array, path: str) -> list[bytes]:
     return [np.array(head.ids, "<u4").tobytes() + raw_ids[a:b] for head, a, b in zip(coded, cut[:-1].tolist(), cut[1:].tolist())]
 
 
+class Corpus:
+    """Number and mean length of all tails, and the idf of each token id."""
+
+    def __init__(self, n: int, total: int, df: np.ndarray):
+        self.mean = total / max(n, 1)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)) * (df > 0)
+        ids = np.arange(len(df), dtype=np.uint64)
+        draw = lambda m: -np.log((K.mix(ids * K.MULT[m] + K.MULT[m + 1]) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) / np.maximum(self.idf, 1e-9)
+        self.draws = np.argsort(np.argsort(draw(0))).astype(np.int64), np.argsort(np.argsort(draw(2))).astype(np.int64)
+
+    def route(self, tail: np.ndarray) -> int:
+        """The token that comes first in each of two orders of all tokens, in which rare ones tend to come first."""
+        return int(self.draws[0][tail].min()) << 32 | int(self.draws[1][tail].min())
+
+
 class Shard:
     """BM25 over the tails of one shard; retrieve() sees the unused ones only."""
 
-    def __init__(self, tails: list[np.ndarray]):
+    def __init__(self, tails: list[np.ndarray], corpus: Corpus):
         n = len(tails)
         size = np.array([len(t) for t in tails], np.int64)
         key, tf = np.unique(np.concatenate(tails).astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
         term, self.doc = key // n, key % n
         self.first = np.searchsorted(term, np.arange(int(term.max()) + 2))
-        df = np.diff(self.first)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)) * (df > 0)
-        self.weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (size / size.mean())[self.doc]))
+        self.weight = corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (size / corpus.mean)[self.doc]))
         self.n, self.unused = n, np.ones(n, bool)
 
     def retrieve(self, query: np.ndarray) -> np.ndarray:
@@ -150,9 +167,9 @@ class Shard:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(tails: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(tails: list[np.ndarray], corpus: Corpus, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(tail, from, length, sequence, offset) of every piece."""
-    shard, n = Shard(tails), len(tails)
+    shard, n = Shard(tails, corpus), len(tails)
     after = 0  # the first tail that may be unused
     sequence, left = 0, None  # left: (tail, from) of the tail that was cut
     while left or after < n:
@@ -205,7 +222,6 @@ def pack_shard(tails: list[np.ndarray], window: int) -> Iterator[tuple[int, int,
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if with_ids, ids (32-bit little-endian)."""
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    shards = max(1, -(-own.count() // SHARD))
     end = np.array([END_ID], "<u4").tobytes()
     names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     kinds = [pa.int64()] * 7 + [pa.binary()]
@@ -234,22 +250,52 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                         rows.append((d, whole, n - whole, None, n, None, None, raw[4 * whole :]))
                 yield batch_of(rows)
 
-    def fill(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("h", "ascending"), ("_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
+    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many tails hold each token id; -1: tails, -2: their tokens."""
+        K.release()
+        df, n, total = np.zeros(vocabulary, np.int64), 0, 0
+        for batch in batches:
+            for raw in batch.column("ids").to_pylist():
+                df[np.unique(np.frombuffer(raw, "<u4"))] += 1
+                n, total = n + 1, total + len(raw) // 4
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], some])), pa.array(np.concatenate([[n, total], df[some]]))], names=["k", "n"])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
+        corpus = shared.value
+        for batch in batches:
+            to = [corpus.route(np.frombuffer(raw, "<u4")) for raw in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, pa.int64())], names=[*batch.schema.names, "route"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pieces of one shard, which is a partition."""
+        K.release()
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        group = pa.Table.from_batches(parts)
         raw = group.column("ids").to_pylist()
         tails = [np.frombuffer(r, "<u4").astype(np.int64) for r in raw]
         ids, start, n = (group.column(c).to_pylist() for c in ("_id", "start", "doc_tokens"))
-        rows = []
-        for t, s, m, sequence, offset in pack_shard(tails, window):
+        key, rows = TaskContext.get().partitionId() << 32, []
+        for t, s, m, sequence, offset in pack_shard(tails, shared.value, window):
             piece = raw[t][4 * s : 4 * (s + m)]
-            rows.append((ids[t], start[t] + s, m, zlib.crc32(piece), n[t], 2 * ((key[0].as_py() << 32) + sequence), offset, piece if with_ids else None))
-        return pa.Table.from_batches([batch_of(rows)])
-
-    from .common import Scratch
-
-    made = Scratch(docs.sparkSession, "pack").write(own.mapInArrow(tokens, schema))
-    tails = made.where("sequence_id is null").withColumn("h", F.xxhash64("_id", "ids"))
-    packed = tails.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(fill, schema)
+            rows.append((ids[t], start[t] + s, m, zlib.crc32(piece), n[t], 2 * (key + sequence), offset, piece if with_ids else None))
+        yield batch_of(rows)
+
+    vocabulary = tokenizer(path)[0].get_vocab_size()
+    spark = docs.sparkSession
+    made = Scratch(spark, "pack").write(own.mapInArrow(tokens, schema))
+    tails = made.where("sequence_id is null").select("_id", "start", "doc_tokens", "ids")
+    counts = {r.k: r.n for r in tails.select("ids").mapInArrow(frequency, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # at most one for each token id
+    n, total = counts.pop(-1, 0), counts.pop(-2, 0)
+    df = np.zeros(vocabulary, np.int64)
+    df[list(counts)] = list(counts.values())
+    shared = spark.sparkContext.broadcast(Corpus(n, total, df))
+    routed = tails.mapInArrow(route, "_id long, start long, doc_tokens long, ids binary, route long").withColumns({"h": F.xxhash64("_id", "ids"), "u": F.monotonically_increasing_id()})  # u parts repeated rows
+    dealt = routed.repartitionByRange(max(1, -(-n // SHARD)), "route", "h", "u").sortWithinPartitions("route", "h", "_id", "start", "ids")
+    packed = dealt.select("_id", "start", "doc_tokens", "ids").mapInArrow(fill, schema)
     out = made.where("sequence_id is not null").unionByName(packed).withColumnRenamed("_id", id_col)
     return out if with_ids else out.drop("ids")
 

@@ -37,6 +37,7 @@ DEPTH, LEAST, GAIN, PRIOR = 6, 2, 10.0, 12.0
 SHARE, KNOWN = 1 << 20, 1 << 21
 END, GAP = 10, 32
 SLOT = 1 << 21
+SLICE = 1 << 19  # bytes of text at a time; some 130 bytes of arrays for each
 
 
 def stream(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +209,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         for batch, learn in halves(batches):
             column = K.plain(batch, "_text")
             ends += learn * len(column)
-            for i, j in K.slices(column):
+            for i, j in K.slices(column, SLICE):
                 words = K.Words(K.Texts(column[i:j]))
                 key, _ = keys(*stream(words))
                 for kind, found in ((0, words.hashes().view(np.int64)), (1, key)):
@@ -216,9 +217,9 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
                         continue
                     k, n = np.unique(found, return_counts=True)
                     held[kind].append((k, n * learn))
-                    if len(held[kind]) > 2:
+                    if len(held[kind]) > 5:
                         merge(kind)
-                    if len(held[kind]) == 1 and len(held[kind][0][0]) > 400_000:
+                    if len(held[kind]) == 1 and len(held[kind][0][0]) > 300_000:
                         k, n = held[kind].pop()
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], names=["kind", "k", "n"])
         for kind in (0, 1):
@@ -261,7 +262,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         logs = np.log10(times + 1.0)
         for batch in batches:
             column = K.plain(batch, "_text")
-            for i, j in K.slices(column):
+            for i, j in K.slices(column, SLICE):
                 words = K.Words(K.Texts(column[i:j]))
                 raw, start = stream(words)
                 key, begin = keys(raw, start)

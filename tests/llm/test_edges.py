@@ -257,11 +257,42 @@ def test_near_duplicate_trees_branch():
 def test_packing_scores_all_terms():
     """A seed whose 40 rarest tokens are its own alone still finds the tail that shares its other tokens."""
     tails = [np.arange(50), np.arange(100, 150), np.arange(40, 60), np.arange(200, 230)]
-    shard = packing.Shard(tails)
+    shard = packing.Shard(tails, corpus_of(tails))
     shard.unused[0] = False
     assert shard.retrieve(tails[0]).tolist() == [2]
 
 
+def corpus_of(tails):
+    df = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=int(max(map(max, tails))) + 1)
+    return packing.Corpus(len(tails), sum(map(len, tails)), df)
+
+
+def test_packing_retrieves_as_plain_bm25():
+    import math
+
+    rng = np.random.default_rng(5)
+    tails = [np.minimum(rng.zipf(1.3, int(rng.integers(1, 60))), 400) for _ in range(80)]
+    shard, n, mean = packing.Shard(tails[:50], corpus_of(tails)), len(tails), sum(map(len, tails)) / len(tails)
+    df = {t: sum(t in x for x in map(set, (y.tolist() for y in tails))) for t in range(401)}
+    for q in range(50):
+        score = []
+        for x in (y.tolist() for y in tails[:50]):
+            idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in set(tails[q].tolist())}
+            score.append(sum(idf[t] * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in idf))
+        got = shard.retrieve(tails[q])
+        assert set(got.tolist()) == {i for i, s in enumerate(score) if s > 0}
+        assert all(score[a] >= score[b] - 1e-9 for a, b in zip(got[:-1], got[1:]))
+
+
+def test_packing_routes_copies_side_by_side():
+    rng = np.random.default_rng(6)
+    tails = [rng.integers(1, 5000, 200) for _ in range(500)]
+    copies = [np.concatenate([t[:190], rng.integers(1, 5000, 10)]) for t in tails]
+    corpus = corpus_of(tails + copies)
+    same = [corpus.route(a) == corpus.route(b) for a, b in zip(tails, copies)]
+    assert np.mean(same) > 0.7
+
+
 def test_top_k_of_large_components(spark):
     """Components beyond the exact range of doubles' products, with scores that differ in their last digits."""
     rng = np.random.default_rng(7)
