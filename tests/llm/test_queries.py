@@ -143,3 +143,23 @@ def test_op9_same_as_brute_force(spark, docs, monkeypatch):
     assert {i: tuple(r[1:]) for i, r in result(spark, "op9_suffix_dedup").items()} == want
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
     assert {i: tuple(r[1:]) for i, r in result(spark, "op9_suffix_dedup").items()} == want
+
+
+@pytest.mark.parametrize("hot,limit", [(20_000, 1 << 24), (2, 0)])
+def test_op9_of_periodic_and_overlapping_texts(spark, monkeypatch, hot, limit):
+    from pyspark.sql import functions as F
+
+    from cathlight.llm import suffix_dedup
+
+    rng, passage = np.random.default_rng(hot), "".join(f"{i * i % 89:02d}" for i in range(120))
+    texts = {}
+    for i in range(60):
+        own = "".join(map(str, rng.integers(0, 2, int(rng.integers(0, 90)))))
+        a = int(rng.integers(0, 120))
+        parts = [own, passage[a : a + int(rng.integers(40, 240))], "ab" * int(rng.integers(0, 90)), own[:70], passage[: int(rng.integers(0, 200))]]
+        texts[i] = "".join(parts[k] for k in rng.permutation(5))
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "FILTER", limit)
+    rows = [*texts.items(), *list(texts.items())[:5]]  # some rows twice
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).withColumn("sha", F.sha2("kept_bytes", 256))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got.collect()} == removed(texts)
