@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # Answer terms of the evaluated archive
 UNSURE = [
     "no", "unclear", "not visible", "cannot say", "can not say", "can't say", "cant say", "unable to determine",
@@ -45,7 +47,7 @@ def has_any(c: Column, needles: list[str]) -> Column:
 
 def tidy(c: Column) -> Column:
     """Null as empty, trimmed, lower case, single spaces."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", ""))), r"\s+", " ")
+    return F.regexp_replace(F.lower(strip(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", ""))), r"\s+", " ")
 
 
 def truth_answer(c: Column) -> Column:
@@ -67,18 +69,18 @@ def binary(c: Column) -> Column:
 
 def first_token(c: Column) -> Column:
     """yes or no by the first word-like token, else null."""
-    token = F.regexp_extract(F.lower(F.trim(c)), r"^\s*([a-z0-9]+)", 1)
+    token = F.regexp_extract(F.lower(strip(c)), r"^\s*([a-z0-9]+)", 1)
     return F.when(token.isin("yes", "y", "true", "1"), "yes").when(token.isin("no", "n", "false", "0"), "no")
 
 
 def unified_na(c: Column) -> Column:
-    a = F.lower(F.trim(c))
+    a = F.lower(strip(c))
     return F.when(a.isin("na", "n.a.", "n\\a", "n/a"), "n/a").otherwise(a)
 
 
 def question_key(c: Column) -> Column:
     a = tidy(c)
-    return F.trim(F.when(a.endswith(SUFFIX), F.substring(a, F.lit(1), F.length(a) - len(SUFFIX))).otherwise(a))
+    return strip(F.when(a.endswith(SUFFIX), F.substring(a, F.lit(1), F.length(a) - len(SUFFIX))).otherwise(a))
 
 
 def question_group(c: Column) -> Column:
@@ -87,11 +89,11 @@ def question_group(c: Column) -> Column:
 
 
 def model_label(c: Column) -> Column:
-    return ladder(F.replace(F.replace(F.trim(c), F.lit("zeroshot_"), F.lit("")), F.lit("bedrock_"), F.lit("")), *[(F.lower(c).contains(n), F.lit(x)) for n, x in MODEL_LABELS])
+    return ladder(F.replace(F.replace(strip(c), F.lit("zeroshot_"), F.lit("")), F.lit("bedrock_"), F.lit("")), *[(F.lower(c).contains(n), F.lit(x)) for n, x in MODEL_LABELS])
 
 
 def as_boolean(c: Column) -> Column:
-    return F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes")
+    return F.lower(strip(c.cast("string"))).isin("true", "1", "yes")
 
 
 def clause_of(text: str, terms: list[str]) -> str:
@@ -117,7 +119,7 @@ LEAD_INS = ["thinking", "here is", "here's", "certainly", "i can", "i'm sorry",
 
 def strict_label(c: Column) -> Column:
     """yes, no or n/a of free text: unstated before no before yes, n/a where nothing fits."""
-    s = tidy(F.regexp_replace(F.trim(c), "^(?:\"(.*)\"|'(.*)')$", "$1$2"))
+    s = tidy(F.regexp_replace(strip(c), "^(?:\"(.*)\"|'(.*)')$", "$1$2"))
     some = lambda patterns: s.rlike("|".join(f"(?:{p})" for p in patterns))
     return ladder(
         F.lit("n/a"), (s.isin("", "na", "n/a", "n\\a", "none", "null"), F.lit("n/a")), (some(NA_PHRASES), F.lit("n/a")), (some(NO_PHRASES), F.lit("no")),
@@ -127,7 +129,7 @@ def strict_label(c: Column) -> Column:
 
 def generated_reason(original: Column, generated: Column) -> Column:
     """OK, or why a generated report is refused: empty, a reply's lead-in, or far shorter than its original."""
-    text, words = F.lower(F.trim(generated)), lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != ""))
+    text, words = F.lower(strip(generated)), lambda c: F.size(F.filter(F.split(strip(c), r"\s+"), lambda x: x != ""))
     lead = F.lit(False)
     for p in LEAD_INS:
         lead = lead | text.startswith(p)

@@ -33,6 +33,11 @@ def chain(c: Column, *rules: tuple[str, str]) -> Column:
     return c
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends (trim takes spaces only)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def plain_characters(c: Column) -> Column:
     for a, b in REPLACED.items():
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -67,7 +72,7 @@ def clean_report(c: Column) -> Column:
 
 
 def header_kept(h: Column) -> Column:
-    u = F.upper(F.trim(h))
+    u = F.upper(strip(h))
     return ~u.startswith("INDICATION") & (u.contains("FINDINGS") | u.contains("IMPRESSION") | u.isin(KEPT_HEADERS) | u.contains("ANGIOGRAPHY") | u.contains("AORTOGRAPHY"))
 
 
@@ -80,27 +85,28 @@ def slice_sections(c: Column) -> Column:
         lambda s, line: _step(s, line),
         lambda s: F.array_join(s["kept"], "\n"),
     )
-    return F.regexp_replace(seen, r"(?i)[^.]*(?:maximal sterile barrier|prepped and draped|time.?out was performed|informed consent)[^.]*\.\s*", "")
+    kept = F.regexp_replace(seen, r"(?i)[^.]*(?:maximal sterile barrier|prepped and draped|time.?out was performed|informed consent)[^.]*\.\s*", "")
+    return strip(F.regexp_replace(kept, r"\n{3,}", "\n\n"))
 
 
 def _step(state: Column, line: Column) -> Column:
-    header = F.regexp_extract(F.trim(line), r"^([A-Za-z][A-Za-z0-9 /\-()']{1,60}):", 1)
+    header = F.regexp_extract(strip(line), r"^([A-Za-z][A-Za-z0-9 /\-()']{1,60}):", 1)
     on = F.when(header != "", header_kept(header)).otherwise(state["on"])
-    return F.struct(on.alias("on"), F.when(on & (F.trim(line) != ""), F.concat(state["kept"], F.array(F.rtrim(line)))).otherwise(state["kept"]).alias("kept"))
+    return F.struct(on.alias("on"), F.when(on & (strip(line) != ""), F.concat(state["kept"], F.array(F.rtrim(line)))).otherwise(state["kept"]).alias("kept"))
 
 
 def key_text(c: Column) -> Column:
     """`12345.0` as `12345`; blank as null."""
-    return F.nullif(F.regexp_replace(F.trim(c), r"^(\d+)\.0$", "$1"), F.lit(""))
+    return F.nullif(F.regexp_replace(strip(c), r"^(\d+)\.0$", "$1"), F.lit(""))
 
 
 def uid_list(c: Column) -> Column:
     """UIDs of plain, quoted or bracketed comma lists."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, r"[()\[\]'\"]", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(c, r"[()\[\]'\"]", ""), ","), strip), lambda x: x != "")
 
 
 def tokens(c: Column, separators: str = r"[,;|]") -> Column:
-    return F.filter(F.transform(F.split(c, separators), lambda x: F.trim(x)), lambda x: ~F.lower(x).isin("", "nan", "none", "null", "na"))
+    return F.filter(F.transform(F.split(c, separators), strip), lambda x: ~F.lower(x).isin("", "nan", "none", "null", "na"))
 
 
 def stem(c: Column) -> Column:
@@ -108,13 +114,52 @@ def stem(c: Column) -> Column:
 
 
 def directory_name(c: Column) -> Column:
-    return F.substring(chain(F.trim(c), (r"\s+", "_"), (r"[^A-Za-z0-9._-]", "_"), (r"^[_.]+|[_.]+$", "")), 1, 150)
+    return F.substring(chain(strip(c), (r"\s+", "_"), (r"[^A-Za-z0-9._-]", "_"), (r"^[_.]+|[_.]+$", "")), 1, 150)
 
 
 def clean_sql(c: Column) -> Column:
-    return F.trim(chain(c, (r"(?i)```(?:sqlite|sql)?\s*", "")))
+    return strip(chain(c, (r"(?i)```(?:sqlite|sql)?\s*", "")))
 
 
 def metric_value(c: Column) -> Column:
     """The number before a deviation or bracket."""
-    return F.trim(F.get(F.split(F.replace(c, F.lit("%"), F.lit("")), r"[±(]"), F.lit(0))).try_cast("double")
+    return strip(F.get(F.split(F.replace(c, F.lit("%"), F.lit("")), r"[±(]"), F.lit(0))).try_cast("double")
+
+
+def basename(c: Column) -> Column:
+    return F.element_at(F.split(F.regexp_replace(c, r"/+$", ""), "/"), -1)
+
+
+def parent(c: Column) -> Column:
+    """The folder that a path lies in, null for a bare name."""
+    return F.nullif(F.regexp_extract(F.regexp_replace(c, r"/+$", ""), r"^(.*)/[^/]*$", 1), F.lit(""))
+
+
+def plain_uid(c: Column) -> Column:
+    """A UID without zero-width characters, byte-order marks and white space around it."""
+    return strip(F.translate(c, "\u200b\u200c\u200d\u2060\ufeff", ""))
+
+
+def plain_value(c: Column, most: int = 2000) -> Column:
+    """A header value as text: NA for none, an array joined by `;`, at most `most` characters."""
+    return F.substring(F.coalesce(F.array_join(F.filter(c, lambda x: x.isNotNull()), ";"), F.lit("NA")), 1, most)
+
+
+def tidy_architecture(c: Column) -> Column:
+    """One space around +, none around / and -, one between words."""
+    return strip(chain(c, (r"\s*\+\s*", " + "), (r"\s*([/-])\s*", "$1"), (r"\s+", " ")))
+
+
+def lower_sentences(c: Column) -> Column:
+    """Sentence case: words that aren't all capitals or a [TAG] are lower-cased, and a sentence's first letter is capital."""
+    words = F.split(c, r"(?<=\s)|(?=\s)")
+    kept = lambda w: w.rlike(r"^[^A-Za-z]*[A-Z]{2,}[^a-z]*$") | w.rlike(r"\[[A-Z_]+\]")
+    state = F.struct(F.lit(True).alias("start"), F.lit("").alias("text"))
+
+    def step(s: Column, w: Column) -> Column:
+        low = F.when(kept(w), w).otherwise(F.lower(w))
+        out = F.when(s["start"] & ~kept(w), F.concat(F.upper(F.substring(low, 1, 1)), low.substr(F.lit(2), F.length(low)))).otherwise(low)
+        blank = w.rlike(r"^\s*$")
+        return F.struct(F.when(blank, s["start"] | w.contains("\n")).otherwise(w.rlike(r"[.!?:][\"')]*$")).alias("start"), F.concat(s["text"], out).alias("text"))
+
+    return F.aggregate(words, state, step, lambda s: s["text"])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import strip
+
 
 def number(c: Column) -> Column:
     """Text as a number; what isn't one is null."""
-    return F.nullif(F.trim(c.cast("string")), F.lit("")).try_cast("double")
+    return F.nullif(strip(c.cast("string")), F.lit("")).try_cast("double")
 
 
 def whole(c: Column) -> Column:
@@ -17,7 +19,7 @@ def whole(c: Column) -> Column:
 
 def date_key(c: Column) -> Column:
     """yyyymmdd as a number: eight digits with a month and day in range (no calendar check), or an ISO date."""
-    t = F.trim(c)
+    t = strip(c)
     month, day = F.substring(t, 5, 2).try_cast("int"), F.substring(t, 7, 2).try_cast("int")
     eight = F.when(month.between(1, 12) & day.between(1, 31), t.try_cast("bigint"))
     return F.when(t.rlike(r"^\d{8}$"), eight).otherwise(F.date_format(F.try_to_date(t), "yyyyMMdd").try_cast("bigint"))
@@ -25,7 +27,7 @@ def date_key(c: Column) -> Column:
 
 def time_key(c: Column) -> Column:
     """Microseconds of the day from HH, HHMM or HHMMSS with an optional fraction, colons allowed."""
-    t = F.replace(F.trim(c), F.lit(":"), F.lit(""))
+    t = F.replace(strip(c), F.lit(":"), F.lit(""))
     digits, fraction = F.regexp_extract(t, r"^(\d{2}|\d{4}|\d{6})(?:\.(\d{1,6}))?$", 1), F.regexp_extract(t, r"^\d{6}\.(\d{1,6})$", 1)
     part = lambda a: F.coalesce(F.substring(digits, a, 2).try_cast("bigint"), F.lit(0))
     h, m, s = part(1), part(3), part(5)
@@ -61,7 +63,7 @@ def grid(n: Column, most: int = 6) -> Column:
 
 def listed(c: Column) -> Column:
     """A JSON array, or comma text, as an array."""
-    return F.coalesce(F.from_json(c, "array<string>"), F.transform(F.split(c, ","), lambda x: F.trim(x)))
+    return F.coalesce(F.from_json(c, "array<string>"), F.transform(F.split(c, ","), strip))
 
 
 def year_of(c: Column) -> Column:
@@ -78,5 +80,35 @@ def list_hash(c: Column, size: int = 8) -> Column:
     return F.substring(F.sha1(F.array_join(c, "|")), 1, size)
 
 
-def institution(c: Column, own: str = "ucd") -> Column:
-    return F.when(F.lower(F.trim(c)) == own, F.upper(F.lit(own))).otherwise(F.lit(f"Non-{own.upper()}"))
+def institution(c: Column, own: str) -> Column:
+    return F.when(F.lower(strip(c)) == own, F.upper(F.lit(own))).otherwise(F.lit(f"Non-{own.upper()}"))
+
+
+def min_max(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """df with `scaled`, the value between its group's least (0) and greatest (1); 0 in a constant group."""
+    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    v, lo, hi = F.col(value), F.col("_lo"), F.col("_hi")
+    return df.join(ends, by).withColumn("scaled", F.when(hi == lo, 0.0).otherwise((v - lo) / (hi - lo))).drop("_lo", "_hi")
+
+
+def entropy_by(df: DataFrame, by: list[str], value: str, low: int, high: int) -> DataFrame:
+    """Base-2 entropy of each group's histogram, one bin for each whole number from low to high; other values are left out."""
+    v = F.col(value)
+    bins = df.where(v.between(low, high)).groupBy(*by, F.least(F.lit(high), F.floor(v)).alias("_bin")).agg(F.count("*").alias("c"))
+    # -sum(c/n log2(c/n)) = log2(n) - sum(c log2 c) / n
+    return bins.groupBy(*by).agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("entropy"))
+
+
+def path_or(c: Column, path: str, default: str | None = None) -> Column:
+    """The text at a JSON path, else the default."""
+    return F.coalesce(F.get_json_object(c, path), F.lit(default).cast("string"))
+
+
+def first_filled(columns: list[Column], otherwise: Column) -> Column:
+    """The first text that isn't blank, trimmed."""
+    return F.coalesce(*(F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit("")) for c in columns), otherwise)
+
+
+def zulu(c: Column) -> Column:
+    """An ISO timestamp with an offset or Z; what isn't one is null."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\S+$"), F.try_to_timestamp(c))

@@ -71,3 +71,10 @@ def bipartite(df: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFram
     ends = edges.select(F.inline(F.array(F.struct(F.lit("left").alias("side"), F.col("source").alias("name")), F.struct(F.lit("right").alias("side"), F.col("target").alias("name")))))
     nodes = ends.groupBy("side", "name").agg(F.count("*").alias("degree"))
     return edges, nodes.withColumn("size", F.least(F.lit(60), 12 + 3 * F.col("degree")))
+
+
+def co_occurrence(df: DataFrame, key: str, item: str) -> DataFrame:
+    """How many keys have both of two items (a < b); a key's items are a short list, gathered by grouping."""
+    sets = df.groupBy(key).agg(F.sort_array(F.collect_set(item)).alias("s"))
+    pairs = sets.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))

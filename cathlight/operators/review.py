@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import has_any, ladder
+from ..functions.text import strip
 from .evaluate import ratio, wilson
 
 # Metric names by pattern, in order, with 1 where more is better and -1 where less is
@@ -28,7 +29,7 @@ FAMILIES = [
 
 def metric(c: Column) -> Column:
     """struct<name, polarity> of a metric's free-text name."""
-    s, one = F.lower(F.trim(c)), lambda n, p: F.struct(n.alias("name"), F.lit(p).alias("polarity"))
+    s, one = F.lower(strip(c)), lambda n, p: F.struct(n.alias("name"), F.lit(p).alias("polarity"))
     other = F.when(F.coalesce(s, F.lit("")) == "", one(F.lit("Unknown"), 1)).otherwise(one(F.initcap(s), 1))
     return ladder(other, *[(s.rlike(p), one(F.lit(n), polarity)) for p, n, polarity in METRICS])
 
@@ -62,7 +63,7 @@ def settle_uncertain(df: DataFrame, decision: str = "decision", met: str = "met"
 def adherence(df: DataFrame, items: str, by: list[str] | None = None) -> DataFrame:
     """yes, no, na, proportion and bounds of each checklist item in a map<item, answer>; NA is outside the proportion."""
     cells = df.select(*(by or []), F.explode(items).alias("item", "answer"))
-    a = F.upper(F.trim("answer"))
+    a = F.upper(strip(F.col("answer")))
     got = cells.groupBy(*(by or []), "item").agg(F.count_if(a == "YES").alias("yes"), F.count_if(a == "NO").alias("no"), F.count_if(~a.isin("YES", "NO")).alias("na"))
     n = F.col("yes") + F.col("no")
     low, high = wilson(F.col("yes"), n)
@@ -76,17 +77,16 @@ def boolean_profile(df: DataFrame, paths: list[str]) -> DataFrame:
 
 
 def align_to_bank(answers: DataFrame, bank: DataFrame, key: str, question: str = "question", answer: str = "answer", position: str = "position") -> DataFrame:
-    """One row for each key and bank question in bank order; n/a where there is no answer. The bank is a bounded list."""
-    if bank.count() > 10_000:
-        raise ValueError("a question bank has at most 10,000 questions")
+    """One row for each key and bank question in bank order; n/a where there is no answer. A key meets the bank as one array."""
     keys = answers.select(key).distinct()
-    wanted = keys.join(F.broadcast(bank.select(question, position)))
+    whole = bank.agg(F.collect_list(F.struct(question, position)).alias("_bank"))
+    wanted = keys.join(F.broadcast(whole)).select(key, F.inline("_bank"))  # one row, the bank
     own = answers.groupBy(key, question).agg(F.min(answer).alias(answer))
     return wanted.join(own, [key, question], "left").withColumn(answer, F.coalesce(answer, F.lit("n/a")))
 
 
 def agreed(master: DataFrame, first: DataFrame, second: DataFrame, adjudicated: DataFrame, key: str = "sample_id") -> DataFrame:
     """Labels on which two annotators agree, else the adjudicated one, else pending."""
-    a, b, c = (df.select(key, F.nullif(F.trim("decision"), F.lit("")).alias(n)) for df, n in ((first, "a"), (second, "b"), (adjudicated, "c")))
+    a, b, c = (df.select(key, F.nullif(strip(F.col("decision")), F.lit("")).alias(n)) for df, n in ((first, "a"), (second, "b"), (adjudicated, "c")))
     both = master.join(a, key).join(b, key).join(c, key, "left")
     return both.withColumn("label", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.coalesce("c", F.lit("PENDING"))))

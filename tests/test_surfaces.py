@@ -9,6 +9,8 @@ def test_reads_are_allowed(spark):
     spark.range(5).createOrReplaceTempView("t5")
     assert sql_tool.sql_tool(spark, "```sql\nWITH a AS (SELECT id FROM t5 WHERE id > 2) SELECT count(*) AS n FROM a ORDER BY n\n```")["rows"] == [{"n": 2}]
     assert "error" in sql_tool.sql_tool(spark, "SELECT nope FROM t5")
+    got = sql_tool.sql_tool(spark, "SELECT upper(concat('a', x.id)) AS a, count(*) OVER (PARTITION BY x.id % 2) AS n FROM t5 x LATERAL VIEW explode(array(1)) e AS v WHERE x.id = (SELECT max(id) FROM t5)")
+    assert got["rows"] == [{"a": "A4", "n": 1}]
 
 
 @pytest.mark.parametrize("sql", ["DROP TABLE t5", "SET a=b", "CREATE TABLE x AS SELECT 1", "INSERT INTO t5 VALUES (1)", "CACHE TABLE t5"])
@@ -17,6 +19,17 @@ def test_writes_are_refused(spark, sql):
         sql_tool.run_sql(spark, sql)
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.System', 'lineSeparator')", "SELECT id FROM t5 WHERE try_reflect('java.lang.Math', 'random') > '0'",
+    "SELECT * FROM text.`/etc/passwd`", "SELECT (SELECT max(value) FROM csv.`/etc/passwd`)", "SELECT * FROM t5 WHERE id IN (SELECT 1 FROM parquet.`/tmp`)", "WITH a AS (SELECT * FROM json.`/etc/hosts`) SELECT * FROM a",
+    "SELECT nobody_knows(id) FROM t5", "SELECT input_file_name() FROM t5", "SELECT * FROM sql_keywords()",
+])
+def test_code_and_paths_are_refused(spark, sql):
+    spark.range(5).createOrReplaceTempView("t5")
+    with pytest.raises(PermissionError):
+        sql_tool.run_sql(spark, sql)
+
+
 def test_long_results_are_cut(spark):
     spark.range(500).createOrReplaceTempView("t500")
     got = sql_tool.sql_tool(spark, "SELECT id FROM t500")
