@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row of each key, the first in the given order."""
+    """One row of each key, the first in the given order; Spark keeps one row a key in each task before the shuffle (WindowGroupLimit)."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
@@ -36,33 +36,48 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], *order: Column)
     return target.join(rows, keys, "left_anti").unionByName(first_by(rows, keys, *order))
 
 
+BUCKETS = 1024
+
+
+def hash_rank(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame:
+    """df with _rn, each row's place (from 1) in the hashed order of its label, and _n, the label's rows.
+
+    Places are counted in buckets of the hash, and a bucket begins where the ones before it end, so a label
+    with a third of all rows is no single task.
+    """
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    rows = df.withColumns({"_h": h, "_b": F.pmod(F.shiftright(h, 20), F.lit(BUCKETS)), "_l": F.col(label)})
+    counts = rows.groupBy("_l", "_b").agg(F.count("*").alias("_c"))
+    own = Window.partitionBy("_l")  # at most BUCKETS rows a label
+    starts = counts.select(F.col("_l").alias("_l2"), F.col("_b").alias("_b2"), (F.sum("_c").over(own.orderBy("_b")) - F.col("_c")).alias("_start"), F.sum("_c").over(own).alias("_n"))
+    met = rows.join(starts, F.col("_l").eqNullSafe(F.col("_l2")) & (F.col("_b") == F.col("_b2")))
+    place = F.row_number().over(Window.partitionBy("_l", "_b").orderBy("_h", key))
+    return met.withColumn("_rn", F.col("_start") + place).drop("_h", "_b", "_l", "_l2", "_b2", "_start")
+
+
 def split_groups(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """dev true for a share of the keys (at least one, not all), by their hashed order; a key is on one side."""
-    hashed = df.select(key).distinct().withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    n = hashed.count()
-    take = max(1, min(n - 1, round(n * share)))
-    dev = hashed.orderBy("_h", key).limit(take).select(key, F.lit(True).alias("dev"))
+    ranked = hash_rank(df.select(key).distinct().withColumn("_all", F.lit(0)), key, "_all", seed)
+    take = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * share).cast("bigint")))
+    dev = ranked.where(F.col("_rn") <= take).select(key, F.lit(True).alias("dev"))
     return df.join(dev, key, "left").withColumn("dev", F.coalesce("dev", F.lit(False)))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int) -> DataFrame:
     """fold 0 to folds - 1; labels with fewer rows than folds are left out."""
-    own = Window.partitionBy(label)
-    return df.withColumn("_n", F.count("*").over(own)).where(F.col("_n") >= folds).withColumn("fold", (F.row_number().over(own.orderBy(F.xxhash64(key), key)) - 1) % folds).drop("_n")
+    return hash_rank(df, key, label).where(F.col("_n") >= folds).withColumn("fold", ((F.col("_rn") - 1) % folds).cast("int")).drop("_n", "_rn")
 
 
 def holdout(df: DataFrame, key: str, label: str, share: float) -> DataFrame:
     """train true for round(n * share) rows of each label, at least one on both sides."""
-    own = Window.partitionBy(label)
-    n = F.count("*").over(own)
+    n = F.col("_n")
     take = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * share).cast("bigint")))
-    return df.withColumn("train", F.row_number().over(own.orderBy(F.xxhash64(key), key)) <= take)
+    return hash_rank(df, key, label).withColumn("train", F.col("_rn") <= take).drop("_n", "_rn")
 
 
 def sample_strata(df: DataFrame, key: str, label: str, size) -> DataFrame:
     """size(n) rows of each label of n rows, by hashed order."""
-    own = Window.partitionBy(label)
-    return df.withColumns({"_n": F.count("*").over(own), "_rn": F.row_number().over(own.orderBy(F.xxhash64(key), key))}).where(F.col("_rn") <= size(F.col("_n"))).drop("_n", "_rn")
+    return hash_rank(df, key, label).where(F.col("_rn") <= size(F.col("_n"))).drop("_n", "_rn")
 
 
 def bipartite(df: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cohort as H
+from ..operators import curate as C
 from ..operators import compare as P
 from .catalog import query, read
 
@@ -261,3 +262,45 @@ def retry_states(spark, d):
 def pooled_confusion(spark, d):
     own = read(spark, d, "documents").select("doc_id", (F.col("n_chars") > 1500).alias("p")).join(read(spark, d, "labels"), "doc_id")
     return P.pooled_confusion(own.where("toxic = 1"), own.where("toxic = 0"), "doc_id", "p").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderstatus, n, round_even(n * 0.8, 0)::BIGINT AS train, n - round_even(n * 0.8, 0)::BIGINT AS held, (n + 4) // 5 AS fold0, least(n, 40) AS sampled FROM c""")
+def stratified_sizes(spark, d):
+    own = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    cut = C.holdout(own, "o_orderkey", "o_orderstatus", 0.8).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("held"))
+    folds = C.stratified_folds(own, "o_orderkey", "o_orderstatus", 5).where("fold = 0").groupBy("o_orderstatus").agg(F.count("*").alias("fold0"))
+    some = C.sample_strata(own, "o_orderkey", "o_orderstatus", lambda n: F.least(n, F.lit(40))).groupBy("o_orderstatus").agg(F.count("*").alias("sampled"))
+    return cut.join(folds, "o_orderstatus").join(some, "o_orderstatus")
+
+
+@query("""WITH p AS (SELECT count(DISTINCT o_custkey) AS k FROM orders) SELECT greatest(1, least(k - 1, round_even(k * 0.2, 0)::BIGINT)) AS dev, k - greatest(1, least(k - 1, round_even(k * 0.2, 0)::BIGINT)) AS train, 0 AS both FROM p""")
+def group_split_sizes(spark, d):
+    sides = C.split_groups(read(spark, d, "orders").select("o_custkey"), "o_custkey", 0.2).groupBy("o_custkey").agg(F.bool_or("dev").alias("any"), F.bool_and("dev").alias("all"))
+    return sides.agg(F.count_if("all").alias("dev"), F.count_if(~F.col("any")).alias("train"), F.count_if(F.col("any") & ~F.col("all")).cast("int").alias("both"))
+
+
+_WORD = "concat(CASE WHEN doc_id % 3 = 0 THEN chr(9) ELSE '' END, doc_id % 1000, CASE WHEN doc_id % 2 = 0 THEN '.0' ELSE '' END, chr(10))"
+
+
+@query(f"SELECT regexp_replace(regexp_replace({_WORD}, '^\\s+|\\s+$', '', 'g'), '^(\\d+)\\.0$', '\\1') AS key, count(*) AS n FROM documents GROUP BY 1")
+def scalar_keys(spark, d):
+    from ..functions import text as T
+
+    i = F.col("doc_id")
+    raw = F.concat(F.when(i % 3 == 0, "\t").otherwise(""), (i % 1000).cast("string"), F.when(i % 2 == 0, ".0").otherwise(""), F.lit("\n"))
+    return read(spark, d, "documents").groupBy(T.key_text(raw).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, nullif(regexp_extract(regexp_replace(url, '/+$', ''), '^(.*)/[^/]*$', 1), '') AS parent, string_split(regexp_replace(url, '/+$', ''), '/')[-1] AS base FROM pages WHERE url IS NOT NULL""")
+def path_parts(spark, d):
+    from ..functions import text as T
+
+    return read(spark, d, "pages").where("url is not null").select("page_id", T.parent(F.col("url")).alias("parent"), T.basename(F.col("url")).alias("base"))
+
+
+@query("""WITH y AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\\b((?:19|20)\\d{2})\\b', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 1990 AND 2035) AS y FROM documents WHERE text IS NOT NULL) SELECT len(y) AS years, count(*) AS n, min(y[1]) AS first_year FROM y GROUP BY 1""")
+def years_in_text(spark, d):
+    from ..functions import values as D
+
+    own = read(spark, d, "documents").where("text is not null").select(D.years_in(F.col("text")).alias("y"))
+    return own.groupBy(F.size("y").cast("long").alias("years")).agg(F.count("*").alias("n"), F.min(F.get("y", F.lit(0))).alias("first_year"))
