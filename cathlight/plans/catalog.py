@@ -352,12 +352,9 @@ def knn_top5(spark, d):
   SELECT k, fold, count(*) AS n, sum((label = truth)::INTEGER)::BIGINT AS hits FROM v WHERE place = 1 GROUP BY k, fold""")
 def knn_vote_cv(spark, d):
     """Five folds by id: each item's label is voted by its 1, 3 and 5 nearest items of the other folds."""
-    items = read(spark, d, "embeddings").select("vec_id", "label", V.unit(F.col("embedding")).alias("v"), (F.col("vec_id") % 5).alias("fold"))
-    blocks = max(1, -(-items.count() // R.QUERY_LIMIT))
-    q = items.select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth"), F.col("v").alias("qv"), F.col("fold").alias("qf"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"))
-    c = items.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    near = c.join(q, "b").where("fold <> qf").select("query_id", "truth", "qf", "vec_id", "label", F.round(V.total(F.zip_with("v", "qv", lambda x, y: x * y)), 9).alias("s"))
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))).where("rank <= 5")
+    items = read(spark, d, "embeddings").withColumn("fold", F.col("vec_id") % 5)
+    truth = items.select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth"), F.col("fold").alias("qf"))
+    near = R.nearest(items, items, 5, apart="fold").join(items.select("vec_id", "label"), "vec_id").join(truth, "query_id")
     sized = near.withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5)))).where("rank <= k")
     votes = sized.groupBy("query_id", "truth", "qf", "k", "label").agg(F.count("*").alias("n"), F.min("rank").alias("r"))
     won = votes.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "k").orderBy(F.desc("n"), "r"))).where("place = 1")
@@ -474,7 +471,5 @@ def event_windows(spark, d):
 def recall_at_k(spark, d):
     """Rank of the first neighbour of the same label, for the items whose id is divisible by 20."""
     items = read(spark, d, "embeddings")
-    q = items.where("vec_id % 20 = 0")
-    near = R.nearest(q, items, 1 << 30).join(items.select("vec_id", "label"), "vec_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    first = near.where("label = own").groupBy("query_id").agg(F.min("rank").alias("first"))
+    first = R.first_match_rank(items.where("vec_id % 20 = 0"), items)
     return first.agg(F.count("*").alias("n"), *[F.avg((F.col("first") <= k).cast("int")).alias(f"r{k}") for k in (1, 5, 10)], F.percentile_approx("first", 0.5, 1_000_000).cast("long").alias("median_rank"))
