@@ -23,6 +23,31 @@ PERSONAL = [
     (r"(?i)\bDOB[:#\s]*\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b", "[DOB]"), (r"\(\d{3}\)\s*\d{3}[-.\s]?\d{4}\b|\(?\b\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b", "[PHONE]"),
     (r"\b[A-Z][A-Za-z.]+(?:\s+[A-Z][A-Za-z.]+){0,4}\s+(?:Medical Center|Hospital|Clinic|Health System|Medical Centre|General Hospital)\b", "[FACILITY]"),
 ]
+# Abbreviations of reports in the order in which they are expanded; a later rule sees what an earlier one wrote
+ABBREVIATIONS = [
+    (r"\bLM\b", "left main"), (r"\bLAD\b", "left anterior descending"), (r"\bLCX\b", "left circumflex"), (r"\bRCA\b", "right coronary artery"),
+    (r"\bPDA\b", "posterior descending artery"), (r"\bPLV\b", "posterior left ventricular"), (r"\bOM\d*\b", "obtuse marginal"), (r"\bD\d+\b", "diagonal branch"),
+    (r"\bRI\b", "ramus intermedius"), (r"\bGDA\b", "gastroduodenal artery"), (r"\bRAS\b", "renal artery stenosis"), (r"\bSMA\b", "superior mesenteric artery"),
+    (r"\bIMA\b", "inferior mesenteric artery"), (r"\bCFA\b", "common femoral artery"), (r"\bSFA\b", "superficial femoral artery"), (r"\bIVC\b", "inferior vena cava"),
+    (r"\bSVC\b", "superior vena cava"), (r"\bAV\s+shunting\b", "arteriovenous shunting"), (r"\bLVEF\b", "left ventricular ejection fraction"),
+    (r"\bLVEDP\b", "left ventricular end-diastolic pressure"), (r"\bLV\s+gram\b", "left ventriculogram"), (r"\bAo\b", "aorta"), (r"\bMAP\b", "mean arterial pressure"),
+    (r"\bTIMI\b", "thrombolysis in myocardial infarction grade"), (r"\bHTN\b", "hypertension"), (r"\bDM2\b", "type 2 diabetes mellitus"), (r"\bDM\b", "diabetes mellitus"),
+    (r"\bHLD\b", "hyperlipidemia"), (r"\bCAD\b", "coronary artery disease"), (r"\bCHF\b", "congestive heart failure"), (r"\bMI\b", "myocardial infarction"),
+    (r"\bCP\b", "chest pain"), (r"\bSOB\b", "shortness of breath"), (r"\bHCC\b", "hepatocellular carcinoma"), (r"\bUGI\s+bleed\b", "upper gastrointestinal bleed"),
+    (r"\bAKI\b", "acute kidney injury"), (r"\bESRD\b", "end-stage renal disease"), (r"\bNSTEMI\b", "non-ST-elevation myocardial infarction"),
+    (r"\bSTEMI\b", "ST-elevation myocardial infarction"), (r"\bPE\b", "pulmonary embolism"), (r"\bDVT\b", "deep vein thrombosis"),
+    (r"\bPCI\b", "percutaneous coronary intervention"), (r"\bCABG\b", "coronary artery bypass grafting"), (r"\bIR\b", "interventional radiology"),
+    (r"\bDSA\b", "digital subtraction angiography"), (r"\bEGD\b", "esophagogastroduodenoscopy"), (r"\bMRA\b", "magnetic resonance angiography"),
+    (r"\bTACE\b", "transarterial chemoembolization"), (r"\bTARE\b", "transarterial radioembolization"), (r"\bDES\b", "drug-eluting stent"), (r"\bBMS\b", "bare-metal stent"),
+    (r"\bASA\b", "aspirin"), (r"\bEBL\b", "estimated blood loss"), (r"\bmGy\b", "milligray"), (r"\bcGycm", "centigray-cm"), (r"\bmmHg\b", "millimeters of mercury"),
+    (r"(\d+)\s*French\b", "$1 French (catheter size)"), (r"(\d+)\s*F\b(?!\w)", "$1 French (catheter size)"), (r"\bSegment\s+([1-8])\b", "Couinaud liver segment $1"),
+    (r"\bSeg\.?\s*([1-8])\b", "Couinaud liver segment $1"), (r"\bLV\b", "left ventricular"), (r"\bw/o\b", "without"), (r"\bw/(?=\s|$)", "with"), (r"\bh/o\b", "history of"),
+    (r"\bs/p\b", "status post"), (r"\bp/w\b", "presenting with"), (r"\by/?o\b", "year old"), (r"\bpk-?yr\b", "pack-year"), (r"\bhx\b", "history"), (r"\bf/u\b", "follow up"),
+    (r"\bwk(s)?\b", "week$1"), (r"\bqhs\b", "at bedtime"), (r"\bpt\b", "patient"),
+]
+# Headers that get a line of their own, lead-ins of generated reports
+SECTIONS = ["PROCEDURE", "INDICATIONS", "HEMODYNAMICS", "CORONARY FINDINGS", "FINDINGS", "IMPRESSION", "PLAN", "HISTORY", "TECHNIQUE", "COMPARISON", "COMPLICATIONS"]
+LEAD_IN = r"(?i)^(?:rephrased report|rewritten report|augmented report|report)\s*:\s*"
 KEPT_HEADERS = ["VARIANT ANATOMY", "ANGIOGRAPHIC ENDPOINT", "VESSEL CATHETERIZED", "PROCEDURE"]
 
 
@@ -71,6 +96,42 @@ def clean_report(c: Column) -> Column:
     return collapse(clean_lists(from_body(cut_closing(mask_personal(plain_characters(c))))))
 
 
+def expand_abbreviations(c: Column) -> Column:
+    """Abbreviations of any case written out, one rule after the other."""
+    return chain(c, *(("(?i)" + pattern, by) for pattern, by in ABBREVIATIONS))
+
+
+def section_headers(c: Column) -> Column:
+    """Headers in capitals with a colon, and a blank line before each."""
+    for h in SECTIONS:
+        c = chain(c, (rf"(?imd)^\s*{h}\s*[:\-]?\s*$", f"{h}:"), (rf"(?imd)^\s*{h}\s*[:\-]\s*", f"{h}: "))
+    return chain(c, (r"(?md)(?<!\n\n)^((?:" + "|".join(SECTIONS) + "):)", "\n$1"), (r"^\n+", ""))
+
+
+def finished_report(c: Column) -> Column:
+    """The whole cleaning chain: as clean_report, with abbreviations, headers and sentence case."""
+    opened = expand_abbreviations(from_body(cut_closing(mask_personal(plain_characters(c)))))
+    return collapse(lower_sentences(section_headers(collapse(clean_lists(opened)))))
+
+
+def sliced_or_whole(c: Column, least: int = 100) -> Column:
+    """The kept sections, or the whole text where they have fewer than `least` characters; null is empty."""
+    text = F.coalesce(c, F.lit(""))
+    cut = slice_sections(text)
+    return F.when(F.length(cut) < least, text).otherwise(cut)
+
+
+def plain_text(c: Column) -> Column:
+    """Unix line ends, single blanks, at most one empty line, no white space at the ends; null is empty."""
+    return strip(chain(F.coalesce(c, F.lit("")), (r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")))
+
+
+def generated_text(c: Column) -> Column:
+    """A model's text without a lead-in label and without a pair of quotes around all of it."""
+    text = strip(F.regexp_replace(plain_text(c), LEAD_IN, ""))
+    return strip(F.regexp_replace(text, r"(?s)^([\"'])(.*)\1$", "$2"))
+
+
 def header_kept(h: Column) -> Column:
     u = F.upper(strip(h))
     return ~u.startswith("INDICATION") & (u.contains("FINDINGS") | u.contains("IMPRESSION") | u.isin(KEPT_HEADERS) | u.contains("ANGIOGRAPHY") | u.contains("AORTOGRAPHY"))
