@@ -73,3 +73,16 @@ def sequence_directories(listing: DataFrame) -> DataFrame:
 def stem_index(listing: DataFrame) -> DataFrame:
     """One path for each stem, the first in path order."""
     return listing.groupBy("stem").agg(F.min("path").alias("path"))
+
+
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the JSON documents of a folder and its subfolders, one row a document."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+def question_rows(df: DataFrame, text: str, uid: str = "sequence_instance_uid") -> DataFrame:
+    """df without its text and with uid, question and answer: a row for each question of each sequence of a document; what isn't JSON gives none."""
+    parsed = F.from_json(text, f"sequences array<struct<{uid}:string,qa:array<struct<question:string,answer:string>>>>")
+    sequences = df.withColumn("_s", F.explode(parsed["sequences"])).drop(text)
+    return sequences.withColumn("_q", F.explode("_s.qa")).withColumns({"uid": F.col(f"_s.{uid}"), "question": F.col("_q.question"), "answer": F.col("_q.answer")}).drop("_s", "_q")
