@@ -153,7 +153,7 @@ def name32(raw: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Ids of words met lately, by the words' 64-bit hashes: a table of two places a word, and a pool of ids."""
+    """Ids of words met lately, by the words' 64-bit hashes: a table of two places a word, a pool of ids and one of the words' bytes."""
 
     def __init__(self):
         self.key, self.word = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
@@ -163,6 +163,7 @@ class Memo:
         self.key[:] = 0
         self.n, self.used = 0, 0
         self.start, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.begin, self.text = np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint8)
 
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = np.uint64((1 << SLOTS) - 1)
@@ -173,10 +174,16 @@ class Memo:
         a, b = self.places(h)
         return np.where(self.key[a] == h, self.word[a], np.where(self.key[b] == h, self.word[b], -1))
 
-    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Numbers of new words, whose ids lie end to end."""
         while self.n + len(h) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.start, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.begin))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        top = int(self.begin[self.n])
+        while top + len(letters) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[top : top + len(letters)] = letters
+        self.begin[self.n + 1 : self.n + len(h) + 1] = top + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         while self.used + int(size.sum()) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + int(size.sum())] = ids
@@ -188,6 +195,24 @@ class Memo:
         self.key[at], self.word[at] = h, number
         return number
 
+    def differ(self, words: Words, own: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether each of some words has other bytes than the known word of its number: eight bytes at a time, very long words by themselves."""
+        a, b, c = words.begin[own], words.end[own], self.begin[number]
+        size = b - a
+        out = self.begin[number + 1] - c != size
+        mine, known = loads(np.concatenate([words.bytes, np.zeros(8, np.uint8)])), loads(self.text)
+        left = np.flatnonzero(~out)
+        for k in range(0, 256, 8):
+            rest = size[left] - k
+            x = (mine[a[left] + k] ^ known[c[left] + k]) << (64 - 8 * np.minimum(rest, 8)).astype(np.uint64)
+            out[left[x != 0]] = True
+            left = left[(x == 0) & (rest > 8)]
+            if not len(left):
+                return out
+        for i in left.tolist():
+            out[i] = not np.array_equal(words.bytes[a[i] : b[i]], self.text[c[i] : c[i] + size[i]])
+        return out
+
     def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some words end to end, and where each word begins (one more than words)."""
         size = self.start[number + 1] - self.start[number]

@@ -96,7 +96,8 @@ def encode(column: pa.Array, path: str) -> list[bytes]:
     """The ids (32-bit, little-endian) of each text.
 
     The tokenizer splits at a single space between two other characters whatever surrounds them, so
-    words are encoded once and remembered; a text with any other run of white space is encoded whole.
+    words are encoded once and remembered; a text with any other run of white space, or with a word
+    whose hash is another word's, is encoded whole.
     """
     coder = tokenizer(path)[0]
     if path not in _memos:
@@ -118,9 +119,14 @@ def encode(column: pa.Array, path: str) -> list[bytes]:
         new, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
         raw = texts.bytes.tobytes()
         at = own[miss[first]]
-        fresh = [raw[a:b].decode() for a, b in zip(words.begin[at].tolist(), words.end[at].tolist())]
-        coded = encode_words(fresh, path)
-        number[miss] = memo.add(new, np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4)[inverse]
+        fresh = [raw[a:b] for a, b in zip(words.begin[at].tolist(), words.end[at].tolist())]
+        coded = encode_words([w.decode() for w in fresh], path)
+        number[miss] = memo.add(new, np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4, fresh)[inverse]
+    clash = memo.differ(words, own, number)  # words that share a hash with another word
+    if clash.any():
+        whole[words.doc[own[clash]]] = True
+        kept = ~whole[words.doc[own]]
+        own, number = own[kept], number[kept]
     ids, begin = memo.ids(number)
     cut = 4 * begin[np.searchsorted(own, words.first)]
     raw_ids = ids.tobytes()

@@ -399,8 +399,14 @@ def encode_column(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(miss):
         new, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
         data, at = raw.tobytes(), own[miss[first]]
-        ids, size = encode_new(model, [SPACE + data[a:b].decode() for a, b in zip(words.begin[at].tolist(), words.end[at].tolist())])
-        number[miss] = memo.add(new, ids, size)[inverse]
+        fresh = [data[a:b] for a, b in zip(words.begin[at].tolist(), words.end[at].tolist())]
+        ids, size = encode_new(model, [SPACE + w.decode() for w in fresh])
+        number[miss] = memo.add(new, ids, size, fresh)[inverse]
+    clash = memo.differ(words, own, number)  # words that share a hash with another word; their texts are encoded by parts
+    if clash.any():
+        odd[words.doc[own[clash]]] = True
+        kept = ~odd[words.doc[own]]
+        own, number = own[kept], number[kept]
     ids, begin = memo.ids(number)
     cut = begin[np.searchsorted(own, words.first)]
     if not odd.any():

@@ -6,6 +6,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from cathlight.llm import kernels as K
 from cathlight.llm import chat_format, near_dedup, packing, pieces, quality_rules, suffix_dedup, suffix_tree_lm, topk_search, toxicity, url_filter
 
 LONG = " ".join(f"w{i % 997}x{i % 31}" for i in range(30_000))
@@ -307,3 +308,33 @@ def test_top_k_of_large_components(spark):
     for q in range(60):
         s = [sum(a * b for a, b in zip(w[q], c)) for c in w]
         assert got[q] == [(i, s[i]) for i in sorted((i for i in range(60) if i != q), key=lambda i: (-s[i], i))[:5]]
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    """Remembered words are told apart by their bytes, in one batch and from batch to batch."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    whole = K.Words.hashes
+    monkeypatch.setattr(K.Words, "hashes", lambda self, most=0: whole(self, most) % np.uint64(97))
+    monkeypatch.setattr(packing, "_memos", {})
+    monkeypatch.setattr(pieces, "_memos", {})
+    stem = "q" * 300
+    batches = [["the cat sat on the mat", "", f"a {stem}a {stem}b x", "one", "the tree"], [" ".join(f"w{i} {i} é{i}" for i in range(400)), "the cat", f"z {stem}b {stem}c", "b  c"]]
+    path, model = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    coder, library = Tokenizer.from_file(path), sentencepiece.SentencePieceProcessor(model_file=model)
+    for texts in batches * 2:
+        column = pa.array(texts, pa.large_string())
+        assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(column, path)] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, cut = pieces.encode_column(model, column)
+        assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])] == [library.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 9, 16, 17, 255, 256, 257, 3000])
+def test_differing_bytes_are_seen_at_every_place(size):
+    word = b"a" * size
+    words = [word] + [word[:i] + b"b" + word[i + 1 :] for i in sorted({0, size // 2, size - 1})] + [word + b"a", word]
+    memo = K.Memo()
+    number = memo.add(np.array([5], np.uint64), np.zeros(1, np.uint32), np.ones(1, np.int64), [word])
+    found = K.Words(K.Texts(pa.array([b" ".join(words).decode()], pa.large_string())), lower=False)
+    assert memo.differ(found, np.arange(len(words)), np.repeat(number, len(words))).tolist() == [w != word for w in words]
