@@ -129,7 +129,7 @@ def questions_of_documents(spark, d):
     texts = sequences.select(F.to_json(F.struct(F.array("s").alias("sequences"))).alias("text"))
     rows = tables.question_rows(texts, "text")
     counts = rows.groupBy("uid").agg(F.count("*").alias("questions"))
-    return H.keep_yes_no(rows, "answer").groupBy("uid").agg(F.count_if(F.col("answer") == "yes").alias("yes")).join(counts, "uid")
+    return H.keep_yes_no(rows.where("trim(uid) <> ''"), "answer").groupBy("uid").agg(F.count_if(F.col("answer") == "yes").alias("yes")).join(counts, "uid")
 
 
 # -- records
