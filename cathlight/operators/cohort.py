@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import ladder
-from ..functions.values import number
+from ..functions.values import index0, number
 
 
 def keep_yes_no(df: DataFrame, column: str) -> DataFrame:
@@ -47,6 +47,18 @@ def frame_reason(frames: Column, least: int) -> Column:
     return F.when(frames.isNull(), "missing").when(frames < least, "removed").otherwise("kept")
 
 
+def frame_window(best: Column, first: Column, last: Column, mode: str) -> Column:
+    """struct<kept, best, first, last> of frame numbers that are text and count from 1, as indices from 0, -1 for none.
+
+    A last frame before the first makes both none. Mode `best` needs the best frame, `fl` the first and the last, any other nothing.
+    """
+    b, f, n = (index0(c) for c in (best, first, last))
+    wrong = (f >= 0) & (n >= 0) & (n < f)
+    f, n = F.when(wrong, -1).otherwise(f), F.when(wrong, -1).otherwise(n)
+    kept = {"best": b >= 0, "fl": (f >= 0) & (n >= 0)}.get(mode, F.lit(True))
+    return F.struct(kept.alias("kept"), b.alias("best"), f.alias("first"), n.alias("last"))
+
+
 def presence(targets: DataFrame, rows: DataFrame, key: str, visual: Column) -> DataFrame:
     """state of each target key: missing, found with any visual row, or found without one."""
     seen = rows.groupBy(key).agg(F.bool_or(visual).alias("_visual"))

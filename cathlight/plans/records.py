@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import nested as N
 from ..functions import text as T
 from ..operators import cohort as H
+from ..operators import probes as B
 from ..operators import records as R
 from ..operators import retrieval
 from ..sources import tables
@@ -255,3 +256,19 @@ def attention_pooled(spark, d):
 @query("""SELECT p_partkey, left(sha1('{"brand":' || coalesce('"' || p_brand || '"', 'null') || ',"size":"' || p_size || '","steps":"20"}'), 8) AS hash FROM part WHERE p_size IS NOT NULL""")
 def config_hashes(spark, d):
     return read(spark, d, "part").where("p_size is not null").select("p_partkey", N.config_hash(("steps", F.lit(20)), ("size", F.col("p_size")), ("brand", F.col("p_brand"))).alias("hash"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS f, l_quantity::INTEGER % 9 - 1 AS n, l_suppkey % 4 AS m FROM lineitem), i AS (SELECT *, n >= 0 AND n < f AS wrong FROM r)
+  SELECT m <> 0 AS has_best, CASE WHEN wrong THEN -1 ELSE f END::INTEGER AS first, CASE WHEN wrong THEN -1 ELSE n END::INTEGER AS last, NOT wrong AND n >= 0 AS kept, count(*) AS n FROM i GROUP BY ALL""")
+def frame_windows(spark, d):
+    best = F.when(F.col("l_suppkey") % 4 == 0, "none").otherwise((F.col("l_suppkey") % 4).cast("string"))
+    w = H.frame_window(best, F.concat(F.lit(" "), F.col("l_linenumber").cast("string")), (F.col("l_quantity").cast("int") % 9).cast("string"), "fl")
+    own = read(spark, d, "lineitem").select(w.alias("w")).select((F.col("w.best") >= 0).alias("has_best"), F.col("w.first").cast("int").alias("first"), F.col("w.last").cast("int").alias("last"), "w.kept")
+    return own.groupBy("has_best", "first", "last", "kept").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT ('0x' || left(md5('0|' || user_id), 8))::BIGINT % 3 AS fold, (value > 50)::INTEGER AS y FROM events WHERE abs(value - 50) > 10 AND user_id IS NOT NULL)
+  SELECT fold::INTEGER AS fold, count(*) AS n, count(*) AS correct, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS balanced FROM e GROUP BY fold""")
+def probe_of_separable_rows(spark, d):
+    own = read(spark, d, "events").where("abs(value - 50) > 10").select("user_id", F.array(F.col("value"), F.col("value") * 0).alias("x"), (F.col("value") > 50).cast("int").alias("y"))
+    return B.probe_report(B.out_of_fold(own, "x", "y", "user_id", 3, reg=0.0), "y", ["fold"])

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from cathlight.functions import nested as N
 from cathlight.functions import text as T
+from cathlight.operators import cohort as H
+from cathlight.operators import probes as B
 from cathlight.operators import records as R
 from cathlight.sources import tables
 
@@ -92,3 +94,23 @@ def test_pools_of_odd_rows(spark):
     rows = spark.createDataFrame([("a", 1, None, 1.0), ("a", 2, 5.0, 1.0), ("a", 3, 5.0, 1.0)], "g string, k int, x double, y double")
     labels = {r["k"]: (r["score"], r["label"]) for r in R.informative(rows, "g", "k", {"x": 1.0}, F.col("x") < 1, 10).collect()}
     assert labels == {1: (None, "uninformative"), 2: (0.0, "informative"), 3: (0.0, "uninformative")}
+
+
+def test_frame_window(spark):
+    rows = spark.createDataFrame([("3", "2", "9"), ("0", "5", "2"), (None, "x", " 4 "), ("1", None, None)], "b string, f string, l string")
+    pick = lambda mode: [tuple(r[0]) for r in rows.select(H.frame_window(F.col("b"), F.col("f"), F.col("l"), mode)).collect()]
+    assert pick("fl") == [(True, 2, 1, 8), (False, -1, -1, -1), (False, -1, -1, 3), (False, 0, -1, -1)]
+    assert [r[0] for r in pick("best")] == [True, False, False, True] and all(r[0] for r in pick("none"))
+
+
+def test_probe(spark):
+    draw = random.Random(5)
+    rows = [(i, f"g{i % 12}", [draw.gauss(2.0 * (i % 2), 1.0), draw.gauss(0, 1)], i % 2) for i in range(240)] + [(900, None, [1.0, 1.0], 1), (901, "g1", None, 1), (902, "g1", [1.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "i int, g string, x array<double>, y int")
+    got = B.out_of_fold(df, "x", "y", "g", 4)
+    held = got.collect()
+    assert len(held) == 240 and all(len({r["fold"] for r in held if r["g"] == g}) == 1 for g in {r["g"] for r in held})
+    report = B.probe_report(got, "y", []).first()
+    assert report["n"] == 240 and 0.75 < report["accuracy"] < 0.95 and abs(report["balanced"] - report["accuracy"]) < 0.02
+    alike = B.out_of_fold(df.where("y = 1"), "x", "y", "g", 4).collect()
+    assert {r["predicted"] for r in alike} == {1} and B.out_of_fold(df.limit(0), "x", "y", "g", 4).count() == 0
