@@ -117,12 +117,6 @@ def concentration(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def cumulative_share(df: DataFrame, key: str) -> DataFrame:
-    counts = df.groupBy(key).agg(F.count("*").alias("c"))
-    order = Window.orderBy(F.desc("c"), key)  # over one row a value
-    return counts.select(key, "c", F.row_number().over(order).alias("place"), (F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("c").over(Window.partitionBy())).alias("share"))
-
-
 def ema(df: DataFrame, by: str, order: str, value: str, keep: float = 0.98) -> DataFrame:
     """The last exponential moving average of each group, seeded by its first value."""
     xs = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))), lambda s: s["x"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,17 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.text import strip
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that the cluster names; a local one only where none is set on a local master."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cathlight-"))
-    return df.checkpoint()
+from ..sources.scratch import cut
 
 
 def merge_records(df: DataFrame, order: str, first: str, second: str, source: str) -> DataFrame:
@@ -34,16 +23,16 @@ def merge_records(df: DataFrame, order: str, first: str, second: str, source: st
     """
     key = lambda c: F.lower(strip(F.coalesce(F.col(c), F.lit(""))))
     plain = F.nullif(F.regexp_replace(key(second), "[^a-z0-9 ]", ""), F.lit(""))
-    rows = _cut(df.select(F.col(order).alias("_o"), F.nullif(key(first), F.lit("")).alias("_a"), plain.alias("_b"), F.col(source).alias("_s")))
+    rows = cut(df.select(F.col(order).alias("_o"), F.nullif(key(first), F.lit("")).alias("_a"), plain.alias("_b"), F.col(source).alias("_s")))
     open_rows, kept = rows.select("_o", "_a", "_b"), None
     while not open_rows.isEmpty():
         least = {k: open_rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("_o").alias(f"_first{k}")) for k in ("_a", "_b")}
         marked = open_rows.join(least["_a"], "_a", "left").join(least["_b"], "_b", "left")
         leads = (F.col("_a").isNull() | (F.col("_o") == F.col("_first_a"))) & (F.col("_b").isNull() | (F.col("_o") == F.col("_first_b")))
-        marked = _cut(marked.withColumn("_lead", leads))
+        marked = cut(marked.withColumn("_lead", leads))
         now = marked.where("_lead").select("_o", "_a", "_b")
         kept = now if kept is None else kept.unionByName(now)
-        open_rows = _cut(marked.where("not _lead").join(now.select("_a"), "_a", "left_anti").join(now.select("_b"), "_b", "left_anti").select("_o", "_a", "_b"))
+        open_rows = cut(marked.where("not _lead").join(now.select("_a"), "_a", "left_anti").join(now.select("_b"), "_b", "left_anti").select("_o", "_a", "_b"))
     if kept is None:
         kept = rows.select("_o", "_a", "_b")
     head = lambda k: kept.where(F.col(k).isNotNull()).select(k, F.col("_o").alias(f"_head{k}"))

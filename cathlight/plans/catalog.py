@@ -17,6 +17,7 @@ from ..functions import values as D
 from ..functions import vectors as V
 from ..operators import curate as C
 from ..operators import evaluate as E
+from ..operators import order as O
 from ..operators import retrieval as R
 from ..operators import review as W
 
@@ -316,7 +317,7 @@ def venue_concentration(spark, d):
 @query("""WITH c AS (SELECT source, count(*) AS c FROM documents GROUP BY source)
   SELECT source, c, (row_number() OVER (ORDER BY c DESC, source))::INTEGER AS place, sum(c) OVER (ORDER BY c DESC, source ROWS UNBOUNDED PRECEDING) / sum(c) OVER () AS share FROM c""")
 def venue_cumulative(spark, d):
-    return E.cumulative_share(read(spark, d, "documents"), "source")
+    return O.cumulative_share(read(spark, d, "documents"), "source").withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS types, count(*) AS n FROM part GROUP BY p_brand")

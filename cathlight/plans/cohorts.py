@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cohort as H
 from ..operators import curate as C
 from ..operators import compare as P
+from ..operators import order as O
 from .catalog import query, read
 
 
@@ -185,7 +186,7 @@ _NAMES = "CASE WHEN p_size % 7 = 0 THEN 'last.pt' WHEN p_size % 5 = 0 THEN 'best
 def checkpoint_names(spark, d):
     name = F.when(F.col("p_size") % 7 == 0, "last.pt").when(F.col("p_size") % 5 == 0, "best.pt").otherwise(F.concat(F.lit("epoch_"), F.col("p_size"), F.lit(".pt")))
     names = read(spark, d, "part").select(name.alias("name")).distinct()
-    return names.select("name", F.row_number().over(Window.orderBy(H.checkpoint_order(F.col("name")))).cast("long").alias("place"))  # a handful of names
+    return O.numbered(names, H.checkpoint_order(F.col("name")))
 
 
 @query("""WITH v AS (SELECT l_orderkey, list_sort(list(l_extendedprice)) AS x FROM lineitem GROUP BY 1)
