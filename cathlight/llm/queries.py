@@ -7,6 +7,7 @@ from .near_dedup import op2_minhash_near_dedup
 from .packing import op6_retrieval_packing
 from .pieces import op1_sentencepiece
 from .quality_rules import op5_quality_rules
+from .resampling import OP11_SQL, op11_importance_resampling
 from .suffix_dedup import op9_suffix_dedup
 from .suffix_tree_lm import op8_suffix_tree_lm
 from .topk_search import OP4_SQL, op4_exact_topk
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_reputation": op10_url_reputation,
+    "op11_importance_resampling": op11_importance_resampling,
 }
-SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_exact_topk": OP4_SQL, "op10_url_reputation": OP10_SQL}
+SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_exact_topk": OP4_SQL, "op10_url_reputation": OP10_SQL, "op11_importance_resampling": OP11_SQL}
