@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP3_SQL, op3_chat_format
+from .conversation_repair import OP12_SQL, op12_conversation_repair
 from .near_dedup import op2_minhash_near_dedup
 from .packing import op6_retrieval_packing
 from .pieces import op1_sentencepiece
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_reputation": op10_url_reputation,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_exact_topk": OP4_SQL, "op10_url_reputation": OP10_SQL, "op11_importance_resampling": OP11_SQL}
+SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_exact_topk": OP4_SQL, "op10_url_reputation": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_conversation_repair": OP12_SQL}
