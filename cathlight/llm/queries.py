@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP3_SQL, op3_chat_format
 from .conversation_repair import OP12_SQL, op12_conversation_repair
+from .language_id import op13_language_id
 from .near_dedup import op2_minhash_near_dedup
 from .packing import op6_retrieval_packing
 from .pieces import op1_sentencepiece
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_url_reputation": op10_url_reputation,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_language_id": op13_language_id,
 }
 SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_exact_topk": OP4_SQL, "op10_url_reputation": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_conversation_repair": OP12_SQL}
