@@ -4,8 +4,9 @@ Features are the runs of 1 to `n` consecutive words of a text (A-Z lower-cased,
 all that is beyond ASCII), joined by one space. Their strings are counted over all documents and all target
 texts; each distinct string is hashed once into one of `buckets` (CRC-32), and the buckets' counts give its
 gain, the logarithm of how much likelier the target is to have it. Gains are joined back to the documents' own
-feature counts: features with at least 1 / SHARE of all occurrences, at most SHARE of them and of at most WIDE
-characters, by a broadcast table, all others by their string, counted once a document. A document's weight is
+feature counts: those of the KNOWN most frequent features by a broadcast table (of at most WIDE characters each, or
+FAR for the few that are a 1024th of all), so that no string is a hot key, all others by their string, counted once a
+document. A document's weight is
 the floored mean of its gains; with a Gumbel term drawn from the hash of its id it becomes the score by which
 the highest share of all documents with enough words is drawn, without replacement.
 
@@ -23,13 +24,19 @@ from pyspark.sql import functions as F
 from ..operators.order import numbered
 from .common import Scratch, table
 
-SHARE, WIDE = 1 << 17, 64
-FEATURE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+KNOWN, WIDE, FAR = 1 << 19, 64, 1 << 16
+FEATURE_WORD, ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(FEATURE_WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text as they stand; A-Z are lower-cased later, word by word."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(ANY_CASE), F.lit(0)), F.array().cast("array<string>"))
+
+
+def lower(feature: Column) -> Column:
+    """A-Z in lower case and nothing else; lower() does the same to plain ASCII, far faster."""
+    return F.when(F.length(feature) == F.octet_length(feature), F.lower(feature)).otherwise(F.translate(feature, UPPER, LOWER))
 
 
 def runs(found: Column, n: int) -> Column:
@@ -43,7 +50,7 @@ def runs(found: Column, n: int) -> Column:
 
 def dictionary(docs: DataFrame, target: DataFrame, n: int, buckets: int) -> DataFrame:
     """(feature, own, goal, bucket): every distinct feature, how often docs and the target (frames of a column text) have it, and its bucket."""
-    count = lambda df, c: df.select(F.explode(runs(words(F.col("text")), n)).alias("feature")).groupBy("feature").agg(F.count("*").alias(c))
+    count = lambda df, c: df.select(F.explode(runs(words(F.col("text")), n)).alias("f")).groupBy(lower(F.col("f")).alias("feature")).agg(F.count("*").alias(c))
     zero = F.lit(0).cast("long")
     both = count(docs, "own").withColumn("goal", zero).unionByName(count(target, "goal").withColumn("own", zero))
     return both.groupBy("feature").agg(F.sum("own").alias("own"), F.sum("goal").alias("goal")).withColumn("bucket", F.crc32("feature") % buckets)
@@ -63,39 +70,54 @@ def gumbel(key: Column, seed: int) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", n: int = 1, buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: int = 2024) -> DataFrame:
-    """docs with n_features, weight, score and rank: 1, 2, 3 ... for the drawn documents, null for the others."""
+def frequent(worth: DataFrame) -> DataFrame:
+    """(feature, gain) of the most frequent features, at most KNOWN: those of the least count, to a sixteenth of a power of two, that no more reach."""
+    step, room, least = F.floor(F.log2("own") * 16), KNOWN, None
+    sizes = worth.groupBy(step.alias("x")).agg(F.count("*").alias("c"), F.sum("own").alias("n")).orderBy(F.desc("x")).collect()  # some hundred rows
+    for r in sizes:
+        room -= r.c
+        if room < 0:
+            break
+        least = r.x
+    total = sum(r.n for r in sizes)
+    short = (F.length("feature") <= WIDE) & ((step >= least) if least is not None else F.lit(False))
+    return worth.where(short | ((F.col("own") * 1024 >= total) & (F.length("feature") <= FAR))).select("feature", "gain")
+
+
+def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", n: int = 1, buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: int = 2024, carry: list[str] | None = None) -> DataFrame:
+    """docs (its columns in `carry`, by default all) with n_features, weight, score and rank: 1, 2, 3 ... for the drawn documents, null for the others."""
     added = ["n_features", "weight", "score", "rank"]
     scratch = Scratch(docs.sparkSession, "resample")
-    docs = docs.drop(*added)
+    carry = [c for c in (carry or docs.columns) if c not in added]
     text = F.col(text_col)
-    keyed = docs.withColumns({"_i": F.col(id_col), "_h": F.xxhash64(F.coalesce(text, F.lit("")))})
     strings = scratch.write(dictionary(docs.select(text.alias("text")), target.select(F.col(target_col).alias("text")), n, buckets))
     worth = scratch.write(strings.where("own > 0").join(F.broadcast(gains(strings, buckets)), "bucket").select("feature", "own", "gain"))
-    total = worth.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
-    common = worth.where((F.col("own") >= max(2, -(-total // SHARE))) & (F.length("feature") <= WIDE)).select("feature", "gain")
-    met = keyed.select("_i", "_h", F.explode(runs(words(text), n)).alias("feature")).join(F.broadcast(common), "feature", "left")
+    # a row of each document for all its frequent features, and one for each other
     key = ["_i", "_h"]
-    often = met.where("gain is not null").groupBy(*key).agg(F.count("*").alias("c"), F.sum("gain").alias("g"))
-    seldom = met.where("gain is null").groupBy(*key, "feature").agg(F.count("*").alias("m")).join(worth.select("feature", "gain"), "feature")
-    sums = often.unionByName(seldom.select(*key, F.col("m").alias("c"), (F.col("m") * F.col("gain")).alias("g"))).groupBy(*key).agg(F.sum("c").alias("c"), F.sum("g").alias("g"))
-    sums = scratch.write(sums)
-    found = words(text)
+    own = docs.select(F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), words(text).alias("_w")).select(*key, F.size("_w").alias("_words"), runs(F.col("_w"), n).alias("_f"))
+    each = own.select(*key, "_words", F.size("_f").alias("_n"), F.explode("_f").alias("feature")).withColumn("feature", lower(F.col("feature")))
+    met = each.join(F.broadcast(frequent(worth)), "feature", "left")
+    counts = met.groupBy(*key, F.when(F.col("gain").isNull(), F.col("feature")).alias("feature")).agg(F.count("*").alias("c"), F.sum("gain").alias("g"), F.max("_words").alias("_words"), F.max("_n").alias("_n"))
+    counts = scratch.write(counts)
+    seldom = counts.where("feature is not null").drop("g").join(worth.select("feature", "gain"), "feature").withColumn("g", F.col("c") * F.col("gain"))
+    parts = counts.where("feature is null").drop("feature").unionByName(seldom.drop("feature", "gain"))
+    sums = parts.groupBy(*key).agg(F.sum("c").alias("c"), F.sum("g").alias("g"), F.max("_words").alias("_words"), F.max("_n").alias("_n"))
     same = F.col("l._i").eqNullSafe(F.col("r._i")) & (F.col("l._h") == F.col("r._h"))
-    sized = keyed.withColumns({"n_features": F.size(runs(found, n)).cast("long"), "_enough": F.size(found) >= least_words})
     # rows that are repeated have added up, counts and gains alike: their mean is that of one
-    mean = F.expr("(r.g - pmod(r.g, r.c)) div r.c")
-    scored = sized.alias("l").join(sums.alias("r"), same, "left").select("l.*", F.coalesce(mean, F.lit(0)).cast("long").alias("weight"))
-    scored = scratch.write(scored.withColumn("score", F.col("weight") + gumbel(F.col(id_col), seed)).withColumn("_row", F.monotonically_increasing_id()))
-    fit = scored.where("_enough")
+    mean = F.coalesce(F.expr("(r.g - pmod(r.g, r.c)) div r.c"), F.lit(0)).cast("long")
+    keyed = docs.select(*carry, F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
+    scored = keyed.alias("l").join(sums.alias("r"), same, "left").select("l.*", F.coalesce("r._n", F.lit(0)).cast("long").alias("n_features"), F.coalesce("r._words", F.lit(0)).alias("_words"), mean.alias("weight"))
+    scored = scratch.write(scored.withColumn("score", F.col("weight") + gumbel(F.col("_i"), seed)).withColumn("_row", F.monotonically_increasing_id()))
+    scratch.drop(strings, worth, counts)
+    fit = scored.where(F.col("_words") >= least_words)
     most = fit.count() * percent // 100
     drawn = numbered(fit.select("_row", "_i", "score"), F.desc("score"), F.asc_nulls_last("_i"), name="rank").where(F.col("rank") <= most).select("_row", "rank")
-    return scored.join(drawn, "_row", "left").select(*docs.columns, *added)
+    return scored.join(drawn, "_row", "left").select(*carry, *added)
 
 
 def op11_importance_resampling(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, table(spark, sf_dir, "benchmark").select("text")).select("doc_id", "n_features", "weight", "score", "rank")
+    return resample(docs, table(spark, sf_dir, "benchmark").select("text"), carry=["doc_id"])
 
 
 # The CRC-32 of a feature's bytes, byte by byte, from its table of 256 numbers
