@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import wide_quantiles
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
@@ -91,19 +93,23 @@ def cochran(n: Column, p: float = 0.5, e: float = 0.05, z: float = 1.96) -> Colu
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """n, mean, median, spread, quartiles, and bias-corrected skew and excess kurtosis."""
-    v = F.col(value).cast("double")
-    quart = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = df.groupBy(*(by or [])).agg(
+    """n, mean, median, spread, quartiles, and bias-corrected skew and excess kurtosis; the quartiles by counted digits, so no group's values are in one place."""
+    v, by = F.col(value).cast("double"), by or []
+    got = df.groupBy(*by).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("variance"), F.min(v).alias("lowest"), F.max(v).alias("highest"),
-        quart.alias("_q"), F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2"),
+        F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2"),
     )
+    quart = wide_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    if by:
+        quart = quart.select(*(F.col(c).alias(f"_q_{c}") for c in by), "q1", "median", "q3")
+        got = got.join(quart, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], "left")
+    else:
+        got = got.join(F.broadcast(quart))  # one row each
     n = F.col("n").cast("double")
     return got.withColumns(
-        {"q1": F.col("_q")[0], "median": F.col("_q")[1], "q3": F.col("_q")[2], "iqr": F.col("_q")[2] - F.col("_q")[0],
-         "skew": F.when(n > 2, F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2)),
+        {"iqr": F.col("q3") - F.col("q1"), "skew": F.when(n > 2, F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2)),
          "kurtosis": F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6))}
-    ).drop("_q", "_g1", "_g2")
+    ).drop("_g1", "_g2", *(f"_q_{c}" for c in by))
 
 
 def concentration(df: DataFrame, key: str) -> DataFrame:

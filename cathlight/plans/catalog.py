@@ -18,6 +18,7 @@ from ..functions import vectors as V
 from ..operators import curate as C
 from ..operators import evaluate as E
 from ..operators import order as O
+from ..operators import quantiles as S
 from ..operators import retrieval as R
 from ..operators import review as W
 
@@ -374,7 +375,7 @@ def temporal_descriptor(spark, d):
   SELECT label, count_if(m - med > 0) AS yes, count(*) AS n FROM (SELECT *, median(m) OVER (PARTITION BY label) AS med FROM s) GROUP BY label""")
 def margin_debias(spark, d):
     margins = read(spark, d, "embeddings").select("label", V.total(F.col("embedding").cast("array<double>")).alias("m"))
-    middle = margins.groupBy("label").agg(F.percentile("m", F.lit(0.5)).alias("med"))
+    middle = S.wide_quantiles(margins, "m", {"med": 0.5}, ["label"])
     return margins.join(middle, "label").groupBy("label").agg(F.count_if(F.col("m") - F.col("med") > 0).alias("yes"), F.count("*").alias("n"))
 
 
