@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import fuzzy as Z
+from ..operators import generated as N
 from ..operators import quantiles as Q
 from ..operators import significance as G
 from .catalog import query, read
@@ -71,3 +73,51 @@ def paired_tests_with_ties(spark, d):
     own = read(spark, d, "lineitem")
     value = F.when(F.col("l_linenumber") < 7, F.floor(F.col("l_discount") * 100)).cast("double")
     return _paired(own.select(F.concat("l_returnflag", "l_linestatus").alias("metric"), F.lit(1).alias("polarity"), value.alias("with_value"), (F.floor(F.col("l_tax") * 100) + F.col("l_suppkey") % 3).cast("double").alias("without_value")))
+
+
+# each conversation's answer against its question
+_TOLD = """SELECT conv_id || ':' || q.turn AS pair, q.text AS reference, a.text AS generated FROM conversations q JOIN (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') a USING (conv_id) WHERE q.role = 'user' AND a.turn = q.turn + 1"""
+_WORDS = """SELECT pair, s, list_filter(string_split_regex(lower(coalesce(CASE s WHEN 0 THEN reference ELSE generated END, '')), '{split}'), lambda w: w <> '') AS w FROM told, (VALUES (0), (1)) v(s)"""
+_MATCHED = """m AS (SELECT pair, n, sum(least(a, b)) AS hits, sum(a) AS ours, sum(b) AS theirs FROM (SELECT pair, n, gram, count_if(s = 1) AS a, count_if(s = 0) AS b FROM
+    (SELECT pair, s, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM w, range(1, {orders} + 1) o(n)) GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _told(spark, d):
+    own = read(spark, d, "conversations")
+    asked = own.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("reference"))
+    told = own.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated"))
+    return asked.join(told, ["conv_id", "turn"]).select(F.concat("conv_id", F.lit(":"), "turn").alias("pair"), "reference", "generated")
+
+
+@query(f"""WITH told AS ({_TOLD}), w AS ({_WORDS.format(split=r'[ \t\n\r\f\v]+')}), {_MATCHED.format(orders=4)},
+  p AS (SELECT pair, coalesce(hits, 0) AS hits, coalesce(ours, 0) AS ours, coalesce(theirs, 0) AS theirs, n FROM (SELECT pair, n FROM told, range(1, 5) r(n)) LEFT JOIN m USING (pair, n)),
+  s AS (SELECT pair, avg(ln((CASE WHEN hits = 0 THEN 0.1 ELSE hits END) / greatest(ours, 1))) AS mean, max(CASE WHEN n = 1 THEN hits END) AS hits, max(CASE WHEN n = 1 THEN ours END) AS ours, max(CASE WHEN n = 1 THEN theirs END) AS theirs FROM p GROUP BY pair)
+  SELECT pair, CASE WHEN hits = 0 THEN 0 ELSE exp(mean) * CASE WHEN ours > theirs THEN 1 ELSE exp(1 - theirs / ours) END END AS bleu FROM s""")
+def bleu_of_answers(spark, d):
+    return N.bleu(_told(spark, d), "pair", "reference", "generated")
+
+
+# the longest common subsequence by its table, a row at a time
+@query(f"""WITH RECURSIVE told AS ({_TOLD}), w AS ({_WORDS.format(split='[^a-z0-9]+')}), {_MATCHED.format(orders=2)},
+  t AS (SELECT x.pair, x.w AS a, y.w AS b FROM w x JOIN w y USING (pair) WHERE x.s = 0 AND y.s = 1),
+  l AS (SELECT pair, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS r FROM t
+    UNION ALL SELECT pair, a, b, i + 1, list_concat([0], list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN b[k] = a[i + 1] THEN greatest(r[k] + 1, r[k + 1]) ELSE r[k + 1] END)))) FROM l WHERE i < len(a)),
+  f AS (SELECT pair, n, CASE WHEN ours + theirs = 0 THEN 0 ELSE 2.0::DOUBLE * hits / (ours + theirs) END AS f FROM m)
+  SELECT pair, coalesce((SELECT f FROM f WHERE f.pair = l.pair AND n = 1), 0) AS rouge1, coalesce((SELECT f FROM f WHERE f.pair = l.pair AND n = 2), 0) AS rouge2,
+  CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE 2.0::DOUBLE * r[-1] / (len(a) + len(b)) END AS rougeL FROM l WHERE i = len(a)""")
+def rouge_of_answers(spark, d):
+    return N.rouge(_told(spark, d), "pair", "reference", "generated")
+
+
+def part_texts(spark, d):
+    """Names of parts with errors by their key, and the right names as templates."""
+    whole = F.concat_ws(" ", "p_name", F.lower("p_type"), F.concat(F.lit("no. "), F.col("p_partkey") % 1000))
+    wrong = F.when(F.col("p_partkey") % 4 == 1, F.regexp_replace(whole, "e", "3")).when(F.col("p_partkey") % 4 == 2, F.concat(F.substring(whole, 3, 1000), F.lit("?"))).when(F.col("p_partkey") % 4 == 3, F.concat_ws(" ", F.lower("p_type"), F.reverse("p_name"))).otherwise(whole)
+    own = read(spark, d, "part").select("p_partkey", whole.alias("template"), wrong.alias("text"))
+    return own.select("text"), own.select("p_partkey", "template").where("p_partkey % 4 <> 0 or p_partkey % 8 = 0")
+
+
+@query()
+def fuzzy_part_names(spark, d):
+    texts, templates = part_texts(spark, d)
+    return Z.closest_templates(texts, "text", templates, "template", "p_partkey", 0.8)
