@@ -5,7 +5,8 @@ The ratio is 2 M / T: M characters lie in matching blocks, T is the length of bo
  - share at least M >= r T / 2 characters, and, since two neighbouring blocks are parted by an unmatched character, at least
    3 M - T - 1 pairs of neighbouring characters (each counted as often as both have it).
 A text that must share at least c of its n grams shares one of its n - c + 1 rarest, so only those are indexed: pairs of characters
-where both texts are long enough for the second bound to say anything, single ones for the few that are not. What meets in the index is compared in full.
+where both texts are long enough for the second bound to say anything, single ones for the few that are not. What meets in the index must share
+that many grams of all it has, and is then compared in full.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def _grams(df: DataFrame, threshold: float) -> DataFrame:
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left, right) ids of all pairs of (id, text) that can reach the threshold, and some that do not."""
-    sides = {"left": _grams(left, threshold), "right": _grams(right, threshold)}
+    sides = {"left": cut(_grams(left, threshold)), "right": cut(_grams(right, threshold))}
     often = sides["left"].select("kind", "gram", "turn").unionByName(sides["right"].select("kind", "gram", "turn")).groupBy("kind", "gram", "turn").agg(F.count("*").alias("often"))
     often = cut(often)
 
@@ -52,7 +53,11 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     both = F.col("left_size") + F.col("right_size")
     able = low * 2 >= (low + high) * threshold - 1e-9
     kind = F.when(both * slope > 1, 2).otherwise(1) if slope > 0 else F.lit(1)
-    return met.where(able & (F.col("kind") == kind)).select("left", "right").distinct()
+    pairs = met.where(able & (F.col("kind") == kind)).select("left", "right", "kind", both.alias("both")).distinct()
+    for name, df in sides.items():  # a text's grams, as many as its characters
+        pairs = pairs.join(df.groupBy(F.col("id").alias(name), "kind").agg(F.collect_list(F.concat("gram", "turn")).alias(f"{name}_grams")), [name, "kind"])
+    shared, whole = F.size(F.array_intersect("left_grams", "right_grams")), F.ceil(F.col("both") * threshold / 2 - 1e-9)
+    return pairs.where(shared >= F.when(F.col("kind") == 1, whole).otherwise(3 * whole - F.col("both") - 1)).select("left", "right")
 
 
 @F.pandas_udf(DoubleType())
