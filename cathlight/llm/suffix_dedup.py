@@ -13,8 +13,8 @@ offsets; Spark sorts the ranks of each round, and a suffix whose rank is unique
 2. 64 bytes, by pairs of ranks (p, p + 32), for the suffixes that begin at the anchor and 32 bytes
    before it. A repeated window holds one of the two whole, so windows that hold neither as a shared
    rank leave.
-3. `length` bytes, by pairs (p, p + length - 64), for every window that is left. Sorted by that rank, the
-   first in corpus order stays and the others are repeats.
+3. `length` bytes, by pairs (p, p + length - 64), for every window that is left. Sorted by that rank and a second
+   name, so that no byte goes on the word of 64 bits, the first in corpus order stays and the others are repeats.
 
 Ranks are content names (64-bit hashes) instead of ordinals: equal strings have equal names, so a
 round is one sort of the names that are left. Texts that are wholly equal are one beforehand.
@@ -22,7 +22,8 @@ Ranks that a very large number of anchors share would crowd one task: their stre
 meet by grouped minima with partial aggregation and a join instead. Ranks are counted and tables
 written while the result is planned.
 
-Nulls and empty texts have no bytes and lose none. Rows with a null id keep their bytes and take
+Nulls and empty texts have no bytes and lose none. A text of 2**30 bytes or more, beyond what a Spark string column can carry through Arrow with its
+context, is an error. Rows with a null id keep their bytes and take
 no other part. Equal rows (same id, same text) count once and get the same result; different texts
 of one id are ordered by a hash of their contents. Other columns are kept.
 """
@@ -88,6 +89,15 @@ def rank(short: np.ndarray, p: np.ndarray, length: int) -> np.ndarray:
     return K.mix((rank(short, p, reach) * K.MULT[0]) ^ (rank(short, p + length - reach, reach) + K.MULT[1]) * K.MULT[2])
 
 
+def second_name(short: np.ndarray, p: np.ndarray, length: int) -> np.ndarray:
+    """Another name of the `length` bytes from each p, of the same 32-byte ranks put together in another way."""
+    out = np.full(len(p), np.uint64(length), np.uint64)
+    for k, at in enumerate([*range(0, length - GRAM, GRAM), length - GRAM]):
+        out = (out ^ short[p + at]) * K.MULT[3 + k % 4]
+        out ^= out >> np.uint64(32)
+    return out
+
+
 def short_ranks(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """32-byte ranks over some stretches laid end to end, and where each stretch begins."""
     size = np.fromiter(map(len, contexts), np.int64, len(contexts))
@@ -252,13 +262,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         open_ = np.asarray(column.is_valid()) & within(alive.value, np.asarray(column.fill_null(0)))
                         live |= open_[row] & (p <= start[row]) & (p + length >= start[row] + HALF)
                     row, p = row[live], p[live]
-                name = rank(short, begin[row] + p - lo[row], length)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name.view(np.int64), ids[row], sums[row], p)], names=["name", "_id", "_h", "_p"])
+                name, other = (f(short, begin[row] + p - lo[row], length).view(np.int64) for f in (rank, second_name))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name, other, ids[row], sums[row], p)], names=["name", "other", "_id", "_h", "_p"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of windows sorted by rank, those that are not the first of it."""
         K.release()
-        state = Sorted(["name"], ["_id", "_h", "_p"])
+        state = Sorted(["name", "other"], ["_id", "_h", "_p"])
         for batch in batches:
             if batch.num_rows:
                 late = batch.filter(pa.array(state.meet(batch)[1]))
@@ -267,12 +277,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = every.where("_context is null").select("_id", "_h", "_lo", "_hi")
     for rows, crowded in ranked:
         some = rows.where("_context is not null")
-        windows = some.mapInArrow(explode, "name long, _id long, _h long, _p long")
+        windows = some.mapInArrow(explode, "name long, other long, _id long, _h long, _p long")
         if crowded:
-            head = windows.groupBy("name").agg(F.min(F.struct("_id", "_h", "_p")).alias("head"), F.count("*").alias("n")).where("n > 1")
-            late = windows.join(head, "name").where(F.struct("_id", "_h", "_p") > F.col("head")).select("_id", "_h", F.col("_p").alias("_lo"), F.col("_p").alias("_hi"))
+            head = windows.groupBy("name", "other").agg(F.min(F.struct("_id", "_h", "_p")).alias("head"), F.count("*").alias("n")).where("n > 1")
+            late = windows.join(head, ["name", "other"]).where(F.struct("_id", "_h", "_p") > F.col("head")).select("_id", "_h", F.col("_p").alias("_lo"), F.col("_p").alias("_hi"))
         else:
-            late = windows.repartition("name").sortWithinPartitions("name", "_id", "_h", "_p").mapInArrow(repeated, "_id long, _h long, _lo long, _hi long")
+            late = windows.repartition("name").sortWithinPartitions("name", "other", "_id", "_h", "_p").mapInArrow(repeated, "_id long, _h long, _lo long, _hi long")
         spans = spans.unionByName(late)
     return scratch, first, scratch.write(spans)
 

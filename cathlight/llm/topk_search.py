@@ -8,8 +8,8 @@ their k-th score (Cauchy-Schwarz); of the others, the inner product of the first
 plus the product of the residual lengths bounds each score, and what may reach the k-th score is
 scored exactly in integers. A block's best k of each query meet those of the other blocks.
 
-A stated query set goes to every block, a few thousand rows at a time; no pair leaves a block but
-those k. Vectors that are null, empty, hold a null or a non-finite component, or a component whose
+A stated query set goes to every block whose longest vector can still reach the first score, which is told before the shuffle, a few
+thousand rows at a time; no pair leaves a block but those k. Vectors that are null, empty, hold a null or a non-finite component, or a component whose
 floor(64 * x) is no 64-bit integer (the SQL fails on those) take no part. Scores beyond the exact range of
 doubles are summed in integers; one among the k best that is no 64-bit integer is an error, as in SQL. Only vectors of one size meet. A query
 is not its own neighbour: rows with its id are passed over. Equal rows of one id count once. Ties go
@@ -61,6 +61,13 @@ def exact_scores(q: np.ndarray, c: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return out
 
 
+def last_block(edges: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Of each query the last block whose longest vector (edges, falling) can still give it its least score; the first block at least."""
+    falling = np.maximum.accumulate(edges[::-1])[::-1]
+    need = np.where(least > 0, (least - SLACK * (1 + np.abs(least))) / np.maximum(lengths * (1 + ROUNDING), 1e-300), 0.0)
+    return np.maximum(np.searchsorted(-falling, -need, "right") - 1, 0)
+
+
 def search_block(rotation: np.ndarray, c: np.ndarray, c_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of the k best of each query that reach its least score; c is sorted by falling length."""
     cl, ql = np.sqrt((c * c).sum(1)), np.sqrt((q * q).sum(1))
@@ -119,6 +126,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     # equal lengths are dealt by id, so a vector that many rows share does not fill a block
     dealt = scratch.write(own.repartitionByRange(blocks, F.desc("n2"), F.col("id")).withColumn("block", F.spark_partition_id()))
     main = total[0].dim
+    top = dict(dealt.groupBy("block").agg(F.max("n2")).collect())  # a row a block
+    edges = np.array([top.get(b, 0.0) for b in range(blocks)]) ** 0.5
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((main, main))
@@ -132,13 +141,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     longest = dealt.where(F.col("dim") == main).orderBy(F.desc("n2"), "id").limit(HEAD).select("id", "v").toArrow().combine_chunks()
     head_ids = longest.column("id").to_numpy()
     head = vectors_of(longest.column("v").combine_chunks() if isinstance(longest.column("v"), pa.ChunkedArray) else longest.column("v"))
-    shared = spark.sparkContext.broadcast((rotation, head_ids, head))
+    shared = spark.sparkContext.broadcast((rotation, head_ids, head, edges))
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A score that each query's k-th best is known to reach."""
-        _, head_ids, head = shared.value
+        """A score that each query's k-th best is known to reach, and the last block with a vector long enough for it."""
+        _, head_ids, head, edges = shared.value
         for batch in batches:
-            least = np.full(batch.num_rows, -np.inf)
+            least, last = np.full(batch.num_rows, -np.inf), np.full(batch.num_rows, blocks - 1)
             dims = np.asarray(batch.column("dim"))
             rows = np.flatnonzero(dims == main)
             for s in range(0, len(rows), QUERIES):
@@ -148,10 +157,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 score[np.asarray(batch.column("id"))[at][:, None] == head_ids[None, :]] = -np.inf
                 if len(head) > k:
                     least[at] = np.partition(score, len(head) - k, axis=1)[:, len(head) - k]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("dim"), pa.array(least)], names=["id", "v", "dim", "least"])
+                    last[at] = last_block(edges, np.sqrt((v * v).sum(1)), least[at])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("dim"), pa.array(least), pa.array(last)], names=["id", "v", "dim", "least", "last"])
 
-    asked = dealt.where("asks").select("id", "v", "dim").mapInArrow(seed, "id long, v array<double>, dim int, least double")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dim", F.lit(1).alias("kind"), "id", "v", "least")
+    asked = dealt.where("asks").select("id", "v", "dim").mapInArrow(seed, "id long, v array<double>, dim int, least double, last long")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("block"), "dim", F.lit(1).alias("kind"), "id", "v", "least")
     both = dealt.select("block", "dim", F.lit(0).alias("kind"), "id", "v", (-F.col("n2")).alias("least")).unionByName(asked)
     arranged = both.repartition(blocks, "block").sortWithinPartitions("block", "dim", "kind", "least", "id")
 

@@ -2,7 +2,7 @@
 
 A text's features are the distinct words, word stems (their first four and five bytes, for languages
 whose words take many endings), word pairs and pairs one word apart, lower-cased (A-Z) and hashed
-into 2**BITS buckets, and one bias. Training takes at most SAMPLE labelled rows, those with
+into 2**BITS buckets, and one bias. Training takes at most SAMPLE labelled rows, repeated ones counted, those with
 the least hash of their id, and makes PASSES passes in that order in one bounded task; per-coordinate
 rates and the L1 term leave few weights other than 0, and those alone are broadcast: at most 2**BITS.
 
@@ -89,7 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(w[i])], names=["bucket", "weight"])
 
     encoded = chosen.mapInArrow(encode, "_id long, _y int, _f binary")
-    return encoded.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "_f").mapInArrow(learn, "bucket long, weight double")
+    bounded = encoded.orderBy(F.xxhash64("_id"), "_id", "_y", "_f").limit(SAMPLE)  # an id may have any number of rows
+    return bounded.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "_f").mapInArrow(learn, "bucket long, weight double")
 
 
 def scored(docs: DataFrame, model: DataFrame, text_col: str = "text") -> DataFrame:
