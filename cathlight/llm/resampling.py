@@ -40,17 +40,18 @@ def lower(feature: Column) -> Column:
 
 
 def runs(found: Column, n: int) -> Column:
-    """All runs of 1 to n of an array's words."""
+    """All runs of 1 to n of an array's words; found is a column, not an expression that every run would evaluate anew."""
     if n == 1:
         return found
-    places = F.sequence(F.lit(1), F.size(found))
-    of = lambda k: F.filter(F.transform(places, lambda i: F.when(i + k - 1 <= F.size(found), F.array_join(F.slice(found, i, k), " "))), lambda x: x.isNotNull())
+    # slice() would read the whole array for every run
+    of = lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.when(i + k <= F.size(found), F.concat_ws(" ", *(F.get(found, i + j) for j in range(k))))), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, F.concat(found, *(of(k) for k in range(2, n + 1)))).otherwise(found)
 
 
 def dictionary(docs: DataFrame, target: DataFrame, n: int, buckets: int) -> DataFrame:
     """(feature, own, goal, bucket): every distinct feature, how often docs and the target (frames of a column text) have it, and its bucket."""
-    count = lambda df, c: df.select(F.explode(runs(words(F.col("text")), n)).alias("f")).groupBy(lower(F.col("f")).alias("feature")).agg(F.count("*").alias(c))
+    # explode() would have Spark ask for the array's size below, and split every text once more; explode_outer() doesn't
+    count = lambda df, c: df.select(words(F.col("text")).alias("w")).select(F.explode_outer(runs(F.col("w"), n)).alias("f")).where("f is not null").groupBy(lower(F.col("f")).alias("feature")).agg(F.count("*").alias(c))
     zero = F.lit(0).cast("long")
     both = count(docs, "own").withColumn("goal", zero).unionByName(count(target, "goal").withColumn("own", zero))
     return both.groupBy("feature").agg(F.sum("own").alias("own"), F.sum("goal").alias("goal")).withColumn("bucket", F.crc32("feature") % buckets)
@@ -94,8 +95,8 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     worth = scratch.write(strings.where("own > 0").join(F.broadcast(gains(strings, buckets)), "bucket").select("feature", "own", "gain"))
     # a row of each document for all its frequent features, and one for each other
     key = ["_i", "_h"]
-    own = docs.select(F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), words(text).alias("_w")).select(*key, F.size("_w").alias("_words"), runs(F.col("_w"), n).alias("_f"))
-    each = own.select(*key, "_words", F.size("_f").alias("_n"), F.explode("_f").alias("feature")).withColumn("feature", lower(F.col("feature")))
+    own = docs.select(F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), words(text).alias("_w")).select(*key, F.size("_w").alias("_words"), runs(F.col("_w"), n).alias("_f")).withColumn("_n", F.size("_f"))
+    each = own.select(*key, "_words", "_n", F.explode_outer("_f").alias("feature")).where("feature is not null").withColumn("feature", lower(F.col("feature")))
     met = each.join(F.broadcast(frequent(worth)), "feature", "left")
     counts = met.groupBy(*key, F.when(F.col("gain").isNull(), F.col("feature")).alias("feature")).agg(F.count("*").alias("c"), F.sum("gain").alias("g"), F.max("_words").alias("_words"), F.max("_n").alias("_n"))
     counts = scratch.write(counts)
@@ -105,14 +106,14 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     same = F.col("l._i").eqNullSafe(F.col("r._i")) & (F.col("l._h") == F.col("r._h"))
     # rows that are repeated have added up, counts and gains alike: their mean is that of one
     mean = F.coalesce(F.expr("(r.g - pmod(r.g, r.c)) div r.c"), F.lit(0)).cast("long")
-    keyed = docs.select(*carry, F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
+    keyed = docs.select(F.struct(*carry).alias("_own"), F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
     scored = keyed.alias("l").join(sums.alias("r"), same, "left").select("l.*", F.coalesce("r._n", F.lit(0)).cast("long").alias("n_features"), F.coalesce("r._words", F.lit(0)).alias("_words"), mean.alias("weight"))
     scored = scratch.write(scored.withColumn("score", F.col("weight") + gumbel(F.col("_i"), seed)).withColumn("_row", F.monotonically_increasing_id()))
     scratch.drop(strings, worth, counts)
     fit = scored.where(F.col("_words") >= least_words)
     most = fit.count() * percent // 100
     drawn = numbered(fit.select("_row", "_i", "score"), F.desc("score"), F.asc_nulls_last("_i"), name="rank").where(F.col("rank") <= most).select("_row", "rank")
-    return scored.join(drawn, "_row", "left").select(*carry, *added)
+    return scored.join(drawn, "_row", "left").select(*(F.col("_own")[c].alias(c) for c in carry), *added)
 
 
 def op11_importance_resampling(spark, sf_dir: str) -> DataFrame:
