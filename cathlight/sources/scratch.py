@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +16,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is not set")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cathlight-"))
     return df.checkpoint()
+
+
+def folder_for(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir for tables of a run; a local one only where none is set on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return f"file://{tempfile.mkdtemp(prefix='cathlight-')}"
