@@ -212,15 +212,21 @@ def tidy_architecture(c: Column) -> Column:
 
 
 def lower_sentences(c: Column) -> Column:
-    """Sentence case: words that aren't all capitals or a [TAG] are lower-cased, and a sentence's first letter is capital."""
-    words = F.split(c, r"(?<=\s)|(?=\s)")
-    kept = lambda w: w.rlike(r"^[^A-Za-z]*[A-Z]{2,}[^a-z]*$") | w.rlike(r"\[[A-Z_]+\]")
-    state = F.struct(F.lit(True).alias("start"), F.lit("").alias("text"))
-
-    def step(s: Column, w: Column) -> Column:
-        low = F.when(kept(w), w).otherwise(F.lower(w))
-        out = F.when(s["start"] & ~kept(w), F.concat(F.upper(F.substring(low, 1, 1)), low.substr(F.lit(2), F.length(low)))).otherwise(low)
-        blank = w.rlike(r"^\s*$")
-        return F.struct(F.when(blank, s["start"] | w.contains("\n")).otherwise(w.rlike(r"[.!?:][\"')]*$")).alias("start"), F.concat(s["text"], out).alias("text"))
-
-    return F.aggregate(words, state, step, lambda s: s["text"])
+    """Sentence case: words are lower-cased but those of two or more letters (A-Z) that are all capitals; tags in square brackets are in capitals.
+
+    A word's first letter a-z is raised at the beginning of the text, after white space with a line break, and after white space that follows `.`, `!` or `?`.
+    """
+    lowered = lambda w: F.when(F.regexp_replace(w, "[^A-Za-z]", "").rlike("^[A-Z]{2,}$"), w).otherwise(F.lower(w))
+
+    def cased(tokens: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            before, low = F.coalesce(F.get(tokens, i - 1), F.lit("")), lowered(w)
+            starts = (i == 0) | ((i == 1) & before.rlike(r"(?U)^\s")) | before.contains("\n") | (before.rlike(r"(?U)^\s") & F.coalesce(F.get(tokens, i - 2), F.lit("")).rlike("[.!?]$"))
+            return F.when(starts & low.rlike("^[a-z]"), F.concat(F.upper(F.substring(low, 1, 1)), low.substr(F.lit(2), F.length(low)))).otherwise(low)
+
+        return F.array_join(F.transform(tokens, one), "")
+
+    tag = r"\[[a-z_][a-z0-9_]*\]"
+    raised = lambda pieces: F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{tag}$"), F.upper(p)).otherwise(p)), "")
+    once = lambda array, f: F.get(F.transform(F.array(array), f), F.lit(0))  # noqa: E731  the array is made once, not for each of its elements
+    return once(F.split(once(F.regexp_extract_all(c, F.lit(r"(?U)\s+|\S+"), F.lit(0)), cased), rf"(?={tag})|(?<=\])"), raised)

@@ -114,3 +114,18 @@ def described_groups(spark, d):
 def boolean_profiles(spark, d):
     own = read(spark, d, "conversations").select((F.col("role") == "user").alias("user"), F.when(F.col("role") == "user", F.col("conv_id") % 2 == 0).alias("even"))
     return W.boolean_profile(own, ["user", "even"])
+
+
+_CASED = "CASE doc_id % 4 WHEN 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 1 THEN replace(text, ' ', chr(10)) WHEN 2 THEN ' ' || text || ' FINDINGS: the Lesion I-A lead A1B [Phone] \"no.\" then IT is. \"so\" [x2] e' ELSE text END"
+_LOW = "CASE WHEN regexp_matches(regexp_replace(w, '[^A-Za-z]', '', 'g'), '^[A-Z][A-Z]+$') THEN w ELSE lower(w) END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract_all({_CASED}, '[\\t-\\r ]+|[^\\t-\\r ]+') AS t FROM documents WHERE text IS NOT NULL),
+  l AS (SELECT doc_id, t, list_transform(t, lambda w: {_LOW}) AS l FROM t),
+  s AS (SELECT doc_id, array_to_string(list_transform(l, lambda w, i: CASE WHEN (i = 1 OR (i = 2 AND regexp_matches(t[1], '^[\\t-\\r ]')) OR contains(t[i - 1], chr(10)) OR (i > 2 AND regexp_matches(t[i - 1], '^[\\t-\\r ]') AND regexp_matches(t[i - 2], '[.!?]$')))
+    AND regexp_matches(w, '^[a-z]') THEN upper(w[1]) || w[2:] ELSE w END), '') AS s FROM l)
+  SELECT doc_id, length(s)::INTEGER AS n, md5(replace(replace(s, '[phone]', '[PHONE]'), '[x2]', '[X2]')) AS hash FROM s""")
+def sentence_case(spark, d):
+    own = read(spark, d, "documents").where("text is not null")
+    cased = T.lower_sentences(F.expr(_CASED.replace("chr(10)", "char(10)")))
+    return own.select("doc_id", cased.alias("s")).select("doc_id", F.length("s").alias("n"), F.md5("s").alias("hash"))

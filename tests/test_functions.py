@@ -120,3 +120,5 @@ def test_paths_and_names(spark):
 
 def test_sentence_case(spark):
     assert one(spark, "LAD Is Patent. no Stenosis in The [SSN] segment.\nthe End", T.lower_sentences) == "LAD is patent. No stenosis in the [SSN] segment.\nThe end"
+    for raw, want in (("FINDINGS: The lesion", "FINDINGS: the lesion"), ("I-A lead A1B", "I-A lead A1B"), ('x "No." Then', 'X "no." then'), ("[phone] a\n\n  b! c", "[PHONE] a\n\n  B! C"), ("", ""), (" iT", " It"), ("Éa éB. éc", "éa éb. éc")):
+        assert one(spark, raw, T.lower_sentences) == want

@@ -42,7 +42,7 @@ def test_text_chain(spark):
         "80% left anterior descending; status post percutaneous coronary intervention with drug-eluting stent",
         "left ventriculogram, then left ventricular", "6 French (catheter size) and 2 week", None]
     raw = "noise\nFINDINGS - 80% LAD Lesion. IT is Calm\nimpression:\nStable.\nElectronically signed by X"
-    assert one(spark, T.finished_report, raw) == ["FINDINGS: 80% left anterior descending lesion. IT is calm\n\nIMPRESSION: Stable."]
+    assert one(spark, T.finished_report, raw) == ["FINDINGS: 80% left anterior descending lesion. IT is calm\n\nIMPRESSION: stable."]
     assert one(spark, T.generated_text, 'Rephrased Report: "a  b"', "'", "'x\"", None) == ["a b", "'", "'x\"", ""]
     assert one(spark, T.sliced_or_whole, "FINDINGS: short", None) == ["FINDINGS: short", ""]
 
