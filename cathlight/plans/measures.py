@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tiles as I
 from ..operators import fuzzy as Z
 from ..operators import generated as N
 from ..operators import quantiles as Q
@@ -121,3 +122,41 @@ def part_texts(spark, d):
 def fuzzy_part_names(spark, d):
     texts, templates = part_texts(spark, d)
     return Z.closest_templates(texts, "text", templates, "template", "p_partkey", 0.8)
+
+
+# embeddings as tiles of 8 by 8 grey values
+_TILES = """SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 1000) - 40) AS p FROM embeddings WHERE len(embedding) = 64"""
+
+
+def tiles(spark, d):
+    grey = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(F.abs(x) * 1000).cast("double") - 40)
+    return read(spark, d, "embeddings").where(F.size("embedding") == 64).select("vec_id", grey.alias("p"))
+
+
+@query(f"""WITH t AS ({_TILES}), a AS (SELECT vec_id, p, list_filter(p, lambda x: x > 10) AS a FROM t), x AS (SELECT vec_id, unnest(a) AS x FROM a),
+  c AS (SELECT vec_id, bin, count(*) AS c FROM (SELECT vec_id, least(255, floor(x * 256 / 255)) AS bin FROM x WHERE x BETWEEN 0 AND 255) GROUP BY ALL), e AS (SELECT vec_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS entropy FROM c GROUP BY vec_id)
+  SELECT vec_id, list_avg(a) AS mean, list_stddev_pop(a) AS std, len(list_filter(a, lambda x: x > 220)) / len(a) AS bright_frac, coalesce(entropy, 0) AS entropy, len(a) / 64 AS active_frac FROM a LEFT JOIN e USING (vec_id) WHERE len(a) > 0""")
+def active_pixels(spark, d):
+    return tiles(spark, d).select("vec_id", I.active_statistics(F.col("p")).alias("s")).where("s is not null").select("vec_id", "s.*")
+
+
+@query(f"""WITH t AS ({_TILES}), x AS (SELECT vec_id, unnest(p) AS x, unnest(range(64)) AS i FROM t), b AS (SELECT vec_id, min(i // 8)::INTEGER AS top, max(i // 8)::INTEGER AS bottom, min(i % 8)::INTEGER AS "left", max(i % 8)::INTEGER AS "right" FROM x WHERE x > 150 GROUP BY vec_id),
+  m AS (SELECT vec_id, avg(x) AS mean, avg((x >= 180)::INTEGER) AS bright_frac FROM x WHERE i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 2 AND 5 GROUP BY vec_id),
+  k AS (SELECT vec_id, sum(x) AS kept, count(*) AS n FROM x LEFT JOIN b USING (vec_id) WHERE top IS NULL OR (i // 8 BETWEEN top AND bottom AND i % 8 BETWEEN "left" AND "right") GROUP BY vec_id)
+  SELECT vec_id, top, bottom, "left", "right", coalesce(top, 8) AS dark_top, coalesce(7 - bottom, 8) AS dark_bottom, coalesce("left", 8) AS dark_left, coalesce(7 - "right", 8) AS dark_right, mean, bright_frac, kept, n::INTEGER AS n
+  FROM t LEFT JOIN b USING (vec_id) LEFT JOIN m USING (vec_id) LEFT JOIN k USING (vec_id)""")
+def borders_and_boxes(spark, d):
+    p, w = F.col("p"), F.lit(8)
+    told = tiles(spark, d).select("vec_id", I.bounding_box(p, w, 150).alias("b"), I.border_runs(p, w, 150).alias("r"), I.cropped_statistics(p, w, 0.3).alias("c"), I.trimmed(p, w, 150).alias("t"))
+    kept = F.aggregate("t.pixels", F.lit(0.0), lambda s, x: s + x)
+    edges = ("top", "bottom", "left", "right")
+    return told.select("vec_id", *(F.col(f"b.{e}").cast("int").alias(e) for e in edges), *(F.col(f"r.{e}").alias(f"dark_{e}") for e in edges), "c.mean", "c.bright_frac", kept.alias("kept"), (F.col("t.width") * F.col("t.height")).alias("n"))
+
+
+@query(f"""WITH t AS ({_TILES}), v AS (SELECT vec_id, list_transform(p, lambda x: x * 2 + 1) AS s, CASE WHEN vec_id % 3 = 0 THEN 150.0 ELSE 0.0 END AS width FROM t), e AS (SELECT *, CASE WHEN width > 0 THEN 100 - width / 2 ELSE list_min(s) END AS low, CASE WHEN width > 0 THEN 100 + width / 2 ELSE list_max(s) END AS high FROM v),
+  o AS (SELECT vec_id, list_transform(s, lambda x: (least(greatest(x, low), high) - low) / (high - low)) AS o FROM e)
+  SELECT vec_id, md5(array_to_string(list_transform(o, lambda x: floor(CASE WHEN vec_id % 2 = 0 THEN 1 - x ELSE x END * 255)::INTEGER), ',')) AS levels FROM o""")
+def window_levels(spark, d):
+    width = F.when(F.col("vec_id") % 3 == 0, 150.0).otherwise(0.0)
+    levels = I.windowed(F.col("p"), F.lit(2.0), F.lit(1.0), F.lit(100.0), width, F.col("vec_id") % 2 == 0)
+    return tiles(spark, d).select("vec_id", F.md5(F.array_join(levels.cast("array<string>"), ",")).alias("levels"))

@@ -86,3 +86,16 @@ def test_incomplete_beta_and_gamma(spark):
         f = lambda u: 2 * math.sin(u) ** (2 * r.a - 1) * math.cos(u) ** (2 * r.b - 1) if 0 < u < math.pi / 2 or min(r.a, r.b) >= 0.5 else 0.0
         area = sum((1 if k in (0, n) else 4 if k % 2 else 2) * f(top * k / n) for k in range(n + 1)) * top / n / 3
         assert abs(r.i - area / math.exp(math.lgamma(r.a) + math.lgamma(r.b) - math.lgamma(r.a + r.b))) < 1e-6, r
+
+
+def test_tiles_of_odd_shapes(spark):
+    from cathlight.functions import tiles as I
+
+    dark, spot = [0.0] * 12, [0.0] * 5 + [9.0, 0.0, 0.0, 0.0, 8.0, 0.0, 0.0]
+    df = spark.createDataFrame([(1, dark), (2, spot), (3, []), (4, None), (5, [200.0, None, 240.0, 300.0])], "id long, p array<double>")
+    p, w = F.col("p"), F.lit(4)
+    got = {r.id: r for r in df.select("id", I.bounding_box(p, w, 5).alias("b"), I.border_runs(p, w, 5).alias("r"), I.trimmed(p, w, 5).alias("t"), I.active_statistics(p).alias("s"), I.cropped_statistics(p, w, 0.3).alias("c"), I.windowed(p, F.lit(0.0), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(True)).alias("l")).collect()}
+    assert got[1].b is None and tuple(got[1].r) == (3, 3, 4, 4) and got[1].t.pixels == dark and got[1].s is None and got[1].l == [255] * 12
+    assert tuple(got[2].b) == (1, 2, 1, 1) and tuple(got[2].r) == (1, 0, 1, 2) and (got[2].t.width, got[2].t.height, got[2].t.pixels) == (1, 2, [9.0, 8.0]) and tuple(got[2].c) == (4.5, 0.0) and got[2].l[5] == 0
+    assert got[3].b is None and got[3].s is None and got[4].b is None and got[4].s is None
+    assert (got[5].s.active_frac, got[5].s.bright_frac, got[5].s.entropy) == (0.75, 2 / 3, 1.0) and abs(got[5].s.std - np.std([200, 240, 300])) < 1e-9
