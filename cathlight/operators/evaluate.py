@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .quantiles import wide_quantiles
 
@@ -165,18 +168,29 @@ def streak(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return marked.withColumn("since", F.col("_at") - F.max("_hit").over(upto)).drop("_prior", "_at", "_hit")
 
 
-def bootstrap_delta(df: DataFrame, truth: str, first: str, second: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
-    """delta of accuracy and its 95 % bounds over replicates with Poisson weights, which need no resampling pass a replicate.
+@F.pandas_udf(DoubleType())
+def _resampled(replicate: pd.Series, seed: pd.Series, n: pd.Series, up: pd.Series, down: pd.Series) -> pd.Series:
+    """The difference of accuracies of one resample: how often it draws a row of each kind is multinomial, and that is a binomial of all draws, then one of those left."""
 
-    Rows are first reduced to their three possible differences (-1, 0, 1), so a replicate draws from counts.
+    def one(r, s, n, up, down):
+        rng = np.random.default_rng([s, r])
+        a = rng.binomial(n, up / n)
+        b = rng.binomial(n - a, down / (n - up)) if n > up else 0
+        return (a - b) / n
+
+    return pd.Series([one(*x) for x in zip(replicate, seed, n, up, down)], dtype="float64")
+
+
+def bootstrap_delta(df: DataFrame, truth: str, first: str, second: str, replicates: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Both accuracies, the mean difference (first less second) over resamples of all rows, its percentile bounds and whether they leave out 0.
+
+    Rows matter only by their difference (1, 0 or -1), so a resample is one exact draw of three counts; the same seed gives the same bounds
+    however the replicates are dealt. Without rows there is no row.
     """
-    d = (F.col(first) == F.col(truth)).cast("int") - (F.col(second) == F.col(truth)).cast("int")
-    counts = df.groupBy(d.alias("d")).agg(F.count("*").alias("n")).agg(
-        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("d") == 1, F.col("n"))), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(F.col("d") == -1, F.col("n"))), F.lit(0)).alias("down")
-    )
-    # sums of Poisson weights are Poisson; by a normal draw for each of the three counts
-    draw = lambda c, k: F.greatest(F.lit(0.0), F.col(c) + F.sqrt(F.col(c)) * F.randn(seed + k))
-    reps = counts.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumns({"u": draw("up", 1), "w": draw("down", 2), "same": F.col("n") - F.col("up") - F.col("down")})
-    reps = reps.withColumn("v", F.greatest(F.lit(0.0), F.col("same") + F.sqrt("same") * F.randn(seed + 3)))
-    delta = F.try_divide(F.col("u") - F.col("w"), F.col("u") + F.col("w") + F.col("v"))
-    return reps.agg(F.max(F.try_divide(F.col("up") - F.col("down"), F.col("n"))).alias("delta"), F.percentile(delta, F.lit(0.025)).alias("low"), F.percentile(delta, F.lit(0.975)).alias("high"))
+    hit = lambda c: (F.col(c) == F.col(truth)).cast("int")
+    d = hit(first) - hit(second)
+    counts = df.where(d.isNotNull()).agg(F.count("*").alias("n"), F.avg(hit(first).cast("double")).alias("first_accuracy"), F.avg(hit(second).cast("double")).alias("second_accuracy"), F.count_if(d == 1).alias("up"), F.count_if(d == -1).alias("down")).where("n > 0")
+    reps = df.sparkSession.range(replicates).join(F.broadcast(counts))  # one row
+    drawn = reps.withColumn("delta", _resampled("id", F.lit(seed), "n", "up", "down"))
+    got = drawn.groupBy("n", "up", "down", "first_accuracy", "second_accuracy").agg(F.avg("delta").alias("delta"), F.percentile("delta", F.lit(alpha / 2)).alias("low"), F.percentile("delta", F.lit(1 - alpha / 2)).alias("high"))
+    return got.withColumn("significant", F.when((F.col("low") > 0) | (F.col("high") < 0), "Yes").otherwise("No"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tiles as I
+from ..operators import evaluate as E
 from ..operators import fuzzy as Z
 from ..operators import generated as N
 from ..operators import quantiles as Q
@@ -160,3 +161,15 @@ def window_levels(spark, d):
     width = F.when(F.col("vec_id") % 3 == 0, 150.0).otherwise(0.0)
     levels = I.windowed(F.col("p"), F.lit(2.0), F.lit(1.0), F.lit(100.0), width, F.col("vec_id") % 2 == 0)
     return tiles(spark, d).select("vec_id", F.md5(F.array_join(levels.cast("array<string>"), ",")).alias("levels"))
+
+
+@query("""WITH p AS (SELECT toxic, (doc_id % 2)::INTEGER AS even, (n_chars > 800)::INTEGER AS long FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL)
+  SELECT count(*) AS n, count_if(even = toxic AND long <> toxic) AS up, count_if(even <> toxic AND long = toxic) AS down, avg((even = toxic)::INTEGER) AS first_accuracy, avg((long = toxic)::INTEGER) AS second_accuracy,
+  true AS mean_near, true AS bounds_near FROM p""")
+def bootstrap_bounds(spark, d):
+    """The counts, and whether mean and bounds lie where those of so many resamples do (five standard errors)."""
+    own = read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels").select("doc_id", "toxic"), "doc_id").where("toxic is not null")
+    got = E.bootstrap_delta(own.select("toxic", (F.col("doc_id") % 2).cast("int").alias("even"), (F.col("n_chars") > 800).cast("int").alias("long")), "toxic", "even", "long")
+    delta, sd = (F.col("up") - F.col("down")) / F.col("n"), F.sqrt((F.col("up") + F.col("down")) / F.col("n") - F.pow((F.col("up") - F.col("down")) / F.col("n"), F.lit(2.0))) / F.sqrt("n")
+    near = lambda c, at, errors: F.abs(F.col(c) - at) <= errors * sd / F.sqrt(F.lit(2000.0)) + 1 / F.col("n")
+    return got.select("n", "up", "down", "first_accuracy", "second_accuracy", near("delta", delta, 5.0).alias("mean_near"), (near("low", delta - 1.96 * sd, 15.0) & near("high", delta + 1.96 * sd, 15.0)).alias("bounds_near"))

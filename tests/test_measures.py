@@ -99,3 +99,21 @@ def test_tiles_of_odd_shapes(spark):
     assert tuple(got[2].b) == (1, 2, 1, 1) and tuple(got[2].r) == (1, 0, 1, 2) and (got[2].t.width, got[2].t.height, got[2].t.pixels) == (1, 2, [9.0, 8.0]) and tuple(got[2].c) == (4.5, 0.0) and got[2].l[5] == 0
     assert got[3].b is None and got[3].s is None and got[4].b is None and got[4].s is None
     assert (got[5].s.active_frac, got[5].s.bright_frac, got[5].s.entropy) == (0.75, 2 / 3, 1.0) and abs(got[5].s.std - np.std([200, 240, 300])) < 1e-9
+
+
+def test_bootstrap_against_full_resampling(spark):
+    from cathlight.operators import evaluate as E
+
+    rng = np.random.default_rng(4)
+    truth, a, b = rng.integers(0, 2, 300), rng.integers(0, 2, 300), rng.integers(0, 2, 300)
+    a = np.where(rng.random(300) < 0.4, truth, a)
+    df = spark.createDataFrame([tuple(map(int, r)) for r in zip(truth, a, b)] + [(None, 1, 0)], "t int, a int, b int")
+    got = E.bootstrap_delta(df, "t", "a", "b", seed=5).first()
+    d = (a == truth).astype(int) - (b == truth).astype(int)
+    full = d[rng.integers(0, 300, (4000, 300))].mean(axis=1)
+    assert got.n == 300 and abs(got.delta - full.mean()) < 0.004 and abs(got.low - np.quantile(full, 0.025)) < 0.015 and abs(got.high - np.quantile(full, 0.975)) < 0.015 and got.significant == "Yes"
+    assert tuple(got) == tuple(E.bootstrap_delta(df.repartition(7), "t", "a", "b", seed=5).first()) and got.low != E.bootstrap_delta(df, "t", "a", "b", seed=6).first().low
+    same = E.bootstrap_delta(df.where("a = t"), "t", "a", "a").first()
+    assert (same.delta, same.low, same.high, same.significant) == (0.0, 0.0, 0.0, "No") and E.bootstrap_delta(df.limit(0), "t", "a", "b").count() == 0
+    sure = E.bootstrap_delta(df.where("a = t").withColumn("b", 1 - F.col("t")), "t", "a", "b").first()
+    assert (sure.delta, sure.low, sure.high) == (1.0, 1.0, 1.0)
