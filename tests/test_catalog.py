@@ -1,6 +1,6 @@
 import pytest
 
-from cathlight.plans import catalog, cohorts, comparison, measures, ordering, records, streams, texts  # noqa: F401  the others add to the catalogue
+from cathlight.plans import catalog, cohorts, comparison, measures, ordering, pipelines, records, streams, texts  # noqa: F401  the others add to the catalogue
 from tests.oracle import DATA, duck, spark_rows
 
 
