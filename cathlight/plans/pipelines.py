@@ -12,7 +12,8 @@ from ..operators import curate as C
 from ..operators import records as R
 from ..operators import review as W
 from ..operators import stages as G
-from ..sources.scratch import folder_for
+from ..sources import unlike as U
+from ..sources.scratch import cut, folder_for
 from .catalog import query, read
 
 
@@ -80,3 +81,25 @@ def pipeline_manifest(spark, d):
     manifest = run(spark, d, f"{folder_for(spark)}/archive-{uuid.uuid4().hex[:12]}")
     rows = [(e["name"], e["status"], e.get("rows")) for e in manifest.values() if e["name"] != "cleaned"]
     return spark.createDataFrame(rows, "name string, status string, n long")  # a row a stage
+
+
+@query("""WITH c AS (SELECT c_nationkey AS n, count(*) AS customers, count(DISTINCT c_custkey) AS records, max(c_custkey) AS top FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1)
+  SELECT n, CASE n % 5 WHEN 1 THEN 'A' || n WHEN 2 THEN 'C' || n END AS accession, CASE n % 5 WHEN 1 THEN '2.' || customers WHEN 2 THEN '3.' || top END AS sop,
+  CASE n % 5 WHEN 0 THEN 'metadata_missing_accession' WHEN 3 THEN 'metadata_empty_or_bad_format' WHEN 4 THEN 'metadata_read_error:ParserError' ELSE 'ok' END AS status, CASE n % 5 WHEN 0 THEN records WHEN 1 THEN 1 ELSE 0 END AS records FROM c""")
+def metadata_of_files(spark, d):
+    """Customers written as one file of some form a nation, and read again."""
+    own, k = read(spark, d, "customer").where("c_nationkey is not null"), F.col("c_nationkey") % 5
+    sums = own.groupBy(F.col("c_nationkey").cast("long").alias("n")).agg(F.count("*").alias("customers"), F.max("c_custkey").alias("top"))
+    form = F.col("n") % 5
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    first = F.when(form == 0, F.array(F.lit("SOPInstanceUID,AccessionNumber,SeriesDate"))).when(form == 1, F.array(F.lit("Information,Value"), text("Accession Number,A", F.col("n")), text("sop_instance_uid,2.", F.col("customers"))))
+    first = first.when(form == 2, F.array(F.lit("k,v"), text("accession,C", F.col("n")), text("SOP instance uid,3.", F.col("top")))).when(form == 3, F.array(F.lit("Information,Value"))).otherwise(F.array(F.lit("a,b"), F.lit("1,2,3")))
+    wide = own.where(k == 0).select(F.col("c_nationkey").cast("long").alias("n"), (F.col("c_custkey") + 9).alias("i"), text("1.", F.col("c_custkey"), ",A", F.col("c_custkey"), ",").alias("line"))
+    lines = sums.select("n", F.posexplode(first).alias("i", "line")).unionByName(wide)
+    top = f"{folder_for(spark)}/metadata-{uuid.uuid4().hex[:12]}"
+    lines.repartition("n").sortWithinPartitions("n", "i").select("n", "line").write.partitionBy("n").text(top)
+    rows = cut(U.read_each(spark, top, "part-*"))
+    number = lambda c: F.regexp_extract(c, "/n=([0-9]+)", 1).cast("long").alias("n")
+    records = U.metadata_records(rows).groupBy(number("path")).agg(F.count("*").alias("records"))
+    keys = U.metadata_keys(rows).select(number("folder"), "accession", "sop", F.regexp_replace("status", r"\(.*", "").alias("status"))
+    return keys.join(records, "n", "left").select("n", "accession", "sop", "status", F.coalesce("records", F.lit(0)).alias("records"))
