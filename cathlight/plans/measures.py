@@ -8,6 +8,7 @@ from ..functions import tiles as I
 from ..operators import evaluate as E
 from ..operators import fuzzy as Z
 from ..operators import generated as N
+from ..operators import probes as B
 from ..operators import quantiles as Q
 from ..operators import significance as G
 from .catalog import query, read
@@ -173,3 +174,33 @@ def bootstrap_bounds(spark, d):
     delta, sd = (F.col("up") - F.col("down")) / F.col("n"), F.sqrt((F.col("up") + F.col("down")) / F.col("n") - F.pow((F.col("up") - F.col("down")) / F.col("n"), F.lit(2.0))) / F.sqrt("n")
     near = lambda c, at, errors: F.abs(F.col(c) - at) <= errors * sd / F.sqrt(F.lit(2000.0)) + 1 / F.col("n")
     return got.select("n", "up", "down", "first_accuracy", "second_accuracy", near("delta", delta, 5.0).alias("mean_near"), (near("low", delta - 1.96 * sd, 15.0) & near("high", delta + 1.96 * sd, 15.0)).alias("bounds_near"))
+
+
+_HYP = "SELECT vec_id, label, embedding AS s, list_reverse(embedding) AS q, list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE 0 END) AS y, list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN 0 ELSE x * abs(x) END) AS n FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings WHERE len(embedding) = 64)"
+
+
+def hypotheses(spark, d):
+    """Embeddings with a question and two hypotheses made of them."""
+    own = read(spark, d, "embeddings").where(F.size("embedding") == 64).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("s"))
+    return own.select("*", F.reverse("s").alias("q"), F.transform("s", lambda x, i: F.when(i % 2 == 0, x).otherwise(0.0)).alias("y"), F.transform("s", lambda x, i: F.when(i % 2 == 0, 0.0).otherwise(x * F.abs(x))).alias("n"))
+
+
+@query(f"""WITH h AS ({_HYP}), f AS (SELECT vec_id, 'concat' AS mode, list_concat(s, q) AS x FROM h UNION ALL SELECT vec_id, 'interact', list_concat(list_concat(s, q), list_transform(list_zip(s, q), lambda p: p[1] * p[2])) FROM h
+    UNION ALL SELECT vec_id, 'hyp', list_concat(list_concat(s, list_transform(list_zip(s, y), lambda p: p[1] * p[2])), list_concat(list_transform(list_zip(s, n), lambda p: p[1] * p[2]), [list_dot_product(s, y), list_dot_product(s, n), list_dot_product(s, y) - list_dot_product(s, n)])) FROM h
+    UNION ALL SELECT vec_id, 'dmargin', [m - median(m) OVER (PARTITION BY label)] FROM (SELECT vec_id, label, list_dot_product(s, y) - list_dot_product(s, n) AS m FROM h))
+  SELECT vec_id, mode, len(x)::INTEGER AS size, round(list_sum(x), 9) AS total, round(list_sum(list_transform(x, lambda v, i: v * i)), 7) AS placed FROM f""")
+def probe_features(spark, d):
+    own, (s, q, y, n) = hypotheses(spark, d), map(F.col, "sqyn")
+    modes = F.array(*(F.struct(F.lit(m).alias("mode"), B.feature_mode(m, s, q, y, n).alias("x")) for m in ("concat", "interact", "hyp")))
+    margin = B.margin_feature(own, "label", s, y, n, "x").select("vec_id", F.lit("dmargin").alias("mode"), "x")
+    x = own.select("vec_id", F.inline(modes)).unionByName(margin)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
+    return x.select("vec_id", "mode", F.size("x").alias("size"), F.round(total(F.col("x")), 9).alias("total"), F.round(total(F.transform("x", lambda v, i: v * (i + 1))), 7).alias("placed"))
+
+
+@query()
+def perceptron_probe(spark, d):
+    """Toxic or not from embeddings of the same id: scaling, components and perceptron are fitted inside each of three folds."""
+    x = B.feature_mode("interact", F.col("s"), F.col("q"), F.col("y"), F.col("n"))
+    own = hypotheses(spark, d).select("vec_id", x.alias("x")).join(read(spark, d, "labels").select(F.col("doc_id").alias("vec_id"), "toxic"), "vec_id")
+    return B.fold_summary(B.out_of_fold(own.withColumn("g", F.col("vec_id") % 40), "x", "toxic", "g", 3, learner=B.perceptron(16)), "toxic")
