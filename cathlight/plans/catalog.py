@@ -43,6 +43,16 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, d: str, values: str, columns: str, n: int) -> DataFrame:
+    """Each event with one of n given rows, by its id."""
+    listed = spark.sql(f"SELECT * FROM VALUES {values} AS v({columns})")
+    return read(spark, d, "events").select((F.col("event_id") % n + 1).cast("int").alias("i")).join(F.broadcast(listed), "i")  # n rows
+
+
+def dealt_sql(sql: str, n: int) -> str:
+    return f"SELECT q.*, n FROM ({sql}) q JOIN (SELECT (event_id % {n} + 1)::INTEGER AS i, count(*) AS n FROM events GROUP BY 1) USING (i)"
+
+
 # -- archive statistics and cohort queries
 
 
@@ -189,14 +199,15 @@ _TIDY = "lower(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')))"
 _ANSWERS = "(VALUES (1, NULL), (2, 'Yes'), (3, ' positive '), (4, 'Not visible'), (5, 'maybe'), (6, 'not present'), (7, 'Yes.'), (8, 'Unclear, cannot determine'), (9, 'no, but yes'), (10, '1.0'), (11, '2'), (12, 'stenosis'), (13, 'No - x'), (14, 'n'))"
 
 
-@query(f"""WITH a AS (SELECT i, raw, {_TIDY.format(c="raw")} AS t FROM {_ANSWERS} v(i, raw))
+@query(dealt_sql(f"""WITH a AS (SELECT i, raw, {_TIDY.format(c="raw")} AS t FROM {_ANSWERS} v(i, raw))
   SELECT i, t AS tidy, CASE WHEN {A.clause_of("t", A.TRUE_TERMS)} THEN 'YES' WHEN {A.clause_of("t", A.UNSURE + A.FALSE_TERMS)} THEN 'NO' WHEN contains(t, 'yes') OR contains(t, 'present') OR contains(t, 'positive') THEN 'YES' ELSE 'NO' END AS truth,
   CASE WHEN t IN ('yes', 'y') THEN 'YES' WHEN {A.clause_of("t", A.UNSURE + ["n"])} THEN 'NO' WHEN contains(t, 'yes') THEN 'YES' ELSE 'NO' END AS model,
   CASE WHEN {A.clause_of("t", A.BINARY_TERMS)} OR coalesce(try_cast(t AS DOUBLE) = 1, false) THEN 1 ELSE 0 END AS bin,
-  CASE WHEN regexp_extract(t, '^([a-z0-9]+)', 1) IN ('yes', 'y', 'true', '1') THEN 'yes' WHEN regexp_extract(t, '^([a-z0-9]+)', 1) IN ('no', 'n', 'false', '0') THEN 'no' END AS token FROM a""")
+  CASE WHEN regexp_extract(t, '^([a-z0-9]+)', 1) IN ('yes', 'y', 'true', '1') THEN 'yes' WHEN regexp_extract(t, '^([a-z0-9]+)', 1) IN ('no', 'n', 'false', '0') THEN 'no' END AS token FROM a""", 14))
 def answer_normalise(spark, d):
     raw = F.col("raw")
-    return spark.sql(f"SELECT * FROM VALUES {_ANSWERS[8:-1]} AS v(i, raw)").select("i", A.tidy(raw).alias("tidy"), A.truth_answer(raw).alias("truth"), A.model_answer(raw).alias("model"), A.binary(raw).alias("bin"), A.first_token(raw).alias("token"))
+    told = dealt(spark, d, _ANSWERS[8:-1], "i, raw", 14).select("i", A.tidy(raw).alias("tidy"), A.truth_answer(raw).alias("truth"), A.model_answer(raw).alias("model"), A.binary(raw).alias("bin"), A.first_token(raw).alias("token"))
+    return told.groupBy("i", "tidy", "truth", "model", "bin", "token").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT role, count(*) AS n, sum(length(trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g')))) AS chars FROM conversations GROUP BY role""")
@@ -326,13 +337,13 @@ def set_collect(spark, d):
     return read(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("p_type")), ", ").alias("types"), F.count("*").alias("n"))
 
 
-_CRITERIA = """(1, '{"met":["I1","I2"],"failed":["E1"]}'), (2, '{"met":["I1"],"failed":[]}'), (3, '{"met":[],"failed":["E1","E2"]}')"""
+_CRITERIA = "'{\"met\":[\"I' || doc_id % 3 || '\",\"I' || n_chars % 4 || '\"],\"failed\":[' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '\"E' || n_chars % 2 || '\"' END || ']}'"
 
 
-@query(f"""WITH r AS (SELECT unnest(from_json(j, '{{"met":["VARCHAR"],"failed":["VARCHAR"]}}').met) AS c, 1 AS met, 0 AS failed FROM (VALUES {_CRITERIA}) v(i, j)
-  UNION ALL SELECT unnest(from_json(j, '{{"met":["VARCHAR"],"failed":["VARCHAR"]}}').failed), 0, 1 FROM (VALUES {_CRITERIA}) v(i, j)) SELECT c, sum(met)::BIGINT AS met, sum(failed)::BIGINT AS failed FROM r GROUP BY c""")
+@query(f"""WITH j AS (SELECT from_json({_CRITERIA}, '{{"met":["VARCHAR"],"failed":["VARCHAR"]}}') AS r FROM documents), c AS (SELECT unnest(r.met) AS c, 1 AS met, 0 AS failed FROM j UNION ALL SELECT unnest(r.failed), 0, 1 FROM j)
+  SELECT c, sum(met)::BIGINT AS met, sum(failed)::BIGINT AS failed FROM c GROUP BY c""")
 def checklist_array_counts(spark, d):
-    rows = spark.sql(f"SELECT from_json(j, 'met array<string>, failed array<string>') AS r FROM VALUES {_CRITERIA} AS v(i, j)")
+    rows = read(spark, d, "documents").select(F.from_json(F.expr(_CRITERIA), "met array<string>, failed array<string>").alias("r"))
     marks = rows.select(F.explode(F.concat(F.transform("r.met", lambda c: F.struct(c.alias("c"), F.lit(1).alias("m"))), F.transform("r.failed", lambda c: F.struct(c.alias("c"), F.lit(0).alias("m"))))).alias("x"))
     return marks.groupBy(F.col("x.c").alias("c")).agg(F.sum("x.m").alias("met"), F.sum(1 - F.col("x.m")).alias("failed"))
 
@@ -420,9 +431,10 @@ def calendar_zero_fill(spark, d):
 _DATES = "(1, '20240231', '09'), (2, '20241301', '0930'), (3, '2024-03-05', '093015.5'), (4, 'x', '09:30:15'), (5, '20240305', '2460'), (6, NULL, '093')"
 
 
-@query("SELECT * FROM (VALUES (1, 20240231, 32400000000), (2, NULL, 34200000000), (3, 20240305, 34215500000), (4, NULL, 34215000000), (5, 20240305, NULL), (6, NULL, NULL)) v(i, day, micros)")
+@query(dealt_sql("SELECT * FROM (VALUES (1, 20240231, 32400000000), (2, NULL, 34200000000), (3, 20240305, 34215500000), (4, NULL, 34215000000), (5, 20240305, NULL), (6, NULL, NULL)) v(i, day, micros)", 6))
 def date_time_keys(spark, d):
-    return spark.sql(f"SELECT * FROM VALUES {_DATES} AS v(i, a, b)").select("i", D.date_key(F.col("a")).alias("day"), D.time_key(F.col("b")).alias("micros"))
+    told = dealt(spark, d, _DATES, "i, a, b", 6).select("i", D.date_key(F.col("a")).alias("day"), D.time_key(F.col("b")).alias("micros"))
+    return told.groupBy("i", "day", "micros").agg(F.count("*").alias("n"))
 
 
 # -- review records and time windows
@@ -430,18 +442,20 @@ def date_time_keys(spark, d):
 _METRICS = "(1, 'Mean Dice coefficient'), (2, 'AUROC'), (3, 'accuracy (%)'), (4, 'RMSE'), (5, 'true positive rate'), (6, ''), (7, 'frame rate'), (8, 'IoU')"
 
 
-@query("SELECT * FROM (VALUES (1, 'Dice', 1, 'Overlap-based (F1/Dice)'), (2, 'AUC', 1, 'Ranking-based (AUC)'), (3, 'Accuracy', 1, 'Accuracy'), (4, 'RMSE', -1, 'Other'), (5, 'Sensitivity', 1, 'Other'), (6, 'Unknown', 1, 'Other'), (7, 'Frame Rate', 1, 'Other'), (8, 'IoU', 1, 'Overlap-based (IoU)')) v(i, name, polarity, family)")
+@query(dealt_sql("SELECT * FROM (VALUES (1, 'Dice', 1, 'Overlap-based (F1/Dice)'), (2, 'AUC', 1, 'Ranking-based (AUC)'), (3, 'Accuracy', 1, 'Accuracy'), (4, 'RMSE', -1, 'Other'), (5, 'Sensitivity', 1, 'Other'), (6, 'Unknown', 1, 'Other'), (7, 'Frame Rate', 1, 'Other'), (8, 'IoU', 1, 'Overlap-based (IoU)')) v(i, name, polarity, family)", 8))
 def metric_names(spark, d):
-    rows = spark.sql(f"SELECT * FROM VALUES {_METRICS} AS v(i, raw)")
-    return rows.select("i", W.metric(F.col("raw")).alias("m"), W.metric_family(F.col("raw")).alias("family")).select("i", "m.name", "m.polarity", "family")
+    rows = dealt(spark, d, _METRICS, "i, raw", 8)
+    told = rows.select("i", W.metric(F.col("raw")).alias("m"), W.metric_family(F.col("raw")).alias("family")).select("i", "m.name", "m.polarity", "family")
+    return told.groupBy("i", "name", "polarity", "family").agg(F.count("*").alias("n"))
 
 
 _GATES = "(1, 'pass', 'pass'), (2, 'fail', NULL), (3, 'pass', 'fail'), (4, 'uncertain', NULL), (5, NULL, NULL), (6, 'pass', 'uncertain'), (7, 'pass', NULL)"
 
 
-@query("SELECT * FROM (VALUES (1, 'INCLUDE', NULL, false), (2, 'EXCLUDE', 'inclusion', false), (3, 'EXCLUDE', 'exclusion', false), (4, 'UNCERTAIN', 'inclusion', true), (5, 'ERROR', 'inclusion', true), (6, 'UNCERTAIN', 'inclusion', true), (7, 'ERROR', 'exclusion', true)) v(i, decision, failed_at, flagged)")
+@query(dealt_sql("SELECT * FROM (VALUES (1, 'INCLUDE', NULL, false), (2, 'EXCLUDE', 'inclusion', false), (3, 'EXCLUDE', 'exclusion', false), (4, 'UNCERTAIN', 'inclusion', true), (5, 'ERROR', 'inclusion', true), (6, 'UNCERTAIN', 'inclusion', true), (7, 'ERROR', 'exclusion', true)) v(i, decision, failed_at, flagged)", 7))
 def screening_states(spark, d):
-    return W.screen(spark.sql(f"SELECT * FROM VALUES {_GATES} AS v(i, inclusion, exclusion)")).select("i", "decision", "failed_at", "flagged")
+    told = W.screen(dealt(spark, d, _GATES, "i, inclusion, exclusion", 7))
+    return told.groupBy("i", "decision", "failed_at", "flagged").agg(F.count("*").alias("n"))
 
 
 @query("""WITH c AS (SELECT lang, quality AS q, toxic AS t FROM documents JOIN labels USING (doc_id)), i AS (SELECT lang, 'good' AS item, q AS y FROM c UNION ALL SELECT lang, 'clean', 1 - t FROM c)
