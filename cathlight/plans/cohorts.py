@@ -12,9 +12,9 @@ from ..operators import order as O
 from .catalog import query, read
 
 
-@query("SELECT source, count(*) AS n FROM documents WHERE source LIKE '_%_e%' GROUP BY source")
+@query("SELECT source, count(*) AS n FROM documents WHERE source LIKE 's_c1%' GROUP BY source")
 def prefix_wildcard(spark, d):
-    return read(spark, d, "documents").where(F.col("source").like("_%_e%")).groupBy("source").agg(F.count("*").alias("n"))
+    return read(spark, d, "documents").where(F.col("source").like("s_c1%")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y%m%d') BETWEEN '19940101' AND '19961231' AND o_orderpriority IS NOT NULL GROUP BY o_orderstatus")
@@ -97,9 +97,9 @@ def list_overlap(spark, d):
     return H.any_listed(lists, "l_orderkey", "parts", allowed, "part").select("l_orderkey", F.size("parts").cast("long").alias("n"))
 
 
-@query("""SELECT a.conv_id, a.text AS original, coalesce(b.role, '-') AS variant, coalesce(b.text, '-') AS augmented FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.role <> 'user' WHERE a.role = 'user' AND a.conv_id % 10 < 5""")
+@query("""SELECT a.conv_id, a.text AS original, coalesce(b.role, '-') AS variant, coalesce(b.text, '-') AS augmented FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.role <> 'user' WHERE a.role = 'user'""")
 def original_and_augmented(spark, d):
-    return H.with_augmented(read(spark, d, "conversations").where("conv_id % 10 < 5"), "conv_id", "role", "text", "user")
+    return H.with_augmented(read(spark, d, "conversations"), "conv_id", "role", "text", "user")
 
 
 @query("""SELECT conv_id, bool_or(role = 'system') AND bool_or(role = 'user') AND bool_or(role = 'assistant') AS complete,
@@ -223,10 +223,10 @@ def kept_share(spark, d):
     return H.keep_share(read(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id", 0.03)
 
 
-@query("""WITH k AS (SELECT unnest(['system', 'user', 'tool', 'assistant']) AS r, unnest([1, 2, 3, 4]) AS i), c AS (SELECT DISTINCT conv_id FROM conversations), f AS (SELECT conv_id, role, max(substr(text, 1, 6)) AS t FROM conversations WHERE text IS NOT NULL GROUP BY ALL)
+@query("""WITH k AS (SELECT unnest(['system', 'user', 'tool', 'assistant']) AS r, unnest([1, 2, 3, 4]) AS i), c AS (SELECT DISTINCT conv_id FROM conversations), f AS (SELECT conv_id, role, substr(max(text), 1, 6) AS t FROM conversations WHERE text IS NOT NULL GROUP BY ALL)
   SELECT c.conv_id, string_agg(coalesce(f.t, 'n/a'), '|' ORDER BY i) AS row FROM c CROSS JOIN k LEFT JOIN f ON f.conv_id = c.conv_id AND f.role = k.r GROUP BY c.conv_id""")
 def fixed_key_list(spark, d):
-    per = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max(F.substring("text", 1, 6)).alias("t"))
+    per = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max("text").alias("t"))
     own = per.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "t"))).alias("m"))
     keys = F.array(*map(F.lit, ("system", "user", "tool", "assistant")))
     return own.select("conv_id", F.array_join(H.fixed_keys(F.col("m"), keys, "n/a", 6), "|").alias("row"))
@@ -299,9 +299,9 @@ def path_parts(spark, d):
     return read(spark, d, "pages").where("url is not null").select("page_id", T.parent(F.col("url")).alias("parent"), T.basename(F.col("url")).alias("base"))
 
 
-@query("""WITH y AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\\b((?:19|20)\\d{2})\\b', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 1990 AND 2035) AS y FROM documents WHERE text IS NOT NULL) SELECT len(y) AS years, count(*) AS n, min(y[1]) AS first_year FROM y GROUP BY 1""")
+@query("""WITH y AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text || CASE doc_id % 4 WHEN 0 THEN ' in 1997' WHEN 1 THEN ' 2003-2041, 1895 and 1993' WHEN 2 THEN ' 1989 2035' ELSE '' END, '\\b((?:19|20)\\d{2})\\b', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 1990 AND 2035) AS y FROM documents WHERE text IS NOT NULL) SELECT len(y) AS years, count(*) AS n, min(y[1]) AS first_year FROM y GROUP BY 1""")
 def years_in_text(spark, d):
     from ..functions import values as D
 
-    own = read(spark, d, "documents").where("text is not null").select(D.years_in(F.col("text")).alias("y"))
+    own = read(spark, d, "documents").where("text is not null").select(D.years_in(F.expr("text || CASE doc_id % 4 WHEN 0 THEN ' in 1997' WHEN 1 THEN ' 2003-2041, 1895 and 1993' WHEN 2 THEN ' 1989 2035' ELSE '' END")).alias("y"))
     return own.groupBy(F.size("y").cast("long").alias("years")).agg(F.count("*").alias("n"), F.min(F.get("y", F.lit(0))).alias("first_year"))

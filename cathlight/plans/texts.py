@@ -13,13 +13,14 @@ from .catalog import _TIDY, query, read
 
 quoted = lambda s: "'" + s.replace("'", "''") + "'"
 either = lambda patterns: quoted("|".join(f"(?:{p})" for p in patterns))
-_S = _TIDY.format(c="""regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^(?:"(.*)"|''(.*)'')$', '\\1\\2')""")
+_REPLY = "CASE (conv_id + turn) % 6 WHEN 0 THEN 'No evidence of stenosis: ' || text WHEN 1 THEN text || ' is seen' WHEN 2 THEN ' Yes' WHEN 3 THEN 'Not stated. ' || text WHEN 4 THEN '\"n\"' ELSE text END"
+_S = _TIDY.format(c="""regexp_replace(regexp_replace(reply, '^\\s+|\\s+$', '', 'g'), '^(?:"(.*)"|''(.*)'')$', '\\1\\2')""")
 
 
-@query(f"""WITH t AS (SELECT {_S} AS s FROM conversations) SELECT CASE WHEN s IN ('', 'na', 'n/a', 'n\\a', 'none', 'null') OR regexp_matches(s, {either(A.NA_PHRASES)}) THEN 'n/a' WHEN regexp_matches(s, {either(A.NO_PHRASES)}) THEN 'no'
+@query(f"""WITH t AS (SELECT {_S} AS s FROM (SELECT {_REPLY} AS reply FROM conversations)) SELECT CASE WHEN s IN ('', 'na', 'n/a', 'n\\a', 'none', 'null') OR regexp_matches(s, {either(A.NA_PHRASES)}) THEN 'n/a' WHEN regexp_matches(s, {either(A.NO_PHRASES)}) THEN 'no'
   WHEN regexp_matches(s, {either(A.YES_PHRASES)}) THEN 'yes' WHEN regexp_matches(s, '\\bno\\b') AND regexp_matches(s, {quoted(A.NO_NEAR)}) THEN 'no' ELSE 'n/a' END AS label, count(*) AS n FROM t GROUP BY 1""")
 def strict_labels(spark, d):
-    return read(spark, d, "conversations").groupBy(A.strict_label(F.col("text")).alias("label")).agg(F.count("*").alias("n"))
+    return read(spark, d, "conversations").select(F.expr(_REPLY).alias("reply")).groupBy(A.strict_label(F.col("reply")).alias("label")).agg(F.count("*").alias("n"))
 
 
 _CASES = " ".join(f"WHEN {' OR '.join(f'contains(q, {quoted(n)})' for n in needles)} THEN {quoted(g)}" for g, needles in A.GROUPS)
