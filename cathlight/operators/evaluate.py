@@ -182,7 +182,7 @@ def _resampled(replicate: pd.Series, seed: pd.Series, n: pd.Series, up: pd.Serie
 
 
 def bootstrap_delta(df: DataFrame, truth: str, first: str, second: str, replicates: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Both accuracies, the mean difference (first less second) over resamples of all rows, its percentile bounds and whether they leave out 0.
+    """Both accuracies, their difference (first less second), its mean and percentile bounds over resamples of all rows, and whether these leave out 0.
 
     Rows matter only by their difference (1, 0 or -1), so a resample is one exact draw of three counts; the same seed gives the same bounds
     however the replicates are dealt. Without rows there is no row.
@@ -192,5 +192,6 @@ def bootstrap_delta(df: DataFrame, truth: str, first: str, second: str, replicat
     counts = df.where(d.isNotNull()).agg(F.count("*").alias("n"), F.avg(hit(first).cast("double")).alias("first_accuracy"), F.avg(hit(second).cast("double")).alias("second_accuracy"), F.count_if(d == 1).alias("up"), F.count_if(d == -1).alias("down")).where("n > 0")
     reps = df.sparkSession.range(replicates).join(F.broadcast(counts))  # one row
     drawn = reps.withColumn("delta", _resampled("id", F.lit(seed), "n", "up", "down"))
-    got = drawn.groupBy("n", "up", "down", "first_accuracy", "second_accuracy").agg(F.avg("delta").alias("delta"), F.percentile("delta", F.lit(alpha / 2)).alias("low"), F.percentile("delta", F.lit(1 - alpha / 2)).alias("high"))
+    got = drawn.groupBy("n", "up", "down", "first_accuracy", "second_accuracy").agg(F.avg("delta").alias("mean_delta"), F.percentile("delta", F.lit(alpha / 2)).alias("low"), F.percentile("delta", F.lit(1 - alpha / 2)).alias("high"))
+    got = got.withColumn("delta", (F.col("up") - F.col("down")) / F.col("n"))
     return got.withColumn("significant", F.when((F.col("low") > 0) | (F.col("high") < 0), "Yes").otherwise("No"))

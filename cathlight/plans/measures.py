@@ -173,7 +173,7 @@ def bootstrap_bounds(spark, d):
     got = E.bootstrap_delta(own.select("toxic", (F.col("doc_id") % 2).cast("int").alias("even"), (F.col("n_chars") > 800).cast("int").alias("long")), "toxic", "even", "long")
     delta, sd = (F.col("up") - F.col("down")) / F.col("n"), F.sqrt((F.col("up") + F.col("down")) / F.col("n") - F.pow((F.col("up") - F.col("down")) / F.col("n"), F.lit(2.0))) / F.sqrt("n")
     near = lambda c, at, errors: F.abs(F.col(c) - at) <= errors * sd / F.sqrt(F.lit(2000.0)) + 1 / F.col("n")
-    return got.select("n", "up", "down", "first_accuracy", "second_accuracy", near("delta", delta, 5.0).alias("mean_near"), (near("low", delta - 1.96 * sd, 15.0) & near("high", delta + 1.96 * sd, 15.0)).alias("bounds_near"))
+    return got.select("n", "up", "down", "first_accuracy", "second_accuracy", near("mean_delta", delta, 5.0).alias("mean_near"), (near("low", delta - 1.96 * sd, 15.0) & near("high", delta + 1.96 * sd, 15.0)).alias("bounds_near"))
 
 
 _HYP = "SELECT vec_id, label, embedding AS s, list_reverse(embedding) AS q, list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE 0 END) AS y, list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN 0 ELSE x * abs(x) END) AS n FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings WHERE len(embedding) = 64)"

@@ -9,5 +9,9 @@ def test_same_as_sql(spark, name):
     assert spark_rows(catalog.QUERIES[name](spark, DATA)) == duck(catalog.SQL[name])
 
 
+# what SQL can't say: matching blocks (against all pairs in test_generated.py) and a perceptron (in test_probes.py)
+BEYOND_SQL = {"fuzzy_part_names", "perceptron_probe"}
+
+
 def test_every_query_has_sql():
-    assert set(catalog.SQL) == set(catalog.QUERIES)
+    assert set(catalog.SQL) == set(catalog.QUERIES) - BEYOND_SQL

@@ -111,9 +111,9 @@ def test_bootstrap_against_full_resampling(spark):
     got = E.bootstrap_delta(df, "t", "a", "b", seed=5).first()
     d = (a == truth).astype(int) - (b == truth).astype(int)
     full = d[rng.integers(0, 300, (4000, 300))].mean(axis=1)
-    assert got.n == 300 and abs(got.delta - full.mean()) < 0.004 and abs(got.low - np.quantile(full, 0.025)) < 0.015 and abs(got.high - np.quantile(full, 0.975)) < 0.015 and got.significant == "Yes"
+    assert got.n == 300 and got.delta == d.mean() and abs(got.mean_delta - full.mean()) < 0.004 and abs(got.low - np.quantile(full, 0.025)) < 0.015 and abs(got.high - np.quantile(full, 0.975)) < 0.015 and got.significant == "Yes"
     assert tuple(got) == tuple(E.bootstrap_delta(df.repartition(7), "t", "a", "b", seed=5).first()) and got.low != E.bootstrap_delta(df, "t", "a", "b", seed=6).first().low
     same = E.bootstrap_delta(df.where("a = t"), "t", "a", "a").first()
-    assert (same.delta, same.low, same.high, same.significant) == (0.0, 0.0, 0.0, "No") and E.bootstrap_delta(df.limit(0), "t", "a", "b").count() == 0
+    assert (same.delta, same.mean_delta, same.low, same.high, same.significant) == (0.0, 0.0, 0.0, 0.0, "No") and E.bootstrap_delta(df.limit(0), "t", "a", "b").count() == 0
     sure = E.bootstrap_delta(df.where("a = t").withColumn("b", 1 - F.col("t")), "t", "a", "b").first()
-    assert (sure.delta, sure.low, sure.high) == (1.0, 1.0, 1.0)
+    assert (sure.delta, sure.mean_delta, sure.low, sure.high) == (1.0, 1.0, 1.0, 1.0)

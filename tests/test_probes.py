@@ -27,3 +27,12 @@ def test_a_fold_changes_no_prediction_of_its_own_rows(spark):
     other = df.withColumn("x", F.when((F.col("id") != some) & F.col("id").isin([i for i, (f, _) in first.items() if f == 0]), F.transform("x", lambda v: v * 1000 + 7)).otherwise(F.col("x"))).withColumn("y", F.when(F.col("id") == some, 1 - F.col("y")).otherwise(F.col("y")))
     again = {r.id: r.probability for r in B.out_of_fold(other, "x", "y", "g", 3, learner=B.perceptron(4)).collect()}
     assert again[some] == first[some][1]
+
+
+def test_the_query_reads_all_labelled_embeddings(spark):
+    from cathlight.plans import measures
+    from tests.oracle import DATA, duck
+
+    got = measures.perceptron_probe(spark, DATA).first()
+    n, yes = duck("SELECT count(*) AS a, sum(toxic) AS b FROM embeddings JOIN labels ON vec_id = doc_id WHERE len(embedding) = 64 AND toxic IS NOT NULL")[1][0]
+    assert (got.n, got.folds) == (n, 3) and abs(got.majority - max(yes, n - yes) / n) < 1e-12 and 0.5 < got.accuracy <= 1 and 0 <= got.f1 <= 1
