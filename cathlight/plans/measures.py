@@ -55,12 +55,12 @@ _PAIRED = f"""WITH RECURSIVE w AS (SELECT 0 AS k, [1.0::DOUBLE] AS ways UNION AL
   p AS (SELECT g.*, mean_delta / nullif(sd, 0) * sqrt(n_pairs) AS t, n_pairs - 1 AS f, n, least, CASE WHEN n <= 50 AND zeros = 0 AND NOT tied THEN least(1.0, 2 * list_sum(ways[1:floor(least)::INTEGER + 1]) / 2 ^ n)
     WHEN n > 0 THEN least(1.0, (1 / (1 + 0.5 * z)) * exp(-z * z + {_ERFC.replace('t *', '(1 / (1 + 0.5 * z)) *')})) END AS p_wilcoxon FROM g LEFT JOIN e USING (metric) LEFT JOIN w ON k = n),
   q AS (SELECT *, {_T_TAIL} AS p_ttest FROM p)
-  SELECT metric, polarity, n_pairs, round(mean_with, 4) AS mean_with, round(mean_without, 4) AS mean_without, round(mean_delta, 4) AS mean_delta, round(pct, 1) AS pct_improvement, least AS statistic,
+  SELECT metric, polarity, n_pairs, round(mean_with, 7) AS mean_with, round(mean_without, 7) AS mean_without, round(mean_delta, 7) AS mean_delta, round(pct, 1) AS pct_improvement, least AS statistic,
   round(p_ttest, 4) AS p_ttest, round(p_wilcoxon, 4) AS p_wilcoxon, CASE WHEN coalesce(p_wilcoxon < 0.05, false) OR coalesce(p_ttest < 0.05, false) THEN 'Yes' ELSE 'No' END AS significant FROM q"""
 
 
 def _paired(pairs):
-    places = {"mean_with": 4, "mean_without": 4, "mean_delta": 4, "pct_improvement": 1, "p_ttest": 4, "p_wilcoxon": 4}
+    places = {"mean_with": 7, "mean_without": 7, "mean_delta": 7, "pct_improvement": 1, "p_ttest": 4, "p_wilcoxon": 4}
     return G.paired_tests(pairs, "metric", "with_value", "without_value", "polarity").withColumns({c: F.round(c, k) for c, k in places.items()}).select("metric", "polarity", "n_pairs", "mean_with", "mean_without", "mean_delta", "pct_improvement", "statistic", "p_ttest", "p_wilcoxon", "significant")
 
 

@@ -15,10 +15,10 @@ def rows_in_order(spark, d):
 
 
 @query("""SELECT l_orderkey, l_linenumber, place, items, items / sum(q) OVER () AS share FROM (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q,
-  row_number() OVER w AS place, (sum(l_quantity::BIGINT) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS items FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber))""")
+  row_number() OVER w AS place, (sum(l_quantity::BIGINT) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS items FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity))""")
 def running_quantities(spark, d):
-    own = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.col("l_quantity").cast("bigint").alias("q"))
-    return O.running(own, "l_shipdate", "l_orderkey", "l_linenumber", sums={"items": "q"}).select("l_orderkey", "l_linenumber", "place", "items", (F.col("items") / F.col("items_total")).alias("share"))
+    own = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))
+    return O.running(own, "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q", sums={"items": "q"}).select("l_orderkey", "l_linenumber", "place", "items", (F.col("items") / F.col("items_total")).alias("share"))
 
 
 _UID = "md5(source || n_chars % 97)"
