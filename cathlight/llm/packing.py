@@ -18,6 +18,7 @@ result is planned.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,21 +34,32 @@ from .common import Scratch, table
 
 WINDOW, END_ID, SHARD = 1024, 0, 2048
 K1, B = 1.2, 0.75
+STEP, CELLS = 2.0**-36, 1 << 24
 MEMO = 1_500_000
+PLAIN = re.compile("[ ]?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[!-/:-@\\[-`{-~]+)")
+_codes = np.arange(256)
+LETTER = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+SIGN = (_codes > 32) & (_codes < 127) & ~LETTER
+LATIN = (_codes >= 0xC3) & (_codes <= 0xC5)  # first bytes of U+00C0 to U+017F
+ALPHABET = _codes.astype("<u4")  # of byte-level tokenizers: printable bytes are themselves, the others count from 256
+ALPHABET[(_codes < 33) | (_codes > 126) & (_codes < 161) | (_codes == 173)] = np.arange(256, 256 + 68)
+ALPHABET[10] = 10  # but for ends of lines, which part words here
 _memos: dict[str, K.Memo] = {}
 _tokenizers: dict[str, tuple] = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer, and which ids begin with a space."""
+    """The tokenizer, which ids begin with a space, and its merges alone, for lines of the alphabet of bytes."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         coder = Tokenizer.from_file(path)
         spaced = np.zeros(coder.get_vocab_size(), bool)
         spaced[[i for t, i in coder.get_vocab().items() if t.startswith("\u0120")]] = True
-        _tokenizers[path] = coder, spaced
+        merges = Tokenizer.from_file(path)
+        merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        _tokenizers[path] = coder, spaced, merges
     return _tokenizers[path]
 
 
@@ -75,29 +87,75 @@ def odd_spacing(texts: K.Texts) -> np.ndarray:
     return out
 
 
-def encode_words(words: list[str], path: str) -> list[bytes]:
-    """The ids of each word after a space; many at a time, parted where a token begins with a space."""
-    coder, spaced = tokenizer(path)
-    groups = [words[a : a + 256] for a in range(0, len(words), 256)]
-    out: list[bytes] = []
-    for own, found in zip(groups, coder.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+class Parts(K.Words):
+    """Parts of texts that the tokenizer never joins, in texts whose white space stands alone.
+
+    One begins at each space, before and after each end of a line, and at an ASCII sign after an ASCII
+    letter or digit or a Latin letter of two bytes.
+    """
+
+    def __init__(self, texts: K.Texts):
+        raw = self.bytes = texts.bytes
+        line, ends = raw == 10, LETTER[raw]
+        ends[1:] |= LATIN[raw[:-1]] & ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))  # not the signs of multiplication and division
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[:-1] = (raw == 32) | line
+        cut[1:] |= line
+        cut[1:-1] |= ends[:-1] & SIGN[raw[1:]]
+        cut[texts.start] = True
+        self.begin = np.flatnonzero(cut[:-1])
+        self.end = np.append(self.begin[1:], len(raw))
+        self.first = np.searchsorted(self.begin, texts.start)
+        self.count = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(self.count)), self.count)
+
+
+def encode_parts(parts: list[str], path: str) -> list[bytes]:
+    """The ids of each part, many at a time.
+
+    Letters alone and signs alone, with or without a space before them, are not cut further by the tokenizer:
+    they go to its merges in the alphabet of bytes, with a carriage return, which none of them holds, between two.
+    Others that begin with a space go to the tokenizer in one text, cut where a token begins with a space.
+    """
+    coder, spaced, merges = tokenizer(path)
+    plain = [PLAIN.fullmatch(p) is not None for p in parts]
+    out = [b""] * len(parts)
+
+    def keep(group: list[int], ids: np.ndarray, first: np.ndarray) -> None:
+        raw, cut = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+        for i, a, b in zip(group, cut[:-1], cut[1:]):
+            out[i] = raw[a:b]
+
+    def groups(own: list[int]) -> list[list[int]]:
+        return [own[a : a + 256] for a in range(0, len(own), 256)]
+
+    some = groups([i for i, p in enumerate(plain) if p])
+    lines = [ALPHABET[np.frombuffer("\n\r\n".join([parts[i] for i in g]).encode(), np.uint8)].tobytes().decode("utf-32-le") for g in some]
+    stop = coder.token_to_id(chr(ALPHABET[13]))
+    for g, found in zip(some, merges.encode_batch_fast(lines, add_special_tokens=False)):
+        ids = np.array(found.ids, "<u4")
+        at = np.flatnonzero(ids == stop)
+        keep(g, np.delete(ids, at), np.concatenate([[0], at - np.arange(len(at))]))
+    alone = [i for i, p in enumerate(plain) if not p and parts[i][0] != " "]
+    some = groups([i for i, p in enumerate(plain) if not p and parts[i][0] == " "])
+    for g, found in zip(some, coder.encode_batch_fast(["".join([parts[i] for i in g]) for g in some], add_special_tokens=False)):
         ids = np.array(found.ids, "<u4")
         first = np.flatnonzero(spaced[ids])
-        if len(first) != len(own):
-            out += [np.array(x.ids, "<u4").tobytes() for x in coder.encode_batch_fast([" " + w for w in own], add_special_tokens=False)]
-            continue
-        raw = ids.tobytes()
-        cut = [*(4 * first).tolist(), len(raw)]
-        out += [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        if len(first) == len(g):
+            keep(g, ids, first)
+        else:
+            alone += g
+    for i, found in zip(alone, coder.encode_batch_fast([parts[i] for i in alone], add_special_tokens=False)):
+        out[i] = np.array(found.ids, "<u4").tobytes()
     return out
 
 
 def encode(column: pa.Array, path: str) -> list[bytes]:
     """The ids (32-bit, little-endian) of each text.
 
-    The tokenizer splits at a single space between two other characters whatever surrounds them, so
-    words are encoded once and remembered; a text with any other run of white space, or with a word
-    whose hash is another word's, is encoded whole.
+    The tokenizer cuts a text between its Parts whatever surrounds them, so parts are encoded once and
+    remembered; a text with white space side by side, at an end or beyond ASCII, with a special token, or with a part
+    whose hash is another part's, is encoded whole.
     """
     coder = tokenizer(path)[0]
     if path not in _memos:
@@ -106,34 +164,33 @@ def encode(column: pa.Array, path: str) -> list[bytes]:
     if memo.n > MEMO:
         memo.clear()
     texts = K.Texts(column)
-    whole = odd_spacing(texts) | (np.diff(texts.start) == 0)
-    words = K.Words(texts, lower=False, blank=K.SPACE_ALONE)
-    after = np.ones(len(words.begin), bool)  # words after a text's first
-    after[words.first[:-1][words.count > 0]] = False
-    after &= ~whole[words.doc]
-    own = np.flatnonzero(after)
-    h = words.hashes()[own] | np.uint64(1)
+    whole = odd_spacing(texts)
+    for token in coder.get_added_tokens_decoder().values():
+        whole |= np.asarray(pa.compute.match_substring(column, token.content))
+    parts = Parts(texts)
+    own = np.flatnonzero(~whole[parts.doc])
+    h = parts.hashes()[own] | np.uint64(1)
     number = memo.find(h).astype(np.int64)
     miss = np.flatnonzero(number < 0)
     if len(miss):
         new, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
         raw = texts.bytes.tobytes()
         at = own[miss[first]]
-        fresh = [raw[a:b] for a, b in zip(words.begin[at].tolist(), words.end[at].tolist())]
-        coded = encode_words([w.decode() for w in fresh], path)
+        fresh = [raw[a:b] for a, b in zip(parts.begin[at].tolist(), parts.end[at].tolist())]
+        coded = encode_parts([p.decode() for p in fresh], path)
         number[miss] = memo.add(new, np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4, fresh)[inverse]
-    clash = memo.differ(words, own, number)  # words that share a hash with another word
+    clash = memo.differ(parts, own, number)  # parts that share a hash with another part
     if clash.any():
-        whole[words.doc[own[clash]]] = True
-        kept = ~whole[words.doc[own]]
+        whole[parts.doc[own[clash]]] = True
+        kept = ~whole[parts.doc[own]]
         own, number = own[kept], number[kept]
     ids, begin = memo.ids(number)
-    cut = 4 * begin[np.searchsorted(own, words.first)]
-    raw_ids = ids.tobytes()
-    strings = column.to_pylist()
-    heads = [t if w else t.split(" ", 1)[0] for t, w in zip(strings, whole.tolist())]
-    coded = coder.encode_batch_fast(heads, add_special_tokens=False)
-    return [np.array(head.ids, "<u4").tobytes() + raw_ids[a:b] for head, a, b in zip(coded, cut[:-1].tolist(), cut[1:].tolist())]
+    raw_ids, cut = ids.tobytes(), (4 * begin[np.searchsorted(own, parts.first)]).tolist()
+    out = [raw_ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    some = np.flatnonzero(whole)
+    for i, found in zip(some.tolist(), coder.encode_batch_fast(column.take(pa.array(some)).to_pylist(), add_special_tokens=False)):
+        out[i] = np.array(found.ids, "<u4").tobytes()
+    return out
 
 
 class Corpus:
@@ -152,25 +209,57 @@ class Corpus:
 
 
 class Shard:
-    """BM25 over the tails of one shard; retrieve() sees the unused ones only."""
+    """BM25 over the tails of one shard; retrieve() sees the unused ones only.
+
+    Tokens of more than an eighth of the tails are weighed for all tails at once, by products of
+    matrices; the others are read from their lists. Weights are whole multiples of STEP, so sums of up
+    to 2^11 of them are exact, whatever the order in which they are added.
+    """
 
     def __init__(self, tails: list[np.ndarray], corpus: Corpus):
         n = len(tails)
         size = np.array([len(t) for t in tails], np.int64)
         key, tf = np.unique(np.concatenate(tails).astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
-        term, self.doc = key // n, key % n
-        self.first = np.searchsorted(term, np.arange(int(term.max()) + 2))
-        self.weight = corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (size / corpus.mean)[self.doc]))
+        term, doc = key // n, key % n
+        weight = corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (size / corpus.mean)[doc]))
+        weight = np.ceil(weight / STEP) * STEP
+        df = np.bincount(term)
+        often = df > max(n // 8, 32)
+        self.column = np.where(often, np.cumsum(often) - 1, -1)  # of a frequent token
+        some = often[term]
+        self.common = np.zeros((int(often.sum()), n))
+        self.common[self.column[term[some]], doc[some]] = weight[some]
+        self.doc, self.weight = doc[~some], weight[~some]
+        self.first = np.concatenate([[0], np.cumsum(np.where(often, 0, df))])
         self.n, self.unused = n, np.ones(n, bool)
+        self.shared = np.zeros((min(n, CELLS // n), n))  # scores by frequent tokens of the first tails, all of them in a shard of the usual size
+        for c in range(0, len(self.common), 512):
+            own = self.common[c : c + 512]
+            self.shared += (own[:, : len(self.shared)] > 0).T.astype(float) @ own
 
-    def retrieve(self, query: np.ndarray) -> np.ndarray:
+    def score(self, query: np.ndarray, tail: int | None = None) -> np.ndarray:
+        """Of each tail for a query, which may be a tail of the shard."""
         terms = np.unique(query)
         a, b = self.first[terms], self.first[terms + 1]
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(int((b - a).sum()))
-        doc, weight = self.doc[at], self.weight[at]
-        score = np.bincount(doc, weight, self.n)
+        a, size = a[b > a], (b - a)[b > a]
+        at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        out = np.bincount(self.doc[at], self.weight[at], self.n)
+        if tail is not None and tail < len(self.shared):
+            return out + self.shared[tail]
+        column = self.column[terms]
+        return out + self.common[column[column >= 0]].sum(axis=0)
+
+    def best(self, score: np.ndarray) -> Iterator[int]:
+        """The tails unused by now that share a token with the query, best first, equal ones in the shard's order; sorted 64 at a time."""
         found = np.flatnonzero((score > 0) & self.unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        while len(found):
+            own = score[found]
+            top = own >= np.partition(own, -64)[-64] if len(own) > 64 else np.ones(len(own), bool)
+            yield from found[top][np.argsort(-own[top], kind="stable")].tolist()
+            found = found[~top]
+
+    def retrieve(self, query: np.ndarray) -> np.ndarray:
+        return np.fromiter(self.best(self.score(query)), np.int64)
 
 
 def pack_shard(tails: list[np.ndarray], corpus: Corpus, window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -198,7 +287,7 @@ def pack_shard(tails: list[np.ndarray], corpus: Corpus, window: int) -> Iterator
 
         left = put(seed, begin)
         if room:
-            for t in shard.retrieve(tails[seed]).tolist():
+            for t in shard.best(shard.score(tails[seed], seed)):
                 shard.unused[t] = False
                 left = put(t, 0)
                 if not room:
@@ -259,11 +348,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many tails hold each token id; -1: tails, -2: their tokens."""
         K.release()
-        df, n, total = np.zeros(vocabulary, np.int64), 0, 0
+        df, last, n, total = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
             for raw in batch.column("ids").to_pylist():
-                df[np.unique(np.frombuffer(raw, "<u4"))] += 1
-                n, total = n + 1, total + len(raw) // 4
+                ids = np.frombuffer(raw, "<u4")
+                at = np.arange(len(ids))
+                last[ids] = at
+                df[ids[last[ids] == at]] += 1  # each id once
+                n, total = n + 1, total + len(ids)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], some])), pa.array(np.concatenate([[n, total], df[some]]))], names=["k", "n"])
 

@@ -285,6 +285,56 @@ def test_packing_retrieves_as_plain_bm25():
         assert all(score[a] >= score[b] - 1e-9 for a, b in zip(got[:-1], got[1:]))
 
 
+def test_packing_scores_alike_by_products_and_lists(monkeypatch):
+    """Frequent tokens by products, rare ones by lists: every score is that of the plain sum, to the last digit, however the parts are cut."""
+    rng = np.random.default_rng(8)
+    tails = [np.minimum(rng.zipf(1.2, int(rng.integers(1, 300))), 3000) for _ in range(400)]
+    corpus = corpus_of(tails)
+    shard = packing.Shard(tails, corpus)
+    assert len(shard.common) > 5 and (shard.column[1:] < 0).sum() > 100
+    weight = np.zeros((len(corpus.idf), len(tails)))
+    for i, t in enumerate(tails):
+        k, tf = np.unique(t, return_counts=True)
+        weight[k, i] = np.ceil(corpus.idf[k] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / corpus.mean)) * 2.0**36)
+    monkeypatch.setattr(packing, "CELLS", 400 * 100)  # as in a shard so large that only some tails have their products ready
+    few = packing.Shard(tails, corpus)
+    assert len(shard.shared) == 400 and len(few.shared) == 100
+    for i, t in enumerate(tails):
+        want = weight[np.unique(t)].astype(np.int64).sum(axis=0) / 2.0**36
+        assert all(np.array_equal(got, want) for got in (shard.score(t), shard.score(t, i), few.score(t, i)))
+        assert shard.retrieve(t).tolist() == [k for k in np.argsort(-want, kind="stable").tolist() if want[k] > 0]
+
+
+def test_packing_reads_few_weights_for_tokens_of_most_tails():
+    """Scoring a shard of tails that share their words reads each seed's rare tokens alone."""
+    rng = np.random.default_rng(9)
+    tails = [np.concatenate([rng.permutation(200)[:150], 200 + rng.integers(0, 20000, 20)]) for _ in range(600)]
+    shard = packing.Shard(tails, corpus_of(tails))
+    assert len(shard.common) == 200 and max(np.diff(shard.first)[np.unique(t)].sum() for t in tails) < 100
+
+
+def test_packing_encodes_parts_as_the_whole(monkeypatch):
+    """Parts cut at spaces, ends of lines and signs give the library's ids, whatever stands beside them."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_memos", {})
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(10)
+    signs = ["a", "é", "ñ", "×", "÷", "ª", "’", "'", "'s", "'re", '"', ",", "...", "-", "_", "<|endoftext|>", "<|", "|>", "1", "½", "日", "я", "😀", "\u0301", "\u200d", "\x00", "\x1c", "\x7f", "Ġ", "Ċ", "The", "word"]
+    gaps = [*[" "] * 8, *["\n"] * 4, *[""] * 6, "\t", "\r", "\v", "\f", "\x85", "\xa0", "\u3000", "  ", "\r\n", "\n "]
+    texts = ["".join(rng.choice(signs) + rng.choice(gaps) for _ in range(rng.randint(0, 20))).strip(" ") for _ in range(4000)]
+    coder = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(pa.array(texts, pa.large_string()), path)] == [x.ids for x in coder.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_remembers_a_word_once_whatever_sign_follows(monkeypatch):
+    monkeypatch.setattr(packing, "_memos", {})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packing.encode(pa.array(["a wordé wordé, wordé. wordé; (wordé)\nwordé!"], pa.large_string()), path)
+    assert packing._memos[path].n == len(["a", " wordé", ",", ".", ";", " (wordé", ")", "\n", "wordé", "!"])
+
+
 def test_packing_routes_copies_side_by_side():
     rng = np.random.default_rng(6)
     tails = [rng.integers(1, 5000, 200) for _ in range(500)]
