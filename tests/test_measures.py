@@ -77,6 +77,28 @@ def test_signed_ranks_against_all_signs(spark):
     assert (got["zeros"].n, got["zeros"].zeros, got["zeros"].p_wilcoxon, got["zeros"].statistic) == (0, 2, None, None) and "none" not in got
 
 
+def test_signed_ranks_of_large_and_small_groups(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    groups = {k: [float(x) for x in rng.integers(-6, 7, n)] for k, n in (("a", 3), ("b", 60), (None, 50), ("c", 9), ("d", 200))} | {"zeros": [0.0] * 30}
+    df = spark.createDataFrame([(k, d) for k, ds in groups.items() for d in [*ds, None]], "g string, d double")
+    for most in (0, 20, 1000):
+        monkeypatch.setattr(G, "ALONE", most)
+        got = {r.g: r for r in G.signed_ranks(df, "g", "d").collect()}
+        assert set(got) == set(groups)
+        for k, ds in groups.items():
+            sizes = sorted(abs(d) for d in ds if d)
+            rank = {x: sizes.index(x) + (sizes.count(x) + 1) / 2 for x in sizes}
+            counts = [sizes.count(x) for x in rank]
+            want = (len(sizes), ds.count(0.0), sum(c > 1 for c in counts), sum(rank[d] for d in ds if d > 0), sum(rank[-d] for d in ds if d < 0), sum(c**3 - c for c in counts))
+            assert (got[k].n, got[k].zeros, got[k].ties, got[k].plus, got[k].minus, got[k].tied_cubes) == want, (k, most)
+
+
+def test_p_values_of_many_groups_are_not_folded_group_by_group(spark):
+    df = spark.range(60).select(F.col("id") % 3, F.lit(1).alias("one"), F.rand(1).alias("w"), F.rand(2).alias("o")).toDF("m", "one", "w", "o")
+    plan = G.paired_tests(df, "m", "w", "o", "one")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "ArrowEvalPython" in plan
+
+
 def test_incomplete_beta_and_gamma(spark):
     rows = [(a, b, x) for a in (0.5, 1.0, 3.5, 40.0, 500.0) for b in (0.5, 2.0) for x in (0.0, 0.1, 0.5, 0.9, 0.999, 1.0)]
     for r in spark.createDataFrame(rows, "a double, b double, x double").select("*", G.incomplete_beta(F.col("a"), F.col("b"), F.col("x")).alias("i"), G.log_gamma(F.col("a")).alias("g")).collect():
