@@ -135,7 +135,7 @@ def wilcoxon(df: DataFrame, by: str, difference: str) -> DataFrame:
 
     Exact for up to EXACT pairs without zeros and ties, else the normal approximation with the ties' correction; null without any difference other than 0.
     """
-    n, least = F.col("n"), F.least("plus", "minus")
+    n, least = F.col("n").cast("double"), F.least("plus", "minus")  # n cubed is beyond a long from 1.7 million pairs on
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied_cubes") / 48)
     z = (least - n * (n + 1) / 4) / spread
     exact = (n <= EXACT) & (F.col("zeros") == 0) & (F.col("ties") == 0)

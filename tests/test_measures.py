@@ -99,6 +99,16 @@ def test_p_values_of_many_groups_are_not_folded_group_by_group(spark):
     assert "lambdafunction" not in plan and "ArrowEvalPython" in plan
 
 
+def test_millions_of_pairs(spark):
+    n = 1_800_000  # n (n + 1) (2 n + 1) is beyond a long
+    d = F.when(F.col("id") % 1000 < 499, -1.0).otherwise(1.0)
+    r = G.paired_tests(spark.range(n).select(F.lit("m").alias("m"), F.lit(1).alias("one"), d.alias("w"), F.lit(0.0).alias("o")), "m", "w", "o", "one").first()
+    down, mean = n * 499 // 1000, (n + 1) / 2
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48)
+    assert r.n_pairs == n and r.statistic == down * mean and abs(r.p_wilcoxon - math.erfc((n * (n + 1) / 4 - down * mean) / spread / math.sqrt(2))) < 1e-6
+    assert abs(r.p_ttest - math.erfc(r.t / math.sqrt(2))) < 1e-5  # so many pairs: as good as normal
+
+
 def test_incomplete_beta_and_gamma(spark):
     rows = [(a, b, x) for a in (0.5, 1.0, 3.5, 40.0, 500.0) for b in (0.5, 2.0) for x in (0.0, 0.1, 0.5, 0.9, 0.999, 1.0)]
     for r in spark.createDataFrame(rows, "a double, b double, x double").select("*", G.incomplete_beta(F.col("a"), F.col("b"), F.col("x")).alias("i"), G.log_gamma(F.col("a")).alias("g")).collect():
