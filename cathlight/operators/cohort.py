@@ -182,6 +182,19 @@ def top_against_median(values: Column, k: int) -> Column:
     return F.when(n > 0, F.struct(top.alias("top"), middle.alias("median"), (top / (middle + 1e-6)).alias("ratio")))
 
 
+def means_as_read(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Mean of some columns by key, added up in the order of file names and of rows in them; nulls are left out. df is read from Parquet files, and the rows of a key fit in a task.
+
+    Sums of doubles differ in their last bits with the order of adding, and those bits decide between means that are equal on paper. So the result doesn't depend on how tables are cut.
+    """
+    places = ("_metadata.file_path", "_metadata.row_index")
+    rows = df.select(key, F.struct(*(F.col(p).alias(f"_{i}") for i, p in enumerate(places)), *(F.col(c).cast("double").alias(c) for c in columns)).alias("_row"))
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    values = lambda c: F.filter(F.transform("_rows", lambda r: r[c]), lambda x: x.isNotNull())
+    mean = lambda c: F.when(F.size(values(c)) > 0, F.aggregate(values(c), F.lit(0.0), lambda s, x: s + x) / F.size(values(c)))
+    return listed.select(key, *(mean(c).alias(c) for c in columns))
+
+
 def best_of(columns: list[str], baseline: str) -> Column:
     """struct<name, delta>: the column with the highest value (the first of equals) and its lead over the baseline."""
     top = F.greatest(*columns)

@@ -206,7 +206,8 @@ def fractional_subset(spark, d):
 @query("""WITH m AS (SELECT l_orderkey, avg(l_discount) AS discount, avg(l_tax) AS tax, avg(l_quantity) / 500 AS quantity FROM lineitem GROUP BY 1)
   SELECT l_orderkey, CASE WHEN discount >= tax AND discount >= quantity THEN 'discount' WHEN tax >= quantity THEN 'tax' ELSE 'quantity' END AS name, round(greatest(discount, tax, quantity) - tax, 9) AS delta FROM m""")
 def best_feature_set(spark, d):
-    own = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"), (F.avg("l_quantity") / 500).alias("quantity"))
+    own = H.means_as_read(read(spark, d, "lineitem"), "l_orderkey", ["l_discount", "l_tax", "l_quantity"])
+    own = own.select("l_orderkey", F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_quantity") / 500).alias("quantity"))
     return own.select("l_orderkey", H.best_of(["discount", "tax", "quantity"], "tax").alias("b")).select("l_orderkey", "b.name", F.round("b.delta", 9).alias("delta"))
 
 

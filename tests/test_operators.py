@@ -78,3 +78,46 @@ def test_bootstrap(spark):
     df = spark.range(400).select(F.lit(1).alias("t"), (F.col("id") % 10 < 9).cast("int").alias("x"), (F.col("id") % 10 < 6).cast("int").alias("y"))
     got = E.bootstrap_delta(df, "t", "x", "y").first()
     assert abs(got.delta - 0.3) < 1e-12 and 0.2 < got.low < 0.28 and 0.32 < got.high < 0.4
+
+
+def test_means_that_are_equal_on_paper_are_added_in_reading_order(spark, tmp_path):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from cathlight.operators import cohort as H
+    from cathlight.plans import cohorts
+
+    def mean(vs, i):
+        total = 0.0  # not sum(), which compensates
+        for v in vs:
+            total += v[i]
+        return total / len(vs)
+
+    rng, files, rows = random.Random(6), 7, {}
+    (tmp_path / "lineitem.parquet").mkdir()
+    for f in range(files):
+        own = [(k, rng.randrange(11) / 100, rng.randrange(9) / 100, float(rng.randrange(1, 51))) for k in range(300)] + ([(300, None, 0.5, 1.0)] if f else [])
+        for k, *v in own:
+            rows.setdefault(k, []).append(v)
+        # the last files are the largest, so Spark reads them first
+        table = pa.table({"l_orderkey": [r[0] for r in own], "l_discount": [r[1] for r in own], "l_tax": [r[2] for r in own], "l_quantity": [r[3] for r in own], "filler": [str(rng.random()) * f for _ in own]})
+        pq.write_table(table, tmp_path / "lineitem.parquet" / f"{f}.parquet")
+    want = {}
+    for k, vs in rows.items():
+        if k < 300:
+            d, t, q = (mean(vs, i) for i in range(3))
+            q /= 500
+            want[k] = ("discount" if d >= t and d >= q else "tax" if t >= q else "quantity", round(max(d, t, q) - t, 9))
+    read = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    for most in ("1kb", "128mb"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            got = {r.l_orderkey: (r.name, r.delta) for r in cohorts.best_feature_set(spark, str(tmp_path)).where("l_orderkey < 300").collect()}
+            assert got == want
+            means = {r.l_orderkey: r for r in H.means_as_read(read, "l_orderkey", ["l_discount", "l_tax"]).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert all((means[k].l_discount, means[k].l_tax) == (mean(vs, 0), mean(vs, 1)) for k, vs in rows.items() if k < 300)
+        assert (means[300].l_discount, means[300].l_tax) == (None, 0.5)
