@@ -1,77 +1,121 @@
-"""Closest template of a text by its matching-blocks ratio, found through an index of q-grams that loses no match.
-
-The ratio is 2 M / T: M characters lie in matching blocks, T is the length of both texts. Two texts of a ratio of at least r
- - differ in length by no more than a factor r / (2 - r);
- - share at least M >= r T / 2 characters, and, since two neighbouring blocks are parted by an unmatched character, at least
-   3 M - T - 1 pairs of neighbouring characters (each counted as often as both have it).
-A text that must share at least c of its n grams shares one of its n - c + 1 rarest, so only those are indexed: pairs of characters
-where both texts are long enough for the second bound to say anything, single ones for the few that are not. What meets in the index must share
-that many grams of all it has, and is then compared in full.
+"""Closest template of a text by its matching-blocks ratio, by bounds that lose no match.
+
+The ratio is 2 M / T: M characters lie in matching blocks, T is the length of both texts. Blocks come in one order in both texts, so M is at most the length of
+their longest common subsequence, and this at most the number of characters that they share. Every text meets every template whose length allows
+the threshold, in cells of so many texts and templates that go from the cheap bound to the dear one; what is left is compared in full, the highest bound
+first, until no bound reaches the best ratio found. A cell holds its two blocks and tells one row a text, so nothing of a pair is written.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..sources.scratch import cut
 from .curate import first_by
-
-
-def _grams(df: DataFrame, threshold: float) -> DataFrame:
-    """(id, size, kind, gram, least): every gram of each text with its occurrence number, and how many the text must share."""
-    size, slope = F.col("size"), 1.5 * threshold - 1
-    total = size + F.ceil(size * threshold / (2 - threshold) - 1e-9)  # with the shortest partner
-    alone = 1 / slope if slope > 0 else float("inf")  # texts of this length together may share no pair of characters
-    one = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr("text", i, F.lit(1)))
-    two = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substr("text", i, F.lit(2)))
-    need = {1: F.ceil(total * threshold / 2 - 1e-9), 2: F.greatest(F.lit(1), F.ceil(total * slope - 1 - 1e-9))}
-    kinds = [(1, one, size < alone, size)] + ([(2, two, size > 1, size - 1)] if slope > 0 else [])
-    structs = [F.when(fits & (size > 0), F.struct(F.lit(k).alias("kind"), grams.alias("grams"), (n - need[k] + 1).cast("int").alias("most"))) for k, grams, fits, n in kinds]
-    rows = df.withColumn("size", F.length("text")).select("id", "size", F.inline(F.filter(F.array(*structs), lambda s: s.isNotNull())))
-    each = rows.select("id", "size", "kind", "most", F.explode("grams").alias("gram"))
-    return each.withColumn("turn", F.row_number().over(Window.partitionBy("id", "kind", "gram").orderBy("gram")))  # at most the length of a text
-
-
-def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left, right) ids of all pairs of (id, text) that can reach the threshold, and some that do not."""
-    sides = {"left": cut(_grams(left, threshold)), "right": cut(_grams(right, threshold))}
-    often = sides["left"].select("kind", "gram", "turn").unionByName(sides["right"].select("kind", "gram", "turn")).groupBy("kind", "gram", "turn").agg(F.count("*").alias("often"))
-    often = cut(often)
-
-    def rarest(df: DataFrame, name: str) -> DataFrame:
-        met = df.join(often, ["kind", "gram", "turn"])
-        rank = F.row_number().over(Window.partitionBy("id", "kind").orderBy("often", "gram", "turn"))  # at most the length of a text
-        return met.withColumn("_rank", rank).where("_rank <= most").select("kind", "gram", "turn", F.col("id").alias(name), F.col("size").alias(f"{name}_size"))
-
-    met = rarest(sides["left"], "left").join(rarest(sides["right"], "right"), ["kind", "gram", "turn"])
-    low, high, slope = F.least("left_size", "right_size"), F.greatest("left_size", "right_size"), 1.5 * threshold - 1
-    both = F.col("left_size") + F.col("right_size")
-    able = low * 2 >= (low + high) * threshold - 1e-9
-    kind = F.when(both * slope > 1, 2).otherwise(1) if slope > 0 else F.lit(1)
-    pairs = met.where(able & (F.col("kind") == kind)).select("left", "right", "kind", both.alias("both")).distinct()
-    for name, df in sides.items():  # a text's grams, as many as its characters
-        pairs = pairs.join(df.groupBy(F.col("id").alias(name), "kind").agg(F.collect_list(F.concat("gram", "turn")).alias(f"{name}_grams")), [name, "kind"])
-    shared, whole = F.size(F.array_intersect("left_grams", "right_grams")), F.ceil(F.col("both") * threshold / 2 - 1e-9)
-    return pairs.where(shared >= F.when(F.col("kind") == 1, whole).otherwise(3 * whole - F.col("both") - 1)).select("left", "right")
-
-
-@F.pandas_udf(DoubleType())
-def block_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """The matching-blocks ratio of two texts, null if it is below the least."""
-
-    def one(x, y, least):
-        m = SequenceMatcher(None, x, y)
-        if m.real_quick_ratio() < least or m.quick_ratio() < least:
-            return None
-        score = m.ratio()
-        return score if score >= least else None
-
-    return pd.Series([one(*row) for row in zip(a, b, least)], dtype="float64")
+from .order import numbered
+
+BLOCK = 4096  # texts and templates at most (texts: about) that meet in a cell
+CELLS, TASKS = 64, 1024  # at least, so that small tables are dealt too; at most
+WIDE = 256  # characters at most of a template that is kept as a row of codes
+BITS = 64  # characters at most of a text whose common subsequences with many templates are found at once
+
+
+def common_length(text: str, template: str) -> int:
+    """The length of the longest common subsequence, a row of its table as the bits of a number."""
+    places, rest = {}, (1 << len(text)) - 1
+    whole = rest
+    for i, c in enumerate(text):
+        places[c] = places.get(c, 0) | 1 << i
+    for c in template:
+        met = rest & places.get(c, 0)
+        rest = (rest + met | rest - met) & whole
+    return len(text) - rest.bit_count()
+
+
+class Templates:
+    """A block of templates: how often each has every character, and the codes of those that are not long by place."""
+
+    def __init__(self, texts: list[str], order: list):
+        self.texts, self.order = texts, order
+        self.sizes = np.array([len(t) for t in texts], "int64")
+        self.code = {c: i for i, c in enumerate(sorted(set().union(*texts)))}
+        self.counts = np.zeros((len(self.code), len(texts)), "int32")
+        self.codes = np.full((min(int(self.sizes.max()), WIDE), len(texts)), len(self.code), "int32")
+        for j, t in enumerate(texts):
+            own = np.array([self.code[c] for c in t], "int64")
+            np.add.at(self.counts[:, j], own, 1)
+            if len(t) <= WIDE:
+                self.codes[: len(t), j] = own
+
+    def common(self, text: str, at: np.ndarray) -> np.ndarray:
+        """common_length of a text and the templates at some places."""
+        out, slow = np.zeros(len(at), "int64"), (self.sizes[at] > WIDE) | (len(text) > BITS)
+        out[slow] = [common_length(text, self.texts[j]) for j in at[slow]]
+        fast = at[~slow]
+        if len(fast):
+            places = np.zeros(len(self.code) + 1, "uint64")  # none for the code after a text's end
+            for i, c in enumerate(text):
+                if c in self.code:
+                    places[self.code[c]] |= np.uint64(1 << i)
+            whole = np.uint64((1 << len(text)) - 1)
+            rest = np.full(len(fast), whole)
+            for row in self.codes[: int(self.sizes[fast].max())]:
+                met = rest & places[row[fast]]
+                rest = rest + met | rest - met
+            out[~slow] = len(text) - np.bitwise_count(rest & whole).astype("int64")
+        return out
+
+    def closest(self, text: str, least: float) -> tuple[int, int | None, float | None]:
+        """How many were compared in full, and place and ratio of the best (the least order of equals), if it reaches the least."""
+        bound = lambda shared, at: 2.0 * shared / np.maximum(len(text) + self.sizes[at], 1)
+        every = np.arange(len(self.texts))
+        at = every[bound(np.minimum(self.sizes, len(text)), every) >= least]
+        shared = np.zeros(len(at), "int64")
+        for c in set(text) & self.code.keys():
+            shared += np.minimum(self.counts[self.code[c]][at], text.count(c))
+        at = at[bound(shared, at) >= least]
+        most = bound(self.common(text, at), at)
+        at, most = at[most >= least], most[most >= least]
+        done, best, score = 0, None, None
+        for i in sorted(range(len(at)), key=lambda i: (-most[i], self.order[at[i]])):
+            if best is not None and (most[i] < score or most[i] == score and self.order[at[i]] >= self.order[best]):
+                break
+            ratio, done = SequenceMatcher(None, text, self.texts[at[i]]).ratio(), done + 1
+            if ratio >= least and (best is None or (ratio, -self.order[at[i]]) > (score, -self.order[best])):
+                best, score = int(at[i]), ratio
+        return done, best, score
+
+
+def _best(texts: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+    """(id, candidates, match, score, order) of texts (id, text) and templates (text, order): a row a text and block of templates of fitting lengths."""
+    placed = cut(numbered(templates.withColumn("size", F.length("text")), "size", "text", start=0).withColumn("block", F.floor(F.col("place") / BLOCK)))
+    blocks = cut(placed.groupBy(F.col("block").alias("_block")).agg(F.min("size").alias("low"), F.max("size").alias("high")))  # a row a block
+    n_blocks, n_texts = blocks.count(), texts.count()
+    buckets = max(-(-n_texts // BLOCK), -(-CELLS // max(n_blocks, 1)))
+    tasks = max(1, min(n_blocks * buckets, TASKS))
+    size, able = F.length("text"), lambda a, b: 2 * F.least(a, b) >= (a + b) * threshold - 1e-9
+    near = F.greatest(F.col("low"), F.least(F.col("high"), size))  # the block's length nearest to the text's
+    left = texts.join(F.broadcast(blocks), able(near, size)).select(F.col("_block").alias("block"), F.pmod(F.xxhash64("text"), F.lit(buckets)).cast("int").alias("bucket"), "id", "text")
+    right = placed.select("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "text", "order")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        got = []
+        if len(left) and len(right):
+            block = Templates(right["text"].tolist(), right["order"].tolist())
+            for i, text in zip(left["id"], left["text"]):
+                done, j, score = block.closest(text, threshold)
+                got.append((i, done, None if j is None else block.texts[j], score, None if j is None else block.order[j]))
+        return pd.DataFrame(got, columns=["id", "candidates", "match", "score", "order"], dtype="object")
+
+    keys, out = ["block", "bucket"], StructType([StructField("id", LongType()), StructField("candidates", LongType()), StructField("match", StringType()), StructField("score", DoubleType()), StructField("order", templates.schema["order"].dataType)])
+    dealt = lambda df: df.repartition(tasks, *keys).groupBy(*keys)
+    return dealt(left).cogroup(dealt(right)).applyInPandas(meet, out)
 
 
 def closest_templates(texts: DataFrame, text: str, templates: DataFrame, template: str, order: str, threshold: float) -> DataFrame:
@@ -80,13 +124,11 @@ def closest_templates(texts: DataFrame, text: str, templates: DataFrame, templat
     strategy is exact, fuzzy or none; candidates tells how many templates were compared in full. Below the threshold there is no match and no score. The ratio is not symmetric: the text comes first.
     """
     own = cut(texts.select(F.col(text).alias("text")).where("text is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
-    known = cut(first_by(templates.where(F.col(template).isNotNull()).select(F.col(template).alias("text"), F.col(order).alias("order")), ["text"], F.asc("order")).withColumn("id", F.monotonically_increasing_id()))
+    known = cut(first_by(templates.where(F.col(template).isNotNull()).select(F.col(template).alias("text"), F.col(order).alias("order")), ["text"], F.asc("order")))
     exact = own.join(known.select("text"), "text", "left_semi")
     rest = own.join(known.select("text"), "text", "left_anti")
-    pairs = cut(candidates(rest, known.select("id", "text"), threshold))
-    full = pairs.join(rest.select(F.col("id").alias("left"), F.col("text").alias("a")), "left").join(known.select(F.col("id").alias("right"), F.col("text").alias("b"), "order"), "right")
-    scored = full.select("left", "b", "order", block_ratio("a", "b", F.lit(float(threshold))).alias("score"))
-    best = scored.groupBy("left").agg(F.count("*").alias("candidates"), F.max_by("b", F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("order")).alias("o")))).alias("match"), F.max("score").alias("score"))
+    found = _best(rest, known, float(threshold))
+    best = found.groupBy(F.col("id").alias("left")).agg(F.sum("candidates").alias("candidates"), F.max_by("match", F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("order")).alias("o")))).alias("match"), F.max("score").alias("score"))
     met = rest.join(best, rest["id"] == best["left"], "left")
     fuzzy = met.select("text", F.when(F.col("score").isNotNull(), F.col("match")).alias("match"), "score", F.when(F.col("score").isNotNull(), "fuzzy").otherwise("none").alias("strategy"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
     same = exact.select("text", F.col("text").alias("match"), F.lit(1.0).alias("score"), F.lit("exact").alias("strategy"), F.lit(0).cast("long").alias("candidates"))

@@ -110,3 +110,53 @@ def test_fuzzy_part_names_equal_all_pairs(spark):
         scores = [SequenceMatcher(None, r.text, k).ratio() for k in known]
         best = max(range(len(known)), key=lambda i: (scores[i], -i))
         assert (r.match, r.score) == ((known[best], scores[best]) if scores[best] >= 0.8 else (None, None))
+
+
+def test_few_part_names_are_compared_in_full(spark):
+    from cathlight.plans import measures
+    from tests.oracle import DATA
+
+    got = measures.fuzzy_part_names(spark, DATA).collect()
+    assert sum(r.candidates for r in got) < 10 * len(got)
+
+
+def test_fuzzy_matches_of_long_texts_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    known = ["".join(rng.choice("abcdefghij é") for _ in range(n)) for n in (1, 5, 40, 63, 64, 65, 66, 120, 255, 256, 257, 300, 20, 20, 20)]
+    known += ["ab" * 30, "ba" * 30, "ab" * 150, "ba" * 150]
+    texts = []
+    for t in known:
+        for changes in (1, len(t) // 12, len(t) // 6):
+            x = list(t)
+            for _ in range(changes):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randrange(2)] = rng.choice(["", "q", "a", "bc", "\U0001f600"])
+            texts.append("".join(x))
+    left = spark.createDataFrame([(t,) for t in texts], "t string")
+    right = spark.createDataFrame([(-i / 2, k) for i, k in enumerate(known)], "o double, k string")  # the last of equals comes first
+    for block in (4, 4096):
+        monkeypatch.setattr(Z, "BLOCK", block)
+        got = {r.t: r for r in Z.closest_templates(left, "t", right, "k", "o", 0.7).collect()}
+        assert set(got) == set(texts)
+        for t, r in got.items():
+            scores = [SequenceMatcher(None, t, k).ratio() for k in known]
+            best = max(range(len(known)), key=lambda i: (scores[i], i))
+            want = (t, 1.0) if t in known else (known[best], scores[best]) if scores[best] >= 0.7 else (None, None)
+            assert (r.match, r.score) == want, t
+
+
+def test_common_length(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 7, 30, 63, 64, 65, 90)]
+    block = Z.Templates(words, list(range(len(words))))
+    for a in ["", "zz", *words]:
+        want = []
+        for b in words:
+            row = [0] * (len(b) + 1)
+            for x in a:
+                new = [0]
+                for j, y in enumerate(b):
+                    new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+                row = new
+            want.append(row[-1])
+        assert [Z.common_length(a, b) for b in words] == want == list(block.common(a, block.sizes.argsort(kind="stable")[: len(words)]))
