@@ -3,6 +3,9 @@
 Events of a key wait in state until the watermark has passed them, so they are met in the order of their times whatever batch they
 came in, and the transitions don't depend on how the stream is cut. A key that is in progress is stalled once nothing came for `stale`; a
 timer tells it without another event. State holds a key's events of one watermark delay and one row of status.
+
+A call to the state store costs far more than an event, so a key has a few of them a batch, however many events it has: waiting events are
+added and read as one list, and one timer tells the first of them.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 STATUS = ("in_progress", "completed", "error")
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WAITING = StructType([StructField("status", StringType())])
-PLACE = StructType([StructField("at", LongType()), StructField("tie", LongType())])
+WAITING = StructType([StructField("at", LongType()), StructField("tie", LongType()), StructField("status", StringType())])
 NOW = StructType([StructField("status", StringType()), StructField("last", LongType()), StructField("attempts", IntegerType())])
+ADDED = 10_000  # events at most that are held before they go to the state store
 OUT = "key string, at long, status string, attempts int"
 
 
@@ -30,23 +33,38 @@ class Machine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now, self.waiting = handle.getValueState("now", NOW), handle.getMapState("waiting", PLACE, WAITING)
+        self.now, self.waiting = handle.getValueState("now", NOW), handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows, timerValues):
-        mark, late = timerValues.getCurrentWatermarkInMs(), []
+        mark, late, added, first = timerValues.getCurrentWatermarkInMs(), [], [], None
         for row in rows:
             if row.at < mark:  # Spark itself drops what was late a batch ago
                 late.append(Row(key=key[0], at=row.at, status="late", attempts=None))
                 continue
-            self.waiting.updateValue((row.at, row.tie), (row.status,))
-            self.handle.registerTimer(row.at)
+            added.append((row.at, row.tie, row.status))
+            first = row.at if first is None else min(first, row.at)
+            if len(added) == ADDED:
+                self.waiting.appendList(added)
+                added = []
+        if added:
+            self.waiting.appendList(added)
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark, out = timerValues.getCurrentWatermarkInMs(), []
-        status, last, attempts = self.now.get() if self.now.exists() else (None, 0, 0)
-        due = sorted((tuple(place), value[0]) for place, value in self.waiting.iterator() if place[0] <= mark)
-        for (at, tie), new in due:
+        status, last, attempts = self.now.get() or (None, 0, 0)
+        waiting = {(at, tie): new for at, tie, new in self.waiting.get()}  # the last of the same time and tie
+        due = sorted((place, new) for place, new in waiting.items() if place[0] <= mark)
+        if due:
+            rest = [(at, tie, new) for (at, tie), new in waiting.items() if at > mark]
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(rest)[0])
+            else:
+                self.waiting.clear()
+        for (at, _), new in due:
             if status == "in_progress" and at - last > self.stale:
                 status = "stalled"
                 out.append((last + self.stale, status, attempts))
@@ -54,13 +72,13 @@ class Machine(StatefulProcessor):
                 attempts += new == "in_progress"
                 out.append((at, new, attempts))
             status, last = new, at
-            self.waiting.removeKey((at, tie))
         if status == "in_progress" and mark >= last + self.stale:
             status = "stalled"
             out.append((last + self.stale, status, attempts))
         elif status == "in_progress" and due:
             self.handle.registerTimer(last + self.stale)
-        self.now.update((status, last, attempts))
+        if due or out:
+            self.now.update((status, last, attempts))
         return iter([Row(key=key[0], at=a, status=s, attempts=n) for a, s, n in out])
 
     def close(self) -> None:

@@ -52,3 +52,104 @@ def test_a_failure_in_mid_batch_changes_nothing(spark, tmp_path):
         run(spark, str(tmp_path), None, fail, made=stream)
     changed, rejected, _ = run(spark, str(tmp_path), None, made=stream)
     assert broken and changed == CHANGED and len(rejected) == 2
+
+
+class Store:
+    """A key's state and timers in memory, counting the calls a state server would answer."""
+
+    def __init__(self):
+        self.calls, self.timers, self.value, self.items = 0, set(), None, {}
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getMapState = getValueState
+
+    def counted(self):
+        self.calls += 1
+
+    def registerTimer(self, at):
+        self.counted()
+        self.timers.add(at)
+
+    def exists(self):
+        self.counted()
+        return self.value is not None
+
+    def update(self, value):
+        self.counted()
+        self.value = value
+
+    def get(self):
+        self.counted()
+        return self.value
+
+    def updateValue(self, place, value):
+        self.counted()
+        self.items[place] = value
+
+    def removeKey(self, place):
+        self.counted()
+        del self.items[place]
+
+    def iterator(self):
+        self.counted()
+        return iter(list(self.items.items()))
+
+
+class Listed(Store):
+    """The waiting events, apart from the status."""
+
+    def __init__(self, calls):
+        super().__init__()
+        self.of, self.rows = calls, []
+
+    def counted(self):
+        self.of.calls += 1
+
+    def appendList(self, rows):
+        self.counted()
+        self.rows += rows
+
+    def put(self, rows):
+        self.counted()
+        self.rows = list(rows)
+
+    def clear(self):
+        self.counted()
+        self.rows = []
+
+    def get(self):
+        self.counted()
+        return iter(list(self.rows))
+
+
+def test_a_key_of_many_events_calls_its_state_a_few_times_a_batch():
+    from types import SimpleNamespace
+
+    store = Store()
+    waiting = Listed(store)
+    store.getListState = lambda *_: waiting
+    machine, got, seen = S.Machine(10), [], []
+    machine.init(store)
+    events = [(at, tie, ("in_progress", "completed", "error")[(at + tie) % 3]) for at in range(0, 4000, 7) for tie in (0, 1)]
+    batches, mark = [events[1::2] + events[0::4], events[2::4] + [(2100, 0, "error"), (2100, 0, "completed")]], 0
+    for mark, batch in [(0, batches[0]), (2000, []), (2000, [r for r in batches[1] if r[0] >= 2000]), (5000, [])]:
+        before, times = store.calls, SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+        seen += batch
+        if batch:
+            assert not list(machine.handleInputRows(("k",), iter([SimpleNamespace(at=a, tie=t, status=s) for a, t, s in batch]), times))
+        while any(t <= mark for t in store.timers):
+            store.timers.remove(min(store.timers))
+            got += [tuple(r) for r in machine.handleExpiredTimer(("k",), times, None)]
+        assert store.calls - before < 20
+    want, status, last, attempts = [], None, 0, 0
+    for (at, _), new in sorted({(a, t): s for a, t, s in seen}.items()):
+        if status == "in_progress" and at - last > 10:
+            want.append(("k", last + 10, status := "stalled", attempts))
+        if new != status:
+            attempts += new == "in_progress"
+            want.append(("k", at, new, attempts))
+        status, last = new, at
+    want += [("k", last + 10, "stalled", attempts)] if status == "in_progress" else []
+    assert got == want
