@@ -5,24 +5,39 @@ came in, and the transitions don't depend on how the stream is cut. A key that i
 timer tells it without another event. State holds a key's events of one watermark delay and one row of status.
 
 A call to the state store costs far more than an event, so a key has a few of them a batch, however many events it has: waiting events are
-added and read as one list, and one timer tells the first of them.
+added and read together, packed into bytes, and one timer tells the first of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 STATUS = ("in_progress", "completed", "error")
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WAITING = StructType([StructField("at", LongType()), StructField("tie", LongType()), StructField("status", StringType())])
+WAITING = StructType([StructField("events", BinaryType())])
+EVENT = struct.Struct("<qqb")  # time, tie and place in STATUS
 NOW = StructType([StructField("status", StringType()), StructField("last", LongType()), StructField("attempts", IntegerType())])
-ADDED = 10_000  # events at most that are held before they go to the state store
+ADDED = 10_000  # events at most that are packed together
 OUT = "key string, at long, status string, attempts int"
+CHANGE = Row("key", "at", "status", "attempts")
+
+
+def packed(events: list[tuple[int, int, str]]) -> list[tuple[bytes]]:
+    """Events as rows of the waiting list."""
+    return [(b"".join(EVENT.pack(at, tie, STATUS.index(status)) for at, tie, status in events[i : i + ADDED]),) for i in range(0, len(events), ADDED)]
+
+
+def unpacked(rows: Iterable[tuple[bytes]]) -> Iterator[tuple[int, int, str]]:
+    """The events of packed rows, in their order."""
+    for (events,) in rows:
+        for at, tie, place in EVENT.iter_unpack(events):
+            yield at, tie, STATUS[place]
 
 
 class Machine(StatefulProcessor):
@@ -39,15 +54,15 @@ class Machine(StatefulProcessor):
         mark, late, added, first = timerValues.getCurrentWatermarkInMs(), [], [], None
         for row in rows:
             if row.at < mark:  # Spark itself drops what was late a batch ago
-                late.append(Row(key=key[0], at=row.at, status="late", attempts=None))
+                late.append(CHANGE(key[0], row.at, "late", None))
                 continue
             added.append((row.at, row.tie, row.status))
             first = row.at if first is None else min(first, row.at)
             if len(added) == ADDED:
-                self.waiting.appendList(added)
+                self.waiting.appendList(packed(added))
                 added = []
         if added:
-            self.waiting.appendList(added)
+            self.waiting.appendList(packed(added))
         if first is not None:
             self.handle.registerTimer(first)
         return iter(late)
@@ -55,12 +70,12 @@ class Machine(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark, out = timerValues.getCurrentWatermarkInMs(), []
         status, last, attempts = self.now.get() or (None, 0, 0)
-        waiting = {(at, tie): new for at, tie, new in self.waiting.get()}  # the last of the same time and tie
+        waiting = {(at, tie): new for at, tie, new in unpacked(self.waiting.get())}  # the last of the same time and tie
         due = sorted((place, new) for place, new in waiting.items() if place[0] <= mark)
         if due:
             rest = [(at, tie, new) for (at, tie), new in waiting.items() if at > mark]
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put(packed(rest))
                 self.handle.registerTimer(min(rest)[0])
             else:
                 self.waiting.clear()
@@ -79,7 +94,7 @@ class Machine(StatefulProcessor):
             self.handle.registerTimer(last + self.stale)
         if due or out:
             self.now.update((status, last, attempts))
-        return iter([Row(key=key[0], at=a, status=s, attempts=n) for a, s, n in out])
+        return iter([CHANGE(key[0], a, s, n) for a, s, n in out])
 
     def close(self) -> None:
         pass
